@@ -164,7 +164,7 @@ ctrl AS (SELECT s.* FROM s JOIN (SELECT run_id, min(variant_id) AS v FROM s GROU
 SELECT run_id, prompt_a, prompt_b,
   CASE WHEN abs(d) < 0.01 THEN 'tie' WHEN d > 0 THEN 'A' ELSE 'B' END AS winner,
   round(CASE WHEN abs(d) < 0.01 THEN 0.5 ELSE least(0.95, 0.5 + abs(d) / 2) END, 6) AS confidence,
-  round(d, 6) AS metric_difference, success_rate_difference, latency_difference
+  round(d, 6) + 0.0 AS metric_difference, success_rate_difference + 0.0 AS success_rate_difference, latency_difference + 0.0 AS latency_difference
 FROM (SELECT a.run_id, a.variant_id AS prompt_a, b.variant_id AS prompt_b, round(a.score_sum - b.score_sum, 9) AS d,
         round(a.success_rate - b.success_rate, 6) AS success_rate_difference, round(a.latency_mean - b.latency_mean, 6) AS latency_difference
       FROM s a JOIN ctrl b ON a.run_id = b.run_id WHERE a.variant_id <> b.variant_id) t""")
@@ -269,7 +269,7 @@ WITH m AS (SELECT run_id, metric, avg(score) AS mean, var_samp(score) AS var, co
 b AS (SELECT m.* FROM m WHERE run_id = (SELECT min(run_id) FROM eval_results)),
 j AS (SELECT a.run_id, a.metric, a.mean AS mean_a, b.mean AS mean_b, a.var AS va, a.n AS na, b.var AS vb, b.n AS nb
       FROM m a JOIN b ON a.metric = b.metric WHERE a.run_id <> b.run_id)
-SELECT run_id, metric, round(mean_a, 6) AS value_run, round(mean_b, 6) AS value_baseline, round(mean_a - mean_b, 6) AS difference,
+SELECT run_id, metric, round(mean_a, 6) AS value_run, round(mean_b, 6) AS value_baseline, round(mean_a - mean_b, 6) + 0.0 AS difference,
   CASE WHEN mean_a > mean_b THEN 'run' WHEN mean_a < mean_b THEN 'baseline' ELSE 'tie' END AS better,
   round((mean_a - mean_b) / sqrt(va / na + vb / nb), 6) AS t_stat,
   round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 6) AS df
