@@ -44,12 +44,13 @@ _W = S.split_ws("text")
 _NS = "len(regexp_split_to_array(text, '[.!?]+'))"
 _VARS = f"len(list_distinct(list_transform(regexp_extract_all(text, '\\{{\\{{([^}}]+)\\}}\\}}', 1), lambda m: {S.strip('split_part(m, chr(58), 1)')})))"
 _DIV = f"(CASE WHEN len({_W}) > 0 THEN len(list_distinct({S.toks('text')})) / len({_W}) ELSE 0.0 END)"
+_SCORE = f"least(100.0, (len({_W}) / 10) * 0.3 + ({_NS} / 5) * 0.2 + ({_VARS} * 5) * 0.2 + ({_DIV} * 50) * 0.3)"
 COMPLEXITY_SQL = f"""length(text) AS character_count, len({_W}) AS word_count, {_NS} AS sentence_count,
   len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: len({S.split_ws('p')}) > 0)) AS paragraph_count,
   len(list_distinct({S.toks('text')})) AS unique_words, round({_DIV}, 6) AS vocabulary_diversity, {_VARS} AS variable_count,
   round(CASE WHEN {_NS} > 0 THEN len({_W}) / {_NS} ELSE 0.0 END, 6) AS avg_words_per_sentence,
   round(CASE WHEN len({_W}) > 0 THEN length(text) / len({_W}) ELSE 0.0 END, 6) AS avg_chars_per_word,
-  round(least(100.0, (len({_W}) / 10) * 0.3 + ({_NS} / 5) * 0.2 + ({_VARS} * 5) * 0.2 + ({_DIV} * 50) * 0.3), 6) AS complexity_score"""
+  round({_SCORE}, 6) AS complexity_score"""
 
 
 @query("tx3_complexity", sql=f"SELECT doc_id, {COMPLEXITY_SQL} FROM documents")
@@ -143,9 +144,10 @@ def tx8(spark, d):
 
 
 @query("tx9_quality_report", sql=f"""
-WITH c AS (SELECT doc_id, text, {COMPLEXITY_SQL}, {_tags_sql()} AS tags, len({S.split_ws('text')}) AS token_count FROM documents),
-q AS (SELECT doc_id, token_count, least(100.0, greatest(0.0, 100 - complexity_score)) AS readability_score,
-  CASE WHEN avg_words_per_sentence > 20 THEN 80.0 ELSE 100.0 END AS clarity_score,
+WITH c AS (SELECT doc_id, text, {_SCORE} AS raw_complexity, CASE WHEN {_NS} > 0 THEN len({_W}) / {_NS} ELSE 0.0 END AS awps,
+  {_tags_sql()} AS tags, len({S.split_ws('text')}) AS token_count FROM documents),
+q AS (SELECT doc_id, token_count, least(100.0, greatest(0.0, 100 - raw_complexity)) AS readability_score,
+  CASE WHEN awps > 20 THEN 80.0 ELSE 100.0 END AS clarity_score,
   80.0 + CASE WHEN list_contains(tags, 'examples_requested') THEN 10 ELSE 0 END + CASE WHEN list_contains(tags, 'format_specification') THEN 10 ELSE 0 END
        + CASE WHEN list_contains(tags, 'context_provided') THEN 5 ELSE 0 END AS completeness_score FROM c)
 SELECT doc_id, token_count, round(readability_score, 4) AS readability_score, clarity_score, completeness_score,
