@@ -150,14 +150,15 @@ q AS (SELECT doc_id, token_count, least(100.0, greatest(0.0, 100 - raw_complexit
   CASE WHEN awps > 20 THEN 80.0 ELSE 100.0 END AS clarity_score,
   80.0 + CASE WHEN list_contains(tags, 'examples_requested') THEN 10 ELSE 0 END + CASE WHEN list_contains(tags, 'format_specification') THEN 10 ELSE 0 END
        + CASE WHEN list_contains(tags, 'context_provided') THEN 5 ELSE 0 END AS completeness_score FROM c)
-SELECT doc_id, token_count, round(readability_score, 4) AS readability_score, clarity_score, completeness_score,
-  round(readability_score * 0.3 + clarity_score * 0.3 + completeness_score * 0.4, 4) AS overall_score,
+SELECT doc_id, token_count, floor(readability_score * 10000 + 0.5) / 10000 AS readability_score, clarity_score, completeness_score,
+  floor((readability_score * 0.3 + clarity_score * 0.3 + completeness_score * 0.4) * 10000 + 0.5) / 10000 AS overall_score,
   round(token_count / 1000 * 0.001 + token_count * 0.15 / 1000 * 0.002, 9) AS total_cost FROM q""")
 def tx9(spark, d):
     q = C.with_quality(_docs(spark, d))
     return q.select("doc_id", F.col("token_count").cast("long").alias("token_count"),
-                    F.round("readability_score", 4).alias("readability_score"), "clarity_score", "completeness_score",
-                    F.round("overall_score", 4).alias("overall_score"), F.round("total_cost", 9).alias("total_cost"))
+                    (F.floor(F.col("readability_score") * 10000 + 0.5) / 10000).alias("readability_score"),
+                    "clarity_score", "completeness_score",
+                    (F.floor(F.col("overall_score") * 10000 + 0.5) / 10000).alias("overall_score"), F.round("total_cost", 9).alias("total_cost"))
 
 
 _VAGUE = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(text), ' {w} ') THEN '{w}' END" for w in C.VAGUE_WORDS) + ")"
