@@ -63,3 +63,17 @@ def order_statistic(df: DataFrame, group: list[str], value: str, tiebreak: str,
 
 def rank_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def with_prefix_max(df: DataFrame, order: list, value: str, name: str = "prefix_max", exclusive: bool = True) -> DataFrame:
+    """Running max of ``value`` along a total order, distributed: range partitions are scanned
+    independently (a window over one range partition, bounded by its size) and carry the max of
+    all earlier partitions (one row per partition, broadcast)."""
+    o = with_ordinal(df, order, "_po").withColumn("_pp", F.spark_partition_id())
+    pmax = o.groupBy("_pp").agg(F.max(value).alias("_pm"), F.min("_po").alias("_pstart"))
+    carry = pmax.select("_pp", F.max("_pm").over(Window.orderBy("_pstart").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    frame = (Window.partitionBy("_pp").orderBy("_po").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0))
+    inner = o.withColumn("_in", F.max(value).over(frame))
+    j = inner.join(F.broadcast(carry), "_pp")
+    best = F.greatest(F.col("_in"), F.col("_carry"))  # greatest skips NULLs
+    return j.withColumn(name, best).drop("_po", "_pp", "_in", "_carry")
