@@ -1 +1,138 @@
-"""Queries (filled in progressively)."""
+"""Streaming queries (ST*): each lands derived files, runs the stream to completion
+(``availableNow``) into a checkpointed sink and returns the sink as a batch DataFrame."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.common import r6
+from ..sources import bindings as B
+from ..sources.io import write_parquet
+from ..sources.tables import table
+from ..session import scratch_path
+from ..streaming import jobs as J
+from .registry import query
+
+LOGS_SCHEMA = ("id BIGINT, timestamp TIMESTAMP_NTZ, level STRING, category STRING, message STRING, metadata STRING, "
+               "session_id STRING, duration_ms DOUBLE, user_id BIGINT, day DATE")
+
+
+def _zone(spark, name):
+    return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _land(df, spark, name, ts="timestamp"):
+    """Land a derived table as day-partitioned Parquet files (the stream's input)."""
+    p = _zone(spark, name)
+    write_parquet(df.withColumn("day", F.to_date(ts)), p, partition_by=["day"])
+    return p
+
+
+def _stream_logs(spark, d):
+    src = _land(B.logs(spark, d), spark, "logs-in")
+    return J.read_stream(spark, src, LOGS_SCHEMA, max_files=8)
+
+
+@query("st1_ingest_logs", uses=("logs",), sql="""
+SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS date, level, count(*) AS n FROM logs WHERE level <> 'DEBUG' GROUP BY ALL""")
+def st1(spark, d):
+    sink = _zone(spark, "logs-sink")
+    J.run_available(J.ingest_logs(_stream_logs(spark, d), sink, _zone(spark, "ck1"), "INFO"))
+    return spark.read.parquet(sink).groupBy(F.col("date").cast("string").alias("date"), "level").agg(F.count("*").alias("n"))
+
+
+@query("st2_correlate_stream", uses=("prompt_logs",), sql="""
+WITH q AS (SELECT request_id, "timestamp" AS req_ts FROM prompt_logs WHERE request_id % 10 <> 3),
+s AS (SELECT request_id, "timestamp" + INTERVAL 2 SECOND AS resp_ts, response FROM prompt_logs WHERE request_id % 7 <> 0),
+m AS (SELECT max("timestamp") AS mx FROM prompt_logs)
+SELECT q.request_id, s.response IS NOT NULL AS matched FROM q LEFT JOIN s ON q.request_id = s.request_id, m
+WHERE q.req_ts < m.mx - INTERVAL 3 HOUR""")
+def st2(spark, d):
+    pl = B.prompt_logs(spark, d)
+    req = pl.where(F.col("request_id") % 10 != 3).select("request_id", F.col("timestamp").alias("req_ts"), "prompt")
+    resp = pl.where(F.col("request_id") % 7 != 0).select(F.col("request_id").alias("resp_id"),
+                                                         (F.col("timestamp") + F.expr("INTERVAL 2 SECONDS")).alias("resp_ts"), "response")
+    rq = J.read_stream(spark, _land(req, spark, "req", "req_ts"), "request_id BIGINT, req_ts TIMESTAMP_NTZ, prompt STRING, day DATE", 4)
+    rs = J.read_stream(spark, _land(resp, spark, "resp", "resp_ts"), "resp_id BIGINT, resp_ts TIMESTAMP_NTZ, response STRING, day DATE", 4)
+    sink = _zone(spark, "corr-sink")
+    j = J.correlate_stream(rq, rs, "1 hour", "1 hour")
+    J.run_available(j.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _zone(spark, "ck2")))
+    # Requests whose join range closed before the end of the input are final.
+    mx = pl.agg(F.max("timestamp").alias("mx"))
+    out = (spark.read.parquet(sink).crossJoin(mx)
+           .where(F.col("req_ts").cast("timestamp_ntz") < F.col("mx") - F.expr("INTERVAL 3 HOURS")))
+    return out.select("request_id", F.col("response").isNotNull().alias("matched"))
+
+
+@query("st3_running_counts", uses=("logs",), sql="SELECT level, category, count(*) AS count FROM logs GROUP BY level, category")
+def st3(spark, d):
+    path = _zone(spark, "counts")
+    agg = J.running_counts(_stream_logs(spark, d))
+    J.run_available(agg.writeStream.outputMode("update").foreachBatch(J.upsert_batches(path, ["level", "category"]))
+                    .option("checkpointLocation", _zone(spark, "ck3")))
+    return J.read_upserted(spark, path, ["level", "category"]).select("level", "category", "count")
+
+
+@query("st4_windowed_usage", uses=("prompt_logs",), sql="""
+SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start, count(*) AS requests,
+  CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens,
+  round(avg(nullif(latency, 0)), 6) AS avg_latency, round(count_if(coalesce(error, '') <> '') / count(*), 6) AS error_rate
+FROM prompt_logs GROUP BY 1""")
+def st4(spark, d):
+    pl = B.prompt_logs(spark, d)
+    schema = ", ".join(f"`{n}` {t}" for n, t in pl.dtypes) + ", day DATE"
+    s = J.read_stream(spark, _land(pl, spark, "pl"), schema, 8)
+    path = _zone(spark, "usage")
+    J.run_available(J.windowed_usage(s).writeStream.outputMode("update")
+                    .foreachBatch(J.upsert_batches(path, ["window_start"])).option("checkpointLocation", _zone(spark, "ck4")))
+    u = J.read_upserted(spark, path, ["window_start"])
+    return u.select("window_start", "requests", "tokens", r6("avg_latency", "avg_latency"), r6("error_rate", "error_rate"))
+
+
+@query("st5_rate_limit_stream")
+def st5(spark, d):
+    """Per-user limiter (5 accepted per hour) with state bounded by the limit; rows only."""
+    e = table(spark, d, "events")
+    s = J.read_stream(spark, _land(e, spark, "ev", "ts"),
+                      "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, day DATE")
+    sink = _zone(spark, "limit-sink")
+    J.run_available(J.rate_limit_stream(s, 5, 3600.0).writeStream.format("parquet").option("path", sink)
+                    .option("checkpointLocation", _zone(spark, "ck5")))
+    return spark.read.parquet(sink)
+
+
+@query("st6_job_progress", sql="""
+SELECT user_id, round(max(value), 6) AS best_score, arg_max(event_id, ts) AS progress, count(*) AS steps FROM events GROUP BY user_id""")
+def st6(spark, d):
+    e = table(spark, d, "events")
+    s = J.read_stream(spark, _land(e, spark, "ev6", "ts"),
+                      "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, day DATE", 8)
+    path = _zone(spark, "progress")
+    J.run_available(J.progress(s, "user_id", "value", "ts", "event_id").writeStream.outputMode("update")
+                    .foreachBatch(J.upsert_batches(path, ["user_id"])).option("checkpointLocation", _zone(spark, "ck6")))
+    u = J.read_upserted(spark, path, ["user_id"])
+    return u.select("user_id", r6("best_score", "best_score"), "progress", "steps")
+
+
+@query("st7_dedup_stream", sql="SELECT count(DISTINCT event_id) AS n_unique, CAST(sum(DISTINCT event_id) AS BIGINT) AS id_sum FROM events")
+def st7(spark, d):
+    e = table(spark, d, "events")
+    dup = e.unionByName(e.where(F.col("event_id") % 10 == 0))  # re-delivered copies in the same files
+    s = J.read_stream(spark, _land(dup, spark, "ev7", "ts"),
+                      "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, day DATE", 8)
+    sink = _zone(spark, "dedup-sink")
+    J.run_available(J.dedup_stream(s, "event_id", "ts").writeStream.format("parquet").option("path", sink)
+                    .option("checkpointLocation", _zone(spark, "ck7")))
+    out = spark.read.parquet(sink)
+    return out.agg(F.count("*").alias("n_unique"), F.sum("event_id").alias("id_sum"))
+
+
+@query("st8_sink_retention", uses=("logs",), sql="""
+SELECT count(*) AS kept FROM logs WHERE level <> 'DEBUG' AND "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY""")
+def st8(spark, d):
+    sink = _zone(spark, "logs-sink8")
+    J.run_available(J.ingest_logs(_stream_logs(spark, d), sink, _zone(spark, "ck8"), "INFO"))
+    kept = J.retain_days(spark, sink, "2024-01-31 00:00:00", 10, _zone(spark, "logs-kept"))
+    return kept.agg(F.count("*").alias("kept"))
