@@ -375,3 +375,38 @@ def row_metrics(df: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFram
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["UNICODE_WS"]
+
+
+# ---------------------------------------------------------------- PM7 TF-IDF cosine
+# Word tokens of two or more word characters (letters, digits, underscore), lower-cased.
+WORD2_RE = r"[\p{L}\p{N}_]{2,}"
+
+
+def tfidf_cosine(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
+                 stop_words: tuple[str, ...] | None = None) -> DataFrame:
+    """Per pair: cosine of TF-IDF vectors fitted on predictions ∪ references (smooth idf
+    ln((1+n)/(1+df)) + 1, raw term counts, L2 norm, English stop words removed), clamped at 0.
+
+    Term counts come from one explode + ``groupBy``; document frequencies from a ``groupBy(term)``
+    joined back on the term (AQE splits a skewed term partition); dot products and norms are
+    regrouped by pair."""
+    from ..functions.stopwords import english_stop_words
+    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else english_stop_words())])
+    docs = (df.select(F.col(key).alias("_k"), F.explode(F.array(
+        F.struct(F.lit("p").alias("side"), F.col(pred).alias("t")),
+        F.struct(F.lit("r").alias("side"), F.col(ref).alias("t")))).alias("d"))
+        .select("_k", "d.side", F.filter(F.regexp_extract_all(F.lower(F.col("d.t")), F.lit(WORD2_RE), 0),
+                                         lambda w: ~F.array_contains(stops, w)).alias("terms")))
+    n_docs = df.agg((F.count("*") * 2).alias("_n"))
+    tf = docs.select("_k", "side", F.explode("terms").alias("term")).groupBy("_k", "side", "term").agg(F.count("*").alias("tf"))
+    dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
+    w = (tf.join(dfreq, "term").crossJoin(F.broadcast(n_docs))
+           .withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)))
+    per_term = w.groupBy("_k", "term").agg(F.sum(F.when(F.col("side") == "p", F.col("w"))).alias("wp"),
+                                           F.sum(F.when(F.col("side") == "r", F.col("w"))).alias("wr"))
+    g = per_term.groupBy("_k").agg(F.sum(F.coalesce("wp", F.lit(0.0)) * F.coalesce("wr", F.lit(0.0))).alias("dot"),
+                                   F.sqrt(F.sum(F.coalesce("wp", F.lit(0.0)) ** 2)).alias("np"),
+                                   F.sqrt(F.sum(F.coalesce("wr", F.lit(0.0)) ** 2)).alias("nr"))
+    cos = F.when((F.col("np") > 0) & (F.col("nr") > 0), F.greatest(F.lit(0.0), F.col("dot") / (F.col("np") * F.col("nr"))))
+    keys = df.select(F.col(key).alias("_k"))
+    return keys.join(g, "_k", "left").select(F.col("_k").alias(key), F.coalesce(cos, F.lit(0.0)).alias("tfidf_similarity"))
