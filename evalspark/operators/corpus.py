@@ -363,3 +363,66 @@ def numbered_items(df: DataFrame, text: str, key: str) -> DataFrame:
 # ---------------------------------------------------------------- TX19
 def content_hash(c) -> Column:
     return F.md5(_c(c))
+
+
+# ---------------------------------------------------------------- TX6 render
+VAR_WHOLE_RE = r"(\{\{[^}]+\}\})"
+VAR_SPLIT_RE = r"\{\{[^}]+\}\}"
+
+
+def render_template(template, values) -> Column:
+    """Replace every ``{{name}}`` / ``{{name:type}}`` by ``values[name]`` (a map column); a
+    variable without a value keeps its placeholder."""
+    t, m = _c(template), _c(values)
+    parts = F.split(t, VAR_SPLIT_RE, -1)
+    whole = F.regexp_extract_all(t, F.lit(VAR_WHOLE_RE), 1)
+    names = F.transform(F.regexp_extract_all(t, F.lit(VAR_RE), 1), lambda s: strip_ws(F.split(s, ":", 2)[0]))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.size(names) - 1),
+                                    lambda i: F.concat(F.coalesce(F.element_at(m, F.element_at(names, i + 1)), F.element_at(whole, i + 1)),
+                                                       F.element_at(parts, i + 2))), "")
+    return F.when(F.size(names) == 0, t).otherwise(F.concat(F.element_at(parts, 1), body))
+
+
+def template_variable_issues(df: DataFrame, key: str, template: str, values: str) -> DataFrame:
+    """Missing required variables (errors) and unused provided variables (warnings)."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all(F.col(template), F.lit(VAR_RE), 1),
+                                         lambda s: strip_ws(F.split(s, ":", 2)[0])))
+    keys = F.map_keys(F.col(values))
+    miss = df.select(key, F.explode(F.array_except(names, keys)).alias("variable")).select(
+        key, "variable", F.lit("error").alias("severity"), F.concat(F.lit("Missing required variable: "), F.col("variable")).alias("message"))
+    unused = df.select(key, F.explode(F.array_except(keys, names)).alias("variable")).select(
+        key, "variable", F.lit("warning").alias("severity"), F.concat(F.lit("Unused variable: "), F.col("variable")).alias("message"))
+    return miss.unionByName(unused)
+
+
+# ---------------------------------------------------------------- TX15 section reorder
+# Section keywords and the section order of the reference.
+SECTION_KEYWORDS = [
+    ("context", ["context", "background", "about"]),
+    ("example", ["example", "instance", "sample"]),
+    ("format", ["format", "output", "structure"]),
+    ("constraint", ["constraint", "rule", "requirement", "must", "should"]),
+    ("task", ["task", "goal", "objective", "do", "create", "generate"]),
+]
+SECTION_ORDER = ["context", "task", "other", "example", "format", "constraint"]
+
+
+def reorder_sections(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Split on blank lines (before any whitespace cleaning), strip the lines of each section,
+    classify it by keywords (first class that matches) and re-join in the fixed class order
+    (stable inside a class)."""
+    secs = df.select(key, F.posexplode(F.split(F.col(text), r"\n(?U)\s*\n", -1)).alias("pos", "sec"))
+    lines = F.filter(F.transform(F.split("sec", "\n", -1), lambda l: strip_ws(l)), lambda l: l != "")
+    secs = secs.select(key, "pos", F.array_join(lines, "\n").alias("sec")).where(F.col("sec") != "")
+    low = F.lower("sec")
+    cls = F.lit("other")
+    for name, words in reversed(SECTION_KEYWORDS):
+        hit = None
+        for w in words:
+            h = low.contains(w)
+            hit = h if hit is None else (hit | h)
+        cls = F.when(hit, F.lit(name)).otherwise(cls)
+    rank = F.array_position(F.array(*[F.lit(c) for c in SECTION_ORDER]), cls)
+    s = secs.select(key, "pos", "sec", rank.alias("rank"))
+    return s.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "pos", "sec"))),
+                                                       lambda x: x["sec"]), "\n\n").alias("optimized"))

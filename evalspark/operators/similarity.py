@@ -378,3 +378,55 @@ def line_diff(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     status = (F.when(ea & eb, F.lit(None)).when(ea, "added").when(eb, "removed")
                .when(F.col("la") == F.col("lb"), "unchanged").otherwise("modified"))
     return j.select(key, "pos", status.alias("status")).where(F.col("status").isNotNull())
+
+
+# ------------------------------------------------------------------ SI21 noise injection
+def inject_noise(df: DataFrame, key: str, text: str, levels: list[float], seed: int = 7) -> DataFrame:
+    """For each level: change one character in ``int(words·level)`` words (words of length > 1),
+    chosen by a hash of (seed, level, key, word index); the replacement position and letter come
+    from the same hash, so the result is reproducible and independent of partitioning."""
+    lv = F.explode(F.array(*[F.lit(float(x)) for x in levels])).alias("level")
+    base = df.select(key, F.col(text).alias("_t"), lv).withColumn("_w", split_ws("_t"))
+
+    def h(i):
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("level").cast("string"),
+                                                    F.col(key).cast("string"), i.cast("string"))), 1, 12), 16, 10).cast("long")
+
+    k = F.floor(F.size("_w") * F.col("level")).cast("int")
+    # rank of every word index by its hash: index i is chosen when fewer than k indices hash lower
+    ranked = base.withColumn("_hs", F.transform("_w", lambda w, i: F.struct(h(i).alias("h"), i.alias("i"))))
+    chosen = ranked.withColumn("_sel", F.transform(F.slice(F.array_sort("_hs"), 1, F.greatest(k, F.lit(0))), lambda s: s["i"]))
+
+    def mutate(w, i):
+        hv = h(i)
+        pos = (hv % F.length(w)).cast("int")
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), ((F.floor(hv / 7) % 26) + 1).cast("int"), 1)
+        new = F.concat(F.substring(w, 1, pos), letter, F.substring(w, pos + 2, 1 << 30))
+        return F.when(F.array_contains(F.col("_sel"), i) & (F.length(w) > 1), new).otherwise(w)
+
+    noisy = chosen.withColumn("noisy", F.when(k == 0, F.col("_t")).otherwise(F.array_join(F.transform("_w", mutate), " ")))
+    return noisy.select(key, "level", F.col("_t").alias("original"), "noisy")
+
+
+def noise_robustness(noisy: DataFrame, key: str) -> DataFrame:
+    """Per key: Jaccard of original and noisy tokens per level, and their mean over levels."""
+    per = noisy.withColumn("robustness", set_jaccard(tokens("original"), tokens("noisy"), 0.0, 0.0))
+    return per.groupBy(key).agg(F.avg("robustness").alias("overall_robustness"),
+                                F.map_from_entries(F.collect_list(F.struct(F.col("level").cast("string"), "robustness"))).alias("by_level"))
+
+
+# ------------------------------------------------------------------ SI24 parameter grid
+def parameter_grid(axes: dict[str, DataFrame], max_combinations: int = 50) -> DataFrame:
+    """Cartesian product of the parameter values (each axis: one column of values, sorted), in
+    key order (the first axis varies slowest), cut to the first ``max_combinations``.  Each axis
+    becomes one sorted array in a single row; the product is an in-row explode — no join."""
+    names = list(axes)
+    row = None
+    for n in names:
+        a = axes[n].agg(F.array_sort(F.collect_set(n)).alias(n))
+        row = a if row is None else row.crossJoin(a)  # one-row frames
+    out = row
+    for n in names:
+        out = out.select(*[c for c in out.columns if c != n], F.posexplode(n).alias(f"_{n}_i", n))
+    order = [F.col(f"_{n}_i") for n in names]
+    return out.orderBy(*order).limit(max_combinations).select(*names)

@@ -308,3 +308,58 @@ def tx18n(spark, d):
 @query("tx19_content_hash", sql="SELECT doc_id, md5(text) AS prompt_hash FROM documents")
 def tx19(spark, d):
     return _docs(spark, d).select("doc_id", C.content_hash("text").alias("prompt_hash"))
+
+
+def _render_input(spark, d):
+    bench = table(spark, d, "benchmark")
+    t = F.broadcast(B.templates(spark))  # four-row literal
+    vals = F.when(F.col("item_id") % 3 != 0, F.create_map(F.lit("name"), F.concat(F.lit("item "), F.col("item_id").cast("string")),
+                                                          F.lit("item"), F.col("text"))) \
+        .otherwise(F.create_map(F.lit("name"), F.concat(F.lit("item "), F.col("item_id").cast("string")), F.lit("extra"), F.lit("x")))
+    return bench.crossJoin(t).select("template_id", "item_id", "template", vals.alias("vals"))
+
+
+_RENDER_SQL = """r AS (SELECT t.template_id, b.item_id, t.template, b.text,
+  regexp_split_to_array(t.template, '\\{\\{[^}]+\\}\\}') AS parts, regexp_extract_all(t.template, '(\\{\\{[^}]+\\}\\})', 1) AS whole,
+  list_transform(regexp_extract_all(t.template, '\\{\\{([^}]+)\\}\\}', 1), lambda s: trim(split_part(s, ':', 1))) AS names
+  FROM templates t CROSS JOIN benchmark b)"""
+
+
+@query("tx6_render_template", uses=("templates",), sql=f"""WITH {_RENDER_SQL}
+SELECT template_id, item_id, CASE WHEN len(names) = 0 THEN template ELSE parts[1] || array_to_string(list_transform(range(len(names)),
+  lambda i: coalesce(CASE names[i + 1] WHEN 'name' THEN concat('item ', item_id) WHEN 'item' THEN CASE WHEN item_id % 3 <> 0 THEN text END END,
+                     whole[i + 1]) || parts[i + 2]), '') END AS rendered FROM r""")
+def tx6(spark, d):
+    r = _render_input(spark, d)
+    return r.select("template_id", "item_id", C.render_template("template", "vals").alias("rendered"))
+
+
+@query("tx6_variable_issues", uses=("templates",), sql=f"""WITH {_RENDER_SQL},
+v AS (SELECT template_id, item_id, list_distinct(names) AS names, CASE WHEN item_id % 3 <> 0 THEN ['name', 'item'] ELSE ['name', 'extra'] END AS keys FROM r)
+SELECT template_id, item_id, variable, 'error' AS severity, concat('Missing required variable: ', variable) AS message
+FROM (SELECT template_id, item_id, unnest(list_filter(names, lambda x: NOT list_contains(keys, x))) AS variable FROM v) a
+UNION ALL
+SELECT template_id, item_id, variable, 'warning', concat('Unused variable: ', variable)
+FROM (SELECT template_id, item_id, unnest(list_filter(keys, lambda x: NOT list_contains(names, x))) AS variable FROM v) b""")
+def tx6_issues(spark, d):
+    r = _render_input(spark, d).withColumn("_k", F.struct("template_id", "item_id"))
+    i = C.template_variable_issues(r, "_k", "template", "vals")
+    return i.select(F.col("_k.template_id").alias("template_id"), F.col("_k.item_id").alias("item_id"), "variable", "severity", "message")
+
+
+def _section_class_sql(s):
+    out = "'other'"
+    for name, words in reversed(C.SECTION_KEYWORDS):
+        cond = " OR ".join(f"contains(lower({s}), '{w}')" for w in words)
+        out = f"CASE WHEN {cond} THEN '{name}' ELSE {out} END"
+    return out
+
+
+@query("tx15_reorder_sections", sql=f"""
+WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[\\s\\x{{00A0}}]*\\n')) AS sec,
+             unnest(range(len(regexp_split_to_array(text, '\\n[\\s\\x{{00A0}}]*\\n')))) AS pos FROM documents),
+c AS (SELECT doc_id, pos, array_to_string(list_filter(list_transform(string_split(sec, chr(10)), lambda l: {S.strip('l')}), lambda l: l <> ''), chr(10)) AS sec FROM s),
+k AS (SELECT doc_id, pos, sec, list_position({[c for c in C.SECTION_ORDER]}, {_section_class_sql('sec')}) AS rank FROM c WHERE sec <> '')
+SELECT doc_id, string_agg(sec, chr(10) || chr(10) ORDER BY rank, pos, sec) AS optimized FROM k GROUP BY doc_id""")
+def tx15(spark, d):
+    return C.reorder_sections(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")

@@ -340,3 +340,24 @@ def ev21(spark, d):
     ep = B.eval_pairs(spark, d)
     return ep.groupBy(F.col("lang").alias("variant")).agg(
         F.count("*").alias("n_cases"), r6(F.avg(pm.response_quality("pred", "ref")), "variant_score"))
+
+
+@query("ev1_evaluation_facts")
+def ev1(spark, d):
+    """Prompts × cases: every template formatted with every benchmark input, run through the
+    user's model (mapInPandas), scored per metric against the case text; failures kept."""
+    from pyspark.sql.functions import broadcast
+    from ..operators.udf import generate_batch
+    from ..sources.tables import table
+    from .udf_fixtures import EchoModel
+    bench = table(spark, d, "benchmark")
+    cases = bench.crossJoin(broadcast(B.templates(spark))).select(
+        (F.col("template_id") * 1000000 + F.col("item_id")).alias("case_key"), "template_id", "item_id",
+        pm.format_prompt("template", "text").alias("prompt"), F.col("text").alias("expected"))
+    out = generate_batch(cases, "prompt", "case_key", EchoModel).join(cases.drop("prompt"), "case_key")
+    scored = out.select("template_id", "item_id", (F.col("finish_reason") != "error").alias("success"), "error",
+                        F.explode(F.array(
+                            F.struct(F.lit("exact_match").alias("metric"), pm.exact_match("text", "expected").alias("score")),
+                            F.struct(F.lit("jaccard").alias("metric"), pm.token_jaccard("text", "expected").alias("score")),
+                            F.struct(F.lit("response_quality").alias("metric"), pm.response_quality("text", "expected").alias("score")))).alias("m"))
+    return scored.select("template_id", "item_id", "success", "error", "m.metric", r6("m.score", "score"))

@@ -254,3 +254,25 @@ FROM j WHERE NOT (coalesce(la, '') = '' AND coalesce(lb, '') = '')""")
 def si26(spark, d):
     t = B.turns(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "context", "response")
     return SIM.line_diff(t, "k", "context", "response")
+
+
+@query("si21_noise_robustness")
+def si21(spark, d):
+    """Noise injection at levels .1/.2/.3 on benchmark prompts; Jaccard robustness per level and overall
+    (the texts stand in for model responses)."""
+    n = SIM.inject_noise(table(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", [0.1, 0.2, 0.3])
+    r = SIM.noise_robustness(n, "item_id")
+    return r.select("item_id", r6("overall_robustness", "overall_robustness"))
+
+
+@query("si24_parameter_grid", sql="""
+WITH a AS (SELECT DISTINCT l_discount FROM lineitem), b AS (SELECT DISTINCT l_tax FROM lineitem),
+g AS (SELECT l_discount, l_tax FROM a, b ORDER BY l_discount, l_tax LIMIT 50),
+s AS (SELECT l_discount, l_tax, avg(l_extendedprice) AS score, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT g.l_discount, g.l_tax, round(s.score, 6) AS score, coalesce(s.n, 0) AS n FROM g LEFT JOIN s USING (l_discount, l_tax)""")
+def si24(spark, d):
+    li = table(spark, d, "lineitem")
+    grid = SIM.parameter_grid({"l_discount": li.select("l_discount"), "l_tax": li.select("l_tax")}, 50)
+    s = li.groupBy("l_discount", "l_tax").agg(F.avg("l_extendedprice").alias("score"), F.count("*").alias("n"))
+    j = grid.join(s, ["l_discount", "l_tax"], "left")
+    return j.select("l_discount", "l_tax", r6("score", "score"), F.coalesce("n", F.lit(0)).alias("n"))
