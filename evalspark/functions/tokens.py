@@ -19,7 +19,7 @@ def _c(c) -> Column:
 
 def split_ws(c) -> Column:
     """``str.split()`` without lower-casing."""
-    return F.filter(F.split(_c(c), UNICODE_WS), lambda w: w != "")
+    return F.array_remove(F.split(_c(c), UNICODE_WS), "")
 
 
 def tokens(c) -> Column:

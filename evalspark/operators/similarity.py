@@ -68,23 +68,35 @@ def prefix_len(n: Column, t: float) -> Column:
 
 def similarity_join(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     """Edges (a, b, jaccard) with a < b and token-set Jaccard > threshold, among the given sets
-    (call on representatives: identical sets are collapsed beforehand)."""
+    (call on representatives: identical sets are collapsed beforehand).
+
+    Filters, all exact: prefix (a pair above the threshold shares a token among the first
+    |x| − ⌈t·|x|⌉ + 1 rarest tokens of each set), length (t·|a| ≤ |b| ≤ |a|/t) and position
+    (tokens are in one global order, so every common token lies at or after the first common
+    prefix position in both sets: overlap ≤ min(|a| − pos_a, |b| − pos_b), which must reach
+    ⌈t/(1+t)·(|a|+|b|)⌉).  Survivors are verified with one ``array_intersect``."""
     ex = sets.select(key, "n", F.explode("toks").alias("tok"))
     df_tok = ex.groupBy("tok").agg(F.count("*").alias("df"))
     ranked = ex.join(df_tok, "tok")
     ordered = ranked.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("_o"))
-    prefix = ordered.select(key, "n", F.explode(F.slice(F.transform("_o", lambda s: s["tok"]), 1,
-                                                        F.greatest(prefix_len(F.col("n"), threshold), F.lit(1)).cast("int")))
-                            .alias("tok"))
-    a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "tok")
-    b = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "tok")
-    cand = (a.join(b, "tok").where((F.col("a") < F.col("b"))
-                                   & (F.col("nb") >= F.col("na") * threshold) & (F.col("na") >= F.col("nb") * threshold))
-             .select("a", "b").distinct())
+    plen = F.greatest(prefix_len(F.col("n"), threshold), F.lit(1)).cast("int")
+    # A prefix token held by a single set can never pair: it keeps its position but is not
+    # exploded into the candidate join.
+    prefix = (ordered.select(key, "n", F.posexplode(F.slice("_o", 1, plen)).alias("pos", "_p"))
+              .where(F.col("_p.df") > 1).select(key, "n", "pos", F.col("_p.tok").alias("tok")))
+    a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "tok")
+    b = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "tok")
+    pairs = (a.join(b, "tok").where((F.col("a") < F.col("b"))
+                                    & (F.col("nb") >= F.col("na") * threshold) & (F.col("na") >= F.col("nb") * threshold))
+             .groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")))
+    need = F.ceil(F.lit(threshold / (1.0 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))
+    cand = pairs.where(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need).select("a", "b", "na", "nb")
     sa = sets.select(F.col(key).alias("a"), F.col("toks").alias("ta"))
     sb = sets.select(F.col(key).alias("b"), F.col("toks").alias("tb"))
-    v = cand.join(sa, "a").join(sb, "b").withColumn("jaccard", set_jaccard(F.col("ta"), F.col("tb"), 1.0, 0.0))
-    return v.where(F.col("jaccard") > threshold).select("a", "b", "jaccard")
+    inter = F.size(F.array_intersect("ta", "tb"))
+    jac = inter / (F.col("na") + F.col("nb") - inter)
+    v = cand.join(sa, "a").join(sb, "b").select("a", "b", jac.alias("jaccard"))
+    return v.where(F.col("jaccard") > threshold)
 
 
 # ------------------------------------------------------------------ SI2
