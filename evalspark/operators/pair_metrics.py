@@ -54,13 +54,16 @@ def keyword_relevance(output, context) -> Column:
 
 # ---------------------------------------------------------------- PM3 / PM4 shared n-gram plan
 def ngram_match_counts(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
-                       max_n: int = 4) -> DataFrame:
+                       max_n: int = 4, carry: list[str] | None = None) -> DataFrame:
     """Per pair: token counts ``lp``, ``lr`` and clipped n-gram matches ``m1..m{max_n}``.
 
     Clipped matches of order n = Σ_g min(count_pred(g), count_ref(g)).
-    One exchange (hash on ``key``); the three aggregations after it reuse it.
+    One exchange (hash on ``key``); the three aggregations after it reuse it.  ``carry`` columns
+    (functionally dependent on the key, e.g. a group label or row-local metrics computed before
+    the exchange) ride along as grouping keys, so callers need no second scan or join.
     """
-    base = (df.select(F.col(key).alias("_k"), tokens(pred).alias("_pt"), tokens(ref).alias("_rt"))
+    carry = list(carry or [])
+    base = (df.select(F.col(key).alias("_k"), *carry, tokens(pred).alias("_pt"), tokens(ref).alias("_rt"))
               .repartition("_k"))
     def tagged(arr: str, n: int, is_pred: bool) -> Column:
         return F.transform(ngrams(F.col(arr), n), lambda g: F.struct(
@@ -68,12 +71,12 @@ def ngram_match_counts(df: DataFrame, key: str, pred: str = "pred", ref: str = "
             F.lit(0 if is_pred else 1).alias("r")))
 
     parts = [tagged(arr, n, arr == "_pt") for n in range(1, max_n + 1) for arr in ("_pt", "_rt")]
-    exploded = base.select("_k", F.size("_pt").alias("lp"), F.size("_rt").alias("lr"),
+    exploded = base.select("_k", *carry, F.size("_pt").alias("lp"), F.size("_rt").alias("lr"),
                            F.explode_outer(F.concat(*parts)).alias("e"))
-    per_gram = (exploded.groupBy("_k", "lp", "lr", F.col("e.n").alias("n"), F.col("e.g").alias("g"))
+    per_gram = (exploded.groupBy("_k", *carry, "lp", "lr", F.col("e.n").alias("n"), F.col("e.g").alias("g"))
                 .agg(F.sum("e.p").alias("cp"), F.sum("e.r").alias("cr")))
-    per_n = per_gram.groupBy("_k", "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("m"))
-    wide = per_n.groupBy("_k", "lp", "lr").agg(
+    per_n = per_gram.groupBy("_k", *carry, "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("m"))
+    wide = per_n.groupBy("_k", *carry, "lp", "lr").agg(
         *[F.coalesce(F.sum(F.when(F.col("n") == i, F.col("m"))), F.lit(0)).cast("long").alias(f"m{i}")
           for i in range(1, max_n + 1)])
     return wide.withColumnRenamed("_k", key)
@@ -106,12 +109,13 @@ def rouge_n_from_counts(n: int, lp="lp", lr="lr") -> tuple[Column, Column, Colum
     return prec, rec, f
 
 
-def ngram_scores(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """BLEU and ROUGE-1/2 P/R/F per pair."""
-    c = ngram_match_counts(df, key, pred, ref, 4)
+def ngram_scores(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
+                 carry: list[str] | None = None) -> DataFrame:
+    """BLEU and ROUGE-1/2 P/R/F per pair (plus the ``carry`` columns)."""
+    c = ngram_match_counts(df, key, pred, ref, 4, carry)
     p1, r1, f1 = rouge_n_from_counts(1)
     p2, r2, f2 = rouge_n_from_counts(2)
-    return c.select(key, bleu_from_counts().alias("bleu"),
+    return c.select(key, *(carry or []), bleu_from_counts().alias("bleu"),
                     p1.alias("rouge1_p"), r1.alias("rouge1_r"), f1.alias("rouge1_f"),
                     p2.alias("rouge2_p"), r2.alias("rouge2_r"), f2.alias("rouge2_f"))
 
@@ -391,22 +395,23 @@ def tfidf_cosine(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
     joined back on the term (AQE splits a skewed term partition); dot products and norms are
     regrouped by pair."""
     from ..functions.stopwords import english_stop_words
-    stops = F.array(*[F.lit(w) for w in (stop_words if stop_words is not None else english_stop_words())])
+    stops = list(stop_words if stop_words is not None else english_stop_words())
     docs = (df.select(F.col(key).alias("_k"), F.explode(F.array(
         F.struct(F.lit("p").alias("side"), F.col(pred).alias("t")),
         F.struct(F.lit("r").alias("side"), F.col(ref).alias("t")))).alias("d"))
         .select("_k", "d.side", F.filter(F.regexp_extract_all(F.lower(F.col("d.t")), F.lit(WORD2_RE), 0),
-                                         lambda w: ~F.array_contains(stops, w)).alias("terms")))
+                                         lambda w: ~w.isin(stops)).alias("terms")))  # InSet: hash lookup
     n_docs = df.agg((F.count("*") * 2).alias("_n"))
-    tf = docs.select("_k", "side", F.explode("terms").alias("term")).groupBy("_k", "side", "term").agg(F.count("*").alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
-    w = (tf.join(dfreq, "term").crossJoin(F.broadcast(n_docs))
-           .withColumn("w", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)))
-    per_term = w.groupBy("_k", "term").agg(F.sum(F.when(F.col("side") == "p", F.col("w"))).alias("wp"),
-                                           F.sum(F.when(F.col("side") == "r", F.col("w"))).alias("wr"))
-    g = per_term.groupBy("_k").agg(F.sum(F.coalesce("wp", F.lit(0.0)) * F.coalesce("wr", F.lit(0.0))).alias("dot"),
-                                   F.sqrt(F.sum(F.coalesce("wp", F.lit(0.0)) ** 2)).alias("np"),
-                                   F.sqrt(F.sum(F.coalesce("wr", F.lit(0.0)) ** 2)).alias("nr"))
+    # term counts of both sides of a pair in one aggregation keyed (pair, term)
+    kt = (docs.select("_k", "side", F.explode("terms").alias("term"))
+              .groupBy("_k", "term").agg(F.count_if(F.col("side") == "p").alias("tp"),
+                                         F.count_if(F.col("side") == "r").alias("tr")))
+    dfreq = kt.groupBy("term").agg(F.sum((F.col("tp") > 0).cast("int") + (F.col("tr") > 0).cast("int")).alias("df"))
+    idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
+    w = kt.join(dfreq, "term").crossJoin(F.broadcast(n_docs)).select("_k", (F.col("tp") * idf).alias("wp"),
+                                                                     (F.col("tr") * idf).alias("wr"))
+    g = w.groupBy("_k").agg(F.sum(F.col("wp") * F.col("wr")).alias("dot"), F.sqrt(F.sum(F.col("wp") ** 2)).alias("np"),
+                            F.sqrt(F.sum(F.col("wr") ** 2)).alias("nr"))
     cos = F.when((F.col("np") > 0) & (F.col("nr") > 0), F.greatest(F.lit(0.0), F.col("dot") / (F.col("np") * F.col("nr"))))
     keys = df.select(F.col(key).alias("_k"))
     return keys.join(g, "_k", "left").select(F.col("_k").alias(key), F.coalesce(cos, F.lit(0.0)).alias("tfidf_similarity"))

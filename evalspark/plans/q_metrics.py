@@ -16,9 +16,9 @@ EP = ("eval_pairs",)
 
 # ------------------------------------------------------------------ flagship slice
 def pm_summary_by_lang(spark, d):
-    ep = B.eval_pairs(spark, d)
-    ng = pm.ngram_scores(ep, "pair_id")
-    rows = pm.row_metrics(ep).join(ng, "pair_id")
+    ep = pm.row_metrics(B.eval_pairs(spark, d))
+    # one scan, one exchange: row-local metrics ride through the n-gram aggregation
+    rows = pm.ngram_scores(ep, "pair_id", carry=["lang", "exact_match", "jaccard"])
     return rows.groupBy("lang").agg(
         F.count("*").alias("n"), r6(F.avg("exact_match"), "exact_match"), r6(F.avg("bleu"), "bleu"),
         r6(F.avg("rouge1_f"), "rouge1_f"), r6(F.avg("rouge2_f"), "rouge2_f"), r6(F.avg("jaccard"), "jaccard"))
@@ -316,8 +316,8 @@ SELECT metric, n, round(coalesce(score, 0.0), 6) AS score,
   round(CASE WHEN n < 2 THEN 0.0 ELSE greatest(0.0, score - 1.96 * sd / sqrt(n)) END, 6) AS ci_low,
   round(CASE WHEN n < 2 THEN 1.0 ELSE least(1.0, score + 1.96 * sd / sqrt(n)) END, 6) AS ci_high FROM a""")
 def pm23(spark, d):
-    ep = B.eval_pairs(spark, d)
-    scored = pm.row_metrics(ep).join(pm.ngram_scores(ep, "pair_id").select("pair_id", "bleu"), "pair_id")
+    ep = pm.row_metrics(B.eval_pairs(spark, d))
+    scored = pm.ngram_scores(ep, "pair_id", carry=["exact_match", "jaccard", "response_quality", "graded_match"])
     t = pm.metric_table(scored, ["exact_match", "jaccard", "response_quality", "graded_match", "bleu"])
     return t.select("metric", "n", *[r6(c, c) for c in ("score", "ci_low", "ci_high")])
 
