@@ -321,11 +321,13 @@ def box_plot(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def timeline(df: DataFrame, ts: str, metrics: list[str], bucket: str | None = None) -> DataFrame:
-    """HS19: metrics melted to (ts, metric, value); with ``bucket`` averaged per time window."""
+    """HS19: metrics melted to (ts, metric, value); with ``bucket`` (a ``date_trunc`` unit such as
+    'hour' or 'day') averaged per bucket.  Truncation works on the wall-clock value, so the result
+    does not depend on the session time zone."""
     long = df.select(ts, *metrics).unpivot([ts], metrics, "metric", "value")
     if not bucket:
         return long
-    return long.groupBy(F.window(F.col(ts).cast("timestamp"), bucket).start.alias("bucket"), "metric") \
+    return long.groupBy(F.date_trunc(bucket, F.col(ts)).alias("bucket"), "metric") \
         .agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 

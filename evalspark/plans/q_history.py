@@ -230,7 +230,7 @@ def hs18(spark, d):
 WITH l AS (UNPIVOT (SELECT "timestamp", latency, cost FROM prompt_logs) ON latency, cost INTO NAME metric VALUE value)
 SELECT date_trunc('day', "timestamp") AS bucket, metric, round(avg(value), 6) AS value, count(value) AS n FROM l GROUP BY 1, 2""")
 def hs19(spark, d):
-    t = H.timeline(B.prompt_logs(spark, d), "timestamp", ["latency", "cost"], "1 day")
+    t = H.timeline(B.prompt_logs(spark, d), "timestamp", ["latency", "cost"], "day")
     return t.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "metric", r6("value", "value"), "n")
 
 
