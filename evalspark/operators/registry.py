@@ -69,10 +69,13 @@ def list_prompts(prompts: DataFrame, variants: DataFrame, sessions: DataFrame, s
 
 
 def flag_best_variants(variants: DataFrame) -> DataFrame:
-    """RG3: ``is_best`` = score equals the max truthy score of the prompt (ties all flagged)."""
-    w = Window.partitionBy("prompt_id")
-    best = F.max(F.when(F.col("performance_score") != 0, F.col("performance_score"))).over(w)
-    return variants.withColumn("is_best", F.coalesce(F.col("performance_score") == best, F.lit(False)))
+    """RG3: ``is_best`` = score equals the max truthy score of the prompt (ties all flagged).
+    The per-prompt max is a partial aggregation joined back on the prompt (no window holding a
+    whole prompt's variants in one task)."""
+    best = variants.groupBy("prompt_id").agg(
+        F.max(F.when(F.col("performance_score") != 0, F.col("performance_score"))).alias("_best"))
+    return (variants.join(best, "prompt_id", "left")
+            .withColumn("is_best", F.coalesce(F.col("performance_score") == F.col("_best"), F.lit(False))).drop("_best"))
 
 
 def top_tags(prompts: DataFrame, n: int = 10) -> DataFrame:

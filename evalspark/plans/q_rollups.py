@@ -319,11 +319,11 @@ SELECT count(*) AS n_results, first(variant_id ORDER BY accuracy DESC, run_id, v
   round(sum(cost) FILTER (WHERE completed), 6) AS total_cost, round(100.0 * count_if(completed) / count(*), 6) AS success_pct FROM v2""")
 def ev20(spark, d):
     facts = _facts(spark, d)
-    from pyspark.sql import Window
     v = facts.groupBy("run_id", P).agg(F.avg(F.when(F.col("metric") == "exact_match", F.col("score"))).alias("accuracy"),
                                        F.avg("latency_ms").alias("latency"), (F.count("*") * 0.001).alias("cost"),
                                        F.bool_and("success").alias("completed"))
-    v = v.withColumn("improvement", F.col("accuracy") - F.avg("accuracy").over(Window.partitionBy("run_id")))
+    run_mean = v.groupBy("run_id").agg(F.avg("accuracy").alias("_ra"))  # partial aggregate, joined back
+    v = v.join(run_mean, "run_id").withColumn("improvement", F.col("accuracy") - F.col("_ra")).drop("_ra")
     c = F.col("completed")
     return v.agg(F.count("*").alias("n_results"),
                  F.max_by(F.when(c, F.col(P)), F.when(c, F.struct(F.col("accuracy"), -F.col("run_id"), -F.col(P))))

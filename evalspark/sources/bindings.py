@@ -40,13 +40,17 @@ def eval_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    """User turn (context) followed directly by an assistant turn (response)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations")
-    return (c.select("conv_id", "turn", "role", "text",
-                     F.lead("text").over(w).alias("nxt"), F.lead("role").over(w).alias("nrole"))
-             .where((F.col("role") == "user") & (F.col("nrole") == "assistant"))
-             .select("conv_id", "turn", F.col("text").alias("context"), F.col("nxt").alias("response")))
+    """User turn (context) followed directly by an assistant turn (response).
+
+    "Next turn" is the next rank inside the conversation: ranks come from the skew-safe group
+    rank and the successor is an equi-join on (conversation, rank + 1), so a very long
+    conversation is never sorted inside one window task."""
+    from ..operators.ordinal import with_group_rank
+    c = with_group_rank(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"),
+                        ["conv_id"], ["turn"], "_r")
+    nxt = c.select("conv_id", (F.col("_r") - 1).alias("_r"), F.col("text").alias("response"), F.col("role").alias("nrole"))
+    return (c.where(F.col("role") == "user").join(nxt.where(F.col("nrole") == "assistant"), ["conv_id", "_r"])
+             .select("conv_id", "turn", F.col("text").alias("context"), "response"))
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
