@@ -65,6 +65,26 @@ def rank_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def with_group_prefix_max(df: DataFrame, group: list[str], order: list, value: str, name: str = "prefix_max",
+                          exclusive: bool = False) -> DataFrame:
+    """Running max of ``value`` inside each group along ``order``, skew-safe.
+
+    Rows are range-partitioned on (group, order); every partition is scanned on its own (a window
+    over one range partition and group, bounded by the partition size).  A group that spans
+    several partitions receives the max of its rows in the earlier partitions: one row per
+    (partition, group) is aggregated, and a window over those rows — at most one per partition for
+    a group — gives the carry."""
+    o = with_ordinal(df, [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order], "_po") \
+        .withColumn("_pp", F.spark_partition_id())
+    pg = o.groupBy("_pp", *group).agg(F.max(value).alias("_pm"))
+    carry = pg.select("_pp", *group, F.max("_pm").over(
+        Window.partitionBy(*group).orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    frame = Window.partitionBy("_pp", *group).orderBy("_po").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    inner = o.withColumn("_in", F.max(value).over(frame))
+    j = inner.join(carry, ["_pp", *group])
+    return j.withColumn(name, F.greatest(F.col("_in"), F.col("_carry"))).drop("_po", "_pp", "_in", "_carry")
+
+
 def with_prefix_max(df: DataFrame, order: list, value: str, name: str = "prefix_max", exclusive: bool = True) -> DataFrame:
     """Running max of ``value`` along a total order, distributed: range partitions are scanned
     independently (a window over one range partition, bounded by its size) and carry the max of

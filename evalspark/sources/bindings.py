@@ -163,12 +163,13 @@ def eval_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def opt_history(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = e.select(F.col("user_id").alias("run_id"), (F.row_number().over(w) - 1).alias("iteration"),
-                 F.col("value").alias("current_score"))
-    w2 = Window.partitionBy("run_id").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("run_id", "iteration", "current_score", F.max("current_score").over(w2).alias("best_score"))
+    """Optimisation history per run (= user): 0-based iteration in (ts, event_id) order and the
+    running best score — both from the skew-safe group rank / grouped prefix max."""
+    from ..operators.ordinal import with_group_prefix_max, with_group_rank
+    e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("current_score"))
+    t = with_group_rank(e, ["run_id"], ["ts", "event_id"], "iteration")
+    b = with_group_prefix_max(t, ["run_id"], ["iteration"], "current_score", "best_score")
+    return b.select("run_id", "iteration", "current_score", "best_score")
 
 
 def variants(spark: SparkSession, d: str) -> DataFrame:

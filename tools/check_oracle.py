@@ -57,7 +57,7 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in args if not a.startswith("/")]
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("CHECK_CORES", "8")), int(os.environ.get("CHECK_SHUFFLE", "8")))
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
