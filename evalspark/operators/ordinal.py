@@ -66,7 +66,7 @@ def rank_col(c) -> Column:
 
 
 def with_group_prefix_max(df: DataFrame, group: list[str], order: list, value: str, name: str = "prefix_max",
-                          exclusive: bool = False) -> DataFrame:
+                          exclusive: bool = False, rank_name: str | None = None) -> DataFrame:
     """Running max of ``value`` inside each group along ``order``, skew-safe.
 
     Rows are range-partitioned on (group, order); every partition is scanned on its own (a window
@@ -76,13 +76,16 @@ def with_group_prefix_max(df: DataFrame, group: list[str], order: list, value: s
     a group — gives the carry."""
     o = with_ordinal(df, [F.col(g) for g in group] + [F.col(c) if isinstance(c, str) else c for c in order], "_po") \
         .withColumn("_pp", F.spark_partition_id())
-    pg = o.groupBy("_pp", *group).agg(F.max(value).alias("_pm"))
+    pg = o.groupBy("_pp", *group).agg(F.max(value).alias("_pm"), F.min("_po").alias("_pmin"))
     carry = pg.select("_pp", *group, F.max("_pm").over(
-        Window.partitionBy(*group).orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+        Window.partitionBy(*group).orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+        F.min("_pmin").over(Window.partitionBy(*group)).alias("_gstart"))
     frame = Window.partitionBy("_pp", *group).orderBy("_po").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     inner = o.withColumn("_in", F.max(value).over(frame))
     j = inner.join(carry, ["_pp", *group])
-    return j.withColumn(name, F.greatest(F.col("_in"), F.col("_carry"))).drop("_po", "_pp", "_in", "_carry")
+    if rank_name:
+        j = j.withColumn(rank_name, F.col("_po") - F.col("_gstart"))
+    return j.withColumn(name, F.greatest(F.col("_in"), F.col("_carry"))).drop("_po", "_pp", "_in", "_carry", "_gstart")
 
 
 def with_prefix_max(df: DataFrame, order: list, value: str, name: str = "prefix_max", exclusive: bool = True) -> DataFrame:

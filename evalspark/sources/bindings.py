@@ -165,10 +165,9 @@ def eval_results(spark: SparkSession, d: str) -> DataFrame:
 def opt_history(spark: SparkSession, d: str) -> DataFrame:
     """Optimisation history per run (= user): 0-based iteration in (ts, event_id) order and the
     running best score — both from the skew-safe group rank / grouped prefix max."""
-    from ..operators.ordinal import with_group_prefix_max, with_group_rank
+    from ..operators.ordinal import with_group_prefix_max
     e = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("current_score"))
-    t = with_group_rank(e, ["run_id"], ["ts", "event_id"], "iteration")
-    b = with_group_prefix_max(t, ["run_id"], ["iteration"], "current_score", "best_score")
+    b = with_group_prefix_max(e, ["run_id"], ["ts", "event_id"], "current_score", "best_score", rank_name="iteration")
     return b.select("run_id", "iteration", "current_score", "best_score")
 
 
