@@ -60,12 +60,12 @@ def variable_schema(df: DataFrame, text: str, key: str) -> DataFrame:
 # ---------------------------------------------------------------- TX3 complexity
 def with_complexity(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
-    tmp = (df.withColumn("_words", split_ws(t)).withColumn("_ltok", tokens(t))
+    tmp = (df.withColumn("_words", split_ws(t)).withColumn("_uniq", F.size(F.array_distinct(tokens(t))))
              .withColumn("_nsent", F.size(F.split(t, "[.!?]+", -1)))
-             .withColumn("_npara", F.size(F.filter(F.split(t, "\n\n", -1), lambda p: F.size(split_ws(p)) > 0)))
+             .withColumn("_npara", F.size(F.filter(F.split(t, "\n\n", -1), lambda p: p.rlike(r"(?U)\S"))))
              .withColumn("_vars", F.size(variables(t))))
     wc = F.size("_words")
-    uniq = F.size(F.array_distinct("_ltok"))
+    uniq = F.col("_uniq")
     div = F.when(wc > 0, uniq / wc).otherwise(F.lit(0.0))
     score = F.least(F.lit(100.0), (wc / 10) * 0.3 + (F.col("_nsent") / 5) * 0.2 + (F.col("_vars") * 5) * 0.2 + (div * 50) * 0.3)
     empty = (t.isNull()) | (t == "")
@@ -81,7 +81,7 @@ def with_complexity(df: DataFrame, text: str = "text") -> DataFrame:
     for k, v in cols.items():
         out = out.withColumn(k, F.when(~empty, v))
     out = out.withColumn("error", F.when(empty, F.lit("Empty prompt")))
-    return out.drop("_words", "_ltok", "_nsent", "_npara", "_vars")
+    return out.drop("_words", "_uniq", "_nsent", "_npara", "_vars")
 
 
 # ---------------------------------------------------------------- TX4 patterns
