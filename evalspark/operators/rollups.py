@@ -120,15 +120,35 @@ def winner(score_a: Column, score_b: Column, tie: float = 0.01) -> tuple[Column,
 
 def compare_to_control(summary: DataFrame, group: str, prompt: str) -> DataFrame:
     """Each prompt of a group against the group's control (its smallest prompt id): a linear
-    number of comparisons instead of all pairs.  The control row is found by a grouped min and
-    joined back on the group key."""
-    ctrl_id = summary.groupBy(group).agg(F.min(prompt).alias("_ctrl")).withColumnRenamed(group, "_g")
-    ctrl = (summary.join(ctrl_id, (F.col(group) == F.col("_g")) & (F.col(prompt) == F.col("_ctrl")))
-            .select(F.col(group), *[F.col(c).alias(f"b_{c}") for c in summary.columns if c != group]))
-    a = summary.select(F.col(group), *[F.col(c).alias(f"a_{c}") for c in summary.columns if c != group])
+    number of comparisons instead of all pairs.  The control row comes from one partial
+    ``min_by(struct, prompt)`` aggregate per group and is joined back on the group key."""
+    others = [c for c in summary.columns if c != group]
+    ctrl = summary.groupBy(group).agg(F.min_by(F.struct(*[F.col(c).alias(f"b_{c}") for c in others]), F.col(prompt)).alias("_c")) \
+        .select(group, "_c.*")
+    a = summary.select(F.col(group), *[F.col(c).alias(f"a_{c}") for c in others])
     return a.join(ctrl, group).where(F.col(f"a_{prompt}") != F.col(f"b_{prompt}"))
 
 
+def run_prompt_summary(facts: DataFrame, run: str, prompt: str, case_cols: list[str], metrics: list[str],
+                       metric: str = "metric", score: str = "score", success: str = "success",
+                       latency: str = "latency") -> DataFrame:
+    """Per (run, prompt): Σ of the per-metric means over successful cases, success rate over cases and
+    mean latency of successful cases — one scan and two aggregations (case level, then prompt level)."""
+    ok = F.col(success)
+    per_case = facts.groupBy(run, prompt, *case_cols).agg(
+        F.bool_and(success).alias("_ok"), F.first(latency, ignorenulls=True).alias("_lat"),
+        *[F.sum(F.when(ok & (F.col(metric) == m) & F.col(score).isNotNull(), F.col(score))).alias(f"_s{i}")
+          for i, m in enumerate(metrics)],
+        *[F.count(F.when(ok & (F.col(metric) == m) & F.col(score).isNotNull(), F.lit(1))).alias(f"_n{i}")
+          for i, m in enumerate(metrics)])
+    g = per_case.groupBy(run, prompt).agg(
+        (F.count_if("_ok") / F.count("*")).alias("success_rate"),
+        F.coalesce(F.avg(F.when(F.col("_ok"), F.col("_lat"))), F.lit(0.0)).alias("latency_mean"),
+        *[F.coalesce(F.sum(f"_s{i}") / F.sum(f"_n{i}"), F.lit(0.0)).alias(f"_m{i}") for i in range(len(metrics))])
+    total = sum((F.col(f"_m{i}") for i in range(len(metrics))), F.lit(0.0))
+    return g.select(run, prompt, total.alias("score_sum"), "success_rate", "latency_mean")
+
+
 def weighted_aggregate(means: DataFrame, weights: dict[str, float], prompt: str = "prompt_id",
                        metric: str = "metric") -> DataFrame:
     """EV15: Σ w·s / Σ w per prompt; missing weight = 1; Σ w = 0 ⇒ 0.  The weights are a

@@ -139,16 +139,8 @@ def ev8(spark, d):
 
 
 def _run_summary(spark, d):
-    """Per (run, variant): summed metric means, success rate and mean latency."""
-    facts = _facts(spark, d)
-    means = facts.groupBy("run_id", P, "metric").agg(
-        F.coalesce(F.avg(F.when(F.col("success"), F.col("score"))), F.lit(0.0)).alias("mean_score"))
-    ps = means.groupBy("run_id", P).agg(F.sum("mean_score").alias("score_sum"))
-    cases = R.case_table(facts, "run_id", [P] + CASE, "success", "latency_ms")
-    cs = cases.groupBy("run_id", P).agg((F.count_if("success") / F.count("*")).alias("success_rate"),
-                                        F.coalesce(F.avg(F.when(F.col("success"), F.col("latency_ms"))),
-                                                   F.lit(0.0)).alias("latency_mean"))
-    return ps.join(cs, ["run_id", P])
+    """Per (run, variant): summed metric means, success rate and mean latency (one scan)."""
+    return R.run_prompt_summary(_facts(spark, d), "run_id", P, CASE, list(B.METRICS), latency="latency_ms")
 
 
 @query("ev9_pairwise_winner", uses=ER, sql="""
