@@ -32,7 +32,10 @@ def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | No
 
 def run_available(writer, timeout_s: int = 600) -> None:
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
+    finished = q.awaitTermination(timeout_s)
+    if not finished:
+        q.stop()
+        raise TimeoutError(f"stream {q.id} did not finish within {timeout_s}s")
     if q.exception() is not None:
         raise q.exception()
 

@@ -175,3 +175,27 @@ def test_moving_average_matches_pandas(spark):
         for i, e in enumerate(exp):
             g = got[(r, i)]
             assert (g is None and pd.isna(e)) or g == pytest.approx(e)
+
+
+def test_noise_injection_invariants(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "a b c"), (3, "")],
+                               "k long, t string")
+    n = {(r["k"], r["level"]): r["noisy"] for r in SIM.inject_noise(df, "k", "t", [0.0, 0.3, 1.0]).collect()}
+    assert n[(1, 0.0)] == "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    orig = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    changed = [a != b for a, b in zip(orig, n[(1, 0.3)].split())]
+    assert len(n[(1, 0.3)].split()) == 10 and sum(changed) <= 3
+    assert all(len(a) == len(b) for a, b in zip(orig, n[(1, 1.0)].split()))
+    assert n[(2, 1.0)] == "a b c"  # one-letter words are never changed
+    again = {(r["k"], r["level"]): r["noisy"] for r in SIM.inject_noise(df.repartition(3), "k", "t", [0.0, 0.3, 1.0]).collect()}
+    assert again == n
+
+
+def test_render_template(spark):
+    from evalspark.operators import corpus as C
+    df = spark.createDataFrame([(1, "Hi {{ name:string }}, rate {{item}}", {"name": "Ann", "extra": "x"})],
+                               "k long, t string, v map<string,string>")
+    r = df.select(C.render_template("t", "v").alias("r")).first()["r"]
+    assert r == "Hi Ann, rate {{item}}"
+    issues = {(x["variable"], x["severity"]) for x in C.template_variable_issues(df, "k", "t", "v").collect()}
+    assert issues == {("item", "error"), ("extra", "warning")}
