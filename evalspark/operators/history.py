@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordinal import with_group_rank, with_ordinal
+from .ordinal import exact_percentiles, with_group_rank, with_ordinal
 
 
 def _c(c) -> Column:
@@ -166,11 +166,12 @@ def distribution_summary(df: DataFrame, col: str) -> DataFrame:
     """HS10: count, mean, median, population std, min, max, q25, q75, biased skewness, excess
     kurtosis (scipy defaults) — NaN dropped; one aggregation pass."""
     x = F.nanvl(F.col(col), F.lit(None).cast("double"))
-    return df.select(x.alias("_x")).agg(
-        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.percentile("_x", 0.5).alias("median"),
-        F.stddev_pop("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"),
-        F.percentile("_x", 0.25).alias("q25"), F.percentile("_x", 0.75).alias("q75"),
-        F.skewness("_x").alias("skewness"), F.kurtosis("_x").alias("kurtosis"))
+    src = df.select(x.alias("_x"))
+    m = src.agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"),
+                F.min("_x").alias("min"), F.max("_x").alias("max"), F.skewness("_x").alias("skewness"),
+                F.kurtosis("_x").alias("kurtosis"))
+    q = exact_percentiles(src, [], "_x", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return m.crossJoin(q).select("count", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis")
 
 
 def _t_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -252,7 +253,7 @@ def linear_trend(df: DataFrame, series: str, order: list[str], value: str, with_
 
 def iqr_outliers(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """HS12: rows outside [q1 − k·iqr, q3 + k·iqr] (numpy linear percentiles); the bounds are one row."""
-    b = df.agg(F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+    b = exact_percentiles(df, [], value, {"_q1": 0.25, "_q3": 0.75})  # one row
     j = df.crossJoin(F.broadcast(b))
     iqr = F.col("_q3") - F.col("_q1")
     return j.where((F.col(value) < F.col("_q1") - k * iqr) | (F.col(value) > F.col("_q3") + k * iqr)).drop("_q1", "_q3")
@@ -296,8 +297,8 @@ def histogram_unit(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
 def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     """HS17: bin width = the smaller positive of Freedman–Diaconis (2·IQR·n^−1/3) and Sturges
     (range / (log2 n + 1)); equal-width bins over [min, max], last bin closed."""
-    st = df.agg(F.count(value).alias("_n"), F.min(value).alias("_mn"), F.max(value).alias("_mx"),
-                F.percentile(value, 0.25).alias("_q1"), F.percentile(value, 0.75).alias("_q3"))
+    st = df.agg(F.count(value).alias("_n"), F.min(value).alias("_mn"), F.max(value).alias("_mx")).crossJoin(
+        exact_percentiles(df, [], value, {"_q1": 0.25, "_q3": 0.75}))
     rng = F.col("_mx") - F.col("_mn")
     fd = 2 * (F.col("_q3") - F.col("_q1")) * F.pow(F.col("_n"), -1.0 / 3)
     sturges = rng / (F.log2(F.col("_n")) + 1)
@@ -310,9 +311,8 @@ def auto_histogram(df: DataFrame, value: str) -> DataFrame:
 
 def box_plot(df: DataFrame, by: str, value: str) -> DataFrame:
     """HS18: five-number summary per group plus whiskers (extreme values within 1.5·IQR)."""
-    q = df.groupBy(by).agg(F.min(value).alias("min"), F.percentile(value, 0.25).alias("q1"),
-                           F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.75).alias("q3"),
-                           F.max(value).alias("max"))
+    q = df.groupBy(by).agg(F.min(value).alias("min"), F.max(value).alias("max")).join(
+        exact_percentiles(df, [by], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
     j = df.join(q.select(by, "q1", "q3"), by)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
@@ -358,11 +358,11 @@ def variant_metric_matrix(facts: DataFrame, variant: str, metric: str, score: st
 def benchmark_summary(df: DataFrame, group: str, score: str, seq: str, threshold: float = 0.85) -> DataFrame:
     """HS23: per group mean, median, sample std, range, best, worst, count ≥ threshold and a rank
     (mean desc, then group) from the distributed ordinal."""
-    g = df.groupBy(group).agg(F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"),
+    g = df.groupBy(group).agg(F.avg(score).alias("mean"),
                               F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"),
                               (F.max(score) - F.min(score)).alias("range"), F.max(score).alias("best"),
                               F.min(score).alias("worst"), F.count_if(F.col(score) >= threshold).alias("n_above"),
-                              F.count("*").alias("n"))
+                              F.count("*").alias("n")).join(exact_percentiles(df, [group], score, {"median": 0.5}), group)
     return with_ordinal(g, [F.col("mean").desc(), F.col(group)], "rank")
 
 

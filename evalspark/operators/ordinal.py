@@ -100,3 +100,29 @@ def with_prefix_max(df: DataFrame, order: list, value: str, name: str = "prefix_
     j = inner.join(F.broadcast(carry), "_pp")
     best = F.greatest(F.col("_in"), F.col("_carry"))  # greatest skips NULLs
     return j.withColumn(name, best).drop("_po", "_pp", "_in", "_carry")
+
+
+def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation (position q·(n−1), as numpy / ``percentile``)
+    per group, without holding a group's values in one task: NULLs dropped, ranks from the
+    skew-safe group rank, then one partial aggregation picks the two neighbouring ranks."""
+    src = df.where(F.col(value).isNotNull()).select(*group, value)
+    r = with_group_rank(src, group, [value], "_r", "_n")
+    aggs = []
+    for name, q in qs.items():
+        pos = (F.col("_n") - 1) * F.lit(float(q))
+        aggs.append(F.max(F.when(F.col("_r") == F.floor(pos), F.col(value))).alias(f"_{name}_lo"))
+        aggs.append(F.max(F.when(F.col("_r") == F.ceil(pos), F.col(value))).alias(f"_{name}_hi"))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_f"))
+    g = r.groupBy(*group).agg(*aggs) if group else r.agg(*aggs)
+    out = [F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f") for n in qs]
+    return g.select(*group, *[c.alias(n) for c, n in zip(out, qs)])
+
+
+def mode_value(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:
+    """Most frequent non-NULL value (smallest on ties) per group: a distributed count per value,
+    then a partial ``min_by`` over (−count, value) — no value map in one task."""
+    group = group or []
+    counts = df.where(F.col(col).isNotNull()).groupBy(*group, col).agg(F.count("*").alias("_c"))
+    pick = F.min_by(F.col(col), F.struct(-F.col("_c"), F.col(col))).alias(col)
+    return counts.groupBy(*group).agg(pick) if group else counts.agg(pick)

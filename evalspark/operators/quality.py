@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordinal import exact_percentiles, mode_value
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -51,20 +53,30 @@ def handle_missing(df: DataFrame, strategy: str, values: dict | None = None) ->
         return df.na.fill(0, nums).na.fill("0", strs) if strs else df.na.fill(0, nums)
     if strategy == "fill_custom":
         return df.na.fill(values or {})
-    if strategy in ("fill_mean", "fill_median"):
+    if strategy == "fill_mean":
+        cols = numeric_cols(df)
+        stats = df.agg(*[F.avg(c).alias(f"_s_{c}") for c in cols])  # one row
+    elif strategy == "fill_median":
         cols = numeric_cols(df)
-        fn = F.avg if strategy == "fill_mean" else (lambda c: F.percentile(c, 0.5))
+        stats = _one_row([exact_percentiles(df, [], c, {f"_s_{c}": 0.5}) for c in cols])
     elif strategy == "fill_mode":
         cols = list(df.columns)
-        fn = lambda c: F.mode(c, deterministic=True)  # noqa: E731 — lowest value on ties
+        stats = _one_row([mode_value(df, c).withColumnRenamed(c, f"_s_{c}") for c in cols])
     else:
         raise ValueError(f"Unsupported missing value strategy: {strategy}")
-    stats = df.agg(*[fn(c).alias(f"_s_{c}") for c in cols])  # one row
     out = df.crossJoin(F.broadcast(stats))
     return out.select(*[F.coalesce(F.col(c), F.col(f"_s_{c}").cast(df.schema[c].dataType)).alias(c)
                         if c in cols else F.col(c) for c in df.columns])
 
 
+def _one_row(frames: list[DataFrame]) -> DataFrame:
+    """Side-by-side combination of one-row frames (each cross join is 1 × 1)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.crossJoin(f)
+    return out
+
+
 # ------------------------------------------------------------------ CL8
 def filter_predicate(df: DataFrame, filters: dict) -> Column:
     """Conjunctive filter map: scalar ⇒ equality; dict of ops eq/ne/gt/lt/in/not_in; unknown
@@ -220,14 +232,14 @@ def validate_dataset(df: DataFrame, expected: dict | None = None, max_rows: int
 
 
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """VP7 numeric: mean, median (exact), sample std, min, max per column — one pass, then unpivot."""
+    """VP7 numeric: mean, median (exact, distributed), sample std, min, max per column; the
+    moments come from one pass, the medians from the rank-based percentile; then unpivot."""
     cols = cols or numeric_cols(df)
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.percentile(c, 0.5).alias(f"{c}__median"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 F.max(c).cast("double").alias(f"{c}__max")]
-    w = df.agg(*aggs)
+        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
+                 F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
+    w = _one_row([df.agg(*aggs)] + [exact_percentiles(df, [], c, {f"{c}__median": 0.5}) for c in cols])
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{k}").alias(k) for k in ("mean", "median", "std", "min", "max")])
             for c in cols]
     return w.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
@@ -238,9 +250,8 @@ def profile_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or string_cols(df)
     aggs = []
     for c in cols:
-        aggs += [F.count_distinct(c).alias(f"{c}__nunique"), F.mode(c, deterministic=True).alias(f"{c}__mode"),
-                 F.avg(F.length(c)).alias(f"{c}__mean_length")]
-    w = df.agg(*aggs)
+        aggs += [F.count_distinct(c).alias(f"{c}__nunique"), F.avg(F.length(c)).alias(f"{c}__mean_length")]
+    w = _one_row([df.agg(*aggs)] + [mode_value(df, c).withColumnRenamed(c, f"{c}__mode") for c in cols])
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{k}").alias(k) for k in ("nunique", "mode", "mean_length")])
             for c in cols]
     return w.select(F.explode(F.array(*rows)).alias("s")).select("s.*")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinal import exact_percentiles
 from .pair_metrics import confidence_interval
 
 
@@ -45,13 +46,20 @@ def success_stats(cases: DataFrame, prompt: str, success: str = "success") -> Da
 
 def latency_stats(cases: DataFrame, by: list[str], latency: str = "latency", success: str | None = "success",
                   approx: bool = False) -> DataFrame:
-    """EV4 / EV5: mean, min, max, p50, p95, p99 (linear interpolation) and sample std (0 for n=1)."""
+    """EV4 / EV5: mean, min, max, p50, p95, p99 (linear interpolation) and sample std (0 for n=1).
+
+    Exact percentiles come from the distributed group rank (no group's values in one task);
+    ``approx=True`` uses bounded-memory ``percentile_approx`` in the same aggregation instead."""
     src = cases.where(F.col(success)) if success else cases
-    return src.groupBy(*by).agg(
-        F.count(latency).alias("n"), F.avg(latency).alias("mean"), F.min(latency).alias("min"),
-        F.max(latency).alias("max"), _pct(latency, 0.5, approx).alias("p50"),
-        _pct(latency, 0.95, approx).alias("p95"), _pct(latency, 0.99, approx).alias("p99"),
-        F.coalesce(F.stddev_samp(latency), F.lit(0.0)).alias("std"))
+    moments = [F.count(latency).alias("n"), F.avg(latency).alias("mean"), F.min(latency).alias("min"),
+               F.max(latency).alias("max"), F.coalesce(F.stddev_samp(latency), F.lit(0.0)).alias("std")]
+    if approx:
+        g = src.groupBy(*by).agg(*moments, _pct(latency, 0.5, True).alias("p50"), _pct(latency, 0.95, True).alias("p95"),
+                                 _pct(latency, 0.99, True).alias("p99"))
+        return g
+    g = src.groupBy(*by).agg(*moments)
+    p = exact_percentiles(src, by, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return g.join(p, by, "left") if by else g.crossJoin(p)
 
 
 def prompt_scores(means: DataFrame, prompt: str = "prompt_id", metric: str = "metric") -> DataFrame:
