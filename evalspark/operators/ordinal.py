@@ -40,16 +40,23 @@ def with_ordinal(df: DataFrame, order: list, name: str = "ordinal", num_partitio
 
 def with_group_rank(df: DataFrame, group: list[str], order: list, name: str = "rank",
                     count_name: str | None = None) -> DataFrame:
-    """0-based rank inside each group (and optionally the group size), skew-safe."""
+    """0-based rank inside each group (and optionally the group size), skew-safe.
+
+    The global ordinal is taken on (group, order); a group's first position and size come from
+    one row per (range partition, group) — a window over those rows spans at most the partitions
+    the group covers — and are joined back on (partition, group), so even a hot group's rows stay
+    spread over its range partitions."""
     g = [F.col(c) for c in group]
-    o = with_ordinal(df, g + [F.col(c) if isinstance(c, str) else c for c in order], "_gord")
-    aggs = [F.min("_gord").alias("_gstart")]
+    o = with_ordinal(df, g + [F.col(c) if isinstance(c, str) else c for c in order], "_gord") \
+        .withColumn("_pp", F.spark_partition_id())
+    pg = o.groupBy("_pp", *group).agg(F.min("_gord").alias("_pmin"), F.count("*").alias("_pc"))
+    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    cols = [F.min("_pmin").over(wg).alias("_gstart")]
     if count_name:
-        aggs.append(F.count("*").alias(count_name))
-    if not group:  # one global group: a one-row side
-        return o.crossJoin(o.agg(*aggs)).withColumn(name, F.col("_gord") - F.col("_gstart")).drop("_gord", "_gstart")
-    starts = o.groupBy(*group).agg(*aggs)
-    return o.join(starts, group).withColumn(name, F.col("_gord") - F.col("_gstart")).drop("_gord", "_gstart")
+        cols.append(F.sum("_pc").over(wg).alias(count_name))
+    starts = pg.select("_pp", *group, *cols)
+    return (o.join(starts, ["_pp", *group]).withColumn(name, F.col("_gord") - F.col("_gstart"))
+             .drop("_gord", "_gstart", "_pp"))
 
 
 def order_statistic(df: DataFrame, group: list[str], value: str, tiebreak: str, qs: dict[str, float]) -> DataFrame:
@@ -102,13 +109,15 @@ def with_prefix_max(df: DataFrame, order: list, value: str, name: str = "prefix_
     return j.withColumn(name, best).drop("_po", "_pp", "_in", "_carry")
 
 
-def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float],
+                      extra_aggs: list | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation (position q·(n−1), as numpy / ``percentile``)
     per group, without holding a group's values in one task: NULLs dropped, ranks from the
-    skew-safe group rank, then one partial aggregation picks the two neighbouring ranks."""
+    skew-safe group rank, then one partial aggregation picks the two neighbouring ranks.
+    ``extra_aggs`` (over the non-NULL values) are computed in the same aggregation."""
     src = df.where(F.col(value).isNotNull()).select(*group, value)
     r = with_group_rank(src, group, [value], "_r", "_n")
-    aggs = []
+    aggs = list(extra_aggs or [])
     for name, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))
         aggs.append(F.max(F.when(F.col("_r") == F.floor(pos), F.col(value))).alias(f"_{name}_lo"))
@@ -116,7 +125,8 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, qs: dict[str,
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_{name}_f"))
     g = r.groupBy(*group).agg(*aggs) if group else r.agg(*aggs)
     out = [F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f") for n in qs]
-    return g.select(*group, *[c.alias(n) for c, n in zip(out, qs)])
+    extra = [a for a in g.columns if a not in group and not a.startswith("_")]
+    return g.select(*group, *extra, *[c.alias(n) for c, n in zip(out, qs)])
 
 
 def mode_value(df: DataFrame, col: str, group: list[str] | None = None) -> DataFrame:

@@ -57,9 +57,8 @@ def latency_stats(cases: DataFrame, by: list[str], latency: str = "latency", suc
         g = src.groupBy(*by).agg(*moments, _pct(latency, 0.5, True).alias("p50"), _pct(latency, 0.95, True).alias("p95"),
                                  _pct(latency, 0.99, True).alias("p99"))
         return g
-    g = src.groupBy(*by).agg(*moments)
-    p = exact_percentiles(src, by, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return g.join(p, by, "left") if by else g.crossJoin(p)
+    # moments ride in the percentile aggregation (same groups; NULL latencies add nothing to them)
+    return exact_percentiles(src, by, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, moments)
 
 
 def prompt_scores(means: DataFrame, prompt: str = "prompt_id", metric: str = "metric") -> DataFrame:
