@@ -170,8 +170,10 @@ def distribution_summary(df: DataFrame, col: str) -> DataFrame:
     m = src.agg(F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"),
                 F.min("_x").alias("min"), F.max("_x").alias("max"), F.skewness("_x").alias("skewness"),
                 F.kurtosis("_x").alias("kurtosis"))
-    q = exact_percentiles(src, [], "_x", {"median": 0.5, "q25": 0.25, "q75": 0.75})
-    return m.crossJoin(q).select("count", "mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis")
+    q = exact_percentiles(src, [], "_x", {"median": 0.5, "q25": 0.25, "q75": 0.75}).select(
+        F.struct("median", "q25", "q75")).scalar()
+    return m.select("count", "mean", q["median"].alias("median"), "std", "min", "max", q["q25"].alias("q25"),
+                    q["q75"].alias("q75"), "skewness", "kurtosis")
 
 
 def _t_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -253,17 +255,16 @@ def linear_trend(df: DataFrame, series: str, order: list[str], value: str, with_
 
 def iqr_outliers(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """HS12: rows outside [q1 − k·iqr, q3 + k·iqr] (numpy linear percentiles); the bounds are one row."""
-    b = exact_percentiles(df, [], value, {"_q1": 0.25, "_q3": 0.75})  # one row
-    j = df.crossJoin(F.broadcast(b))
-    iqr = F.col("_q3") - F.col("_q1")
-    return j.where((F.col(value) < F.col("_q1") - k * iqr) | (F.col(value) > F.col("_q3") + k * iqr)).drop("_q1", "_q3")
+    b = exact_percentiles(df, [], value, {"q1": 0.25, "q3": 0.75})
+    s = b.select(F.struct("q1", "q3")).scalar()  # scalar subquery
+    iqr = s["q3"] - s["q1"]
+    return df.where((F.col(value) < s["q1"] - k * iqr) | (F.col(value) > s["q3"] + k * iqr))
 
 
 def zscore_outliers(df: DataFrame, value: str, z: float = 3.0) -> DataFrame:
     """HS13: |x − mean| / population std > z."""
-    b = df.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    j = df.crossJoin(F.broadcast(b))
-    return j.where(F.abs((F.col(value) - F.col("_m")) / F.col("_s")) > z).drop("_m", "_s")
+    s = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))).scalar()  # scalar subquery
+    return df.where(F.abs((F.col(value) - s["m"]) / s["s"]) > z)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -297,16 +298,15 @@ def histogram_unit(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
 def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     """HS17: bin width = the smaller positive of Freedman–Diaconis (2·IQR·n^−1/3) and Sturges
     (range / (log2 n + 1)); equal-width bins over [min, max], last bin closed."""
-    st = df.agg(F.count(value).alias("_n"), F.min(value).alias("_mn"), F.max(value).alias("_mx")).crossJoin(
-        exact_percentiles(df, [], value, {"_q1": 0.25, "_q3": 0.75}))
-    rng = F.col("_mx") - F.col("_mn")
-    fd = 2 * (F.col("_q3") - F.col("_q1")) * F.pow(F.col("_n"), -1.0 / 3)
-    sturges = rng / (F.log2(F.col("_n")) + 1)
+    q = exact_percentiles(df, [], value, {"q1": 0.25, "q3": 0.75}).select(F.struct("q1", "q3")).scalar()
+    st = df.agg(F.struct(F.count(value).alias("n"), F.min(value).alias("mn"), F.max(value).alias("mx"))).scalar()
+    rng = st["mx"] - st["mn"]
+    fd = 2 * (q["q3"] - q["q1"]) * F.pow(st["n"], -1.0 / 3)
+    sturges = rng / (F.log2(st["n"]) + 1)
     width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    st = st.withColumn("_k", F.greatest(F.lit(1), F.ceil(rng / width)).cast("int"))
-    j = df.select(value).crossJoin(F.broadcast(st))
-    b = F.least(F.floor((F.col(value) - F.col("_mn")) / rng * F.col("_k")), F.col("_k") - 1).cast("int")
-    return j.groupBy(b.alias("bin"), "_k").agg(F.count("*").alias("count")).withColumnRenamed("_k", "n_bins")
+    k = F.greatest(F.lit(1), F.ceil(rng / width)).cast("int")
+    b = F.least(F.floor((F.col(value) - st["mn"]) / rng * k), k - 1).cast("int")
+    return df.select(b.alias("bin"), k.alias("n_bins")).groupBy("bin", "n_bins").agg(F.count("*").alias("count"))
 
 
 def box_plot(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -340,10 +340,10 @@ def parameter_sensitivity(df: DataFrame, param: str, value: str, score: str, ord
 def ablation(df: DataFrame, component: str, score: str, baseline: str = "baseline") -> DataFrame:
     """HS21: importance = baseline score − score (no baseline ⇒ max score); components sorted by
     importance with the cumulative sum; the input is one row per component (a small table)."""
-    b = df.agg(F.coalesce(F.max(F.when(F.col(component) == baseline, F.col(score))), F.max(score)).alias("_b"),
-               F.max((F.col(component) == baseline).cast("int")).alias("_has"))
-    j = df.crossJoin(b).where((F.col("_has") == 0) | (F.col(component) != baseline))
-    j = j.withColumn("importance", F.col("_b") - F.col(score))
+    b = df.agg(F.struct(F.coalesce(F.max(F.when(F.col(component) == baseline, F.col(score))), F.max(score)).alias("b"),
+                        F.max((F.col(component) == baseline).cast("int")).alias("has"))).scalar()
+    j = df.where((b["has"] == 0) | (F.col(component) != baseline))
+    j = j.withColumn("importance", b["b"] - F.col(score))
     o = with_ordinal(j, [F.col("importance").desc(), F.col(component)], "_o")
     w = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     return o.select(component, "importance", F.col("_o").alias("rank"),

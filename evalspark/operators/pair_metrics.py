@@ -401,15 +401,14 @@ def tfidf_cosine(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
         F.struct(F.lit("r").alias("side"), F.col(ref).alias("t")))).alias("d"))
         .select("_k", "d.side", F.filter(F.regexp_extract_all(F.lower(F.col("d.t")), F.lit(WORD2_RE), 0),
                                          lambda w: ~w.isin(stops)).alias("terms")))  # InSet: hash lookup
-    n_docs = df.agg((F.count("*") * 2).alias("_n"))
+    n_docs = df.agg(F.count("*") * 2).scalar()  # scalar subquery
     # term counts of both sides of a pair in one aggregation keyed (pair, term)
     kt = (docs.select("_k", "side", F.explode("terms").alias("term"))
               .groupBy("_k", "term").agg(F.count_if(F.col("side") == "p").alias("tp"),
                                          F.count_if(F.col("side") == "r").alias("tr")))
     dfreq = kt.groupBy("term").agg(F.sum((F.col("tp") > 0).cast("int") + (F.col("tr") > 0).cast("int")).alias("df"))
-    idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1
-    w = kt.join(dfreq, "term").crossJoin(F.broadcast(n_docs)).select("_k", (F.col("tp") * idf).alias("wp"),
-                                                                     (F.col("tr") * idf).alias("wr"))
+    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
+    w = kt.join(dfreq, "term").select("_k", (F.col("tp") * idf).alias("wp"), (F.col("tr") * idf).alias("wr"))
     g = w.groupBy("_k").agg(F.sum(F.col("wp") * F.col("wr")).alias("dot"), F.sqrt(F.sum(F.col("wp") ** 2)).alias("np"),
                             F.sqrt(F.sum(F.col("wr") ** 2)).alias("nr"))
     cos = F.when((F.col("np") > 0) & (F.col("nr") > 0), F.greatest(F.lit(0.0), F.col("dot") / (F.col("np") * F.col("nr"))))

@@ -64,9 +64,9 @@ def handle_missing(df: DataFrame, strategy: str, values: dict | None = None) ->
         stats = _one_row([mode_value(df, c).withColumnRenamed(c, f"_s_{c}") for c in cols])
     else:
         raise ValueError(f"Unsupported missing value strategy: {strategy}")
-    out = df.crossJoin(F.broadcast(stats))
-    return out.select(*[F.coalesce(F.col(c), F.col(f"_s_{c}").cast(df.schema[c].dataType)).alias(c)
-                        if c in cols else F.col(c) for c in df.columns])
+    s = stats.select(F.struct(*stats.columns).alias("s")).scalar()  # one struct-valued scalar subquery
+    return df.select(*[F.coalesce(F.col(c), s[f"_s_{c}"].cast(df.schema[c].dataType)).alias(c)
+                       if c in cols else F.col(c) for c in df.columns])
 
 
 def _one_row(frames: list[DataFrame]) -> DataFrame:

@@ -103,13 +103,12 @@ def recommendations(success: DataFrame, means: DataFrame, latency: DataFrame, pr
                             (F.col("m") < 0.5).alias("fire"))
     lat = latency.agg(F.avg("mean").alias("v")).select(
         F.lit("high_latency").alias("rule"), F.lit(REC_HIGH_LATENCY).alias("message"), (F.col("v") > 5.0).alias("fire"))
-    n_prompts = success.agg(F.count("*").alias("np"))
+    n_prompts = success.agg(F.count("*")).scalar()
     hv = (per_metric.where((F.col("n") > 1) & (F.col("var") > 0.1))
           .agg(F.array_join(F.sort_array(F.collect_list(metric)), ", ").alias("ms"))
-          .crossJoin(n_prompts)
           .select(F.lit("high_variance").alias("rule"),
                   F.replace(F.lit(REC_HIGH_VARIANCE), F.lit("{metrics}"), F.col("ms")).alias("message"),
-                  ((F.col("np") > 1) & (F.col("ms") != "")).alias("fire")))
+                  ((n_prompts > 1) & (F.col("ms") != "")).alias("fire")))
     fired = s.unionByName(low).unionByName(lat).unionByName(hv).where(F.col("fire")).drop("fire")
     good = fired.agg(F.count("*").alias("k")).where(F.col("k") == 0).select(
         F.lit("all_good").alias("rule"), F.lit(REC_ALL_GOOD).alias("message"))

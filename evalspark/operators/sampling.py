@@ -34,9 +34,8 @@ def random_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int = 42) -> DataFrame:
     """SA2: per stratum ``min(len, max(1, int(n·len/N)))`` rows."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_len"))
-    total = df.agg(F.count("*").alias("_N"))
-    quota = sizes.crossJoin(total).select(  # total is one row
-        stratum, F.least(F.col("_len"), F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_len") / F.col("_N")))).alias("_q"))
+    total = df.agg(F.count("*")).scalar()  # scalar subquery
+    quota = sizes.select(stratum, F.least(F.col("_len"), F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_len") / total))).alias("_q"))
     r = with_group_rank(df.withColumn("_h", draw_key(seed, key)), [stratum], ["_h", key], "_r")
     return r.join(quota, stratum).where(F.col("_r") < F.col("_q")).drop("_h", "_r", "_q")
 
@@ -44,18 +43,16 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int =
 def systematic_sample(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """SA3: interval = max(1, N // n); rows at positions 0, interval, 2·interval, … — first n."""
     o = with_ordinal(df, order, "_o")
-    total = df.agg(F.count("*").alias("_N"))
-    iv = F.greatest(F.lit(1), F.floor(F.col("_N") / n))
-    return (o.crossJoin(total).where((F.col("_o") % iv == 0) & (F.floor(F.col("_o") / iv) < n))
-             .drop("_o", "_N"))
+    iv = F.greatest(F.lit(1), F.floor(df.agg(F.count("*")).scalar() / n))
+    return o.where((F.col("_o") % iv == 0) & (F.floor(F.col("_o") / iv) < n)).drop("_o")
 
 
 def balanced_sample(df: DataFrame, n: int, cls: str, key: str, seed: int = 42) -> DataFrame:
     """SA4: ``n // n_classes`` rows per class, capped by the class size.  NULL counts as a class
     when counting classes but selects no rows (pandas ``== NaN`` is never true)."""
-    n_classes = df.agg((F.count_distinct(cls) + F.max(F.col(cls).isNull().cast("int"))).alias("_k"))
+    n_classes = df.agg(F.count_distinct(cls) + F.max(F.col(cls).isNull().cast("int"))).scalar()
     r = with_group_rank(df.where(F.col(cls).isNotNull()).withColumn("_h", draw_key(seed, key)), [cls], ["_h", key], "_r")
-    return r.crossJoin(n_classes).where(F.col("_r") < F.floor(F.lit(n) / F.col("_k"))).drop("_h", "_r", "_k")
+    return r.where(F.col("_r") < F.floor(F.lit(n) / n_classes)).drop("_h", "_r")
 
 
 def sample_dataset(df: DataFrame, n: int, strategy: str = "random", *, key: str, seed: int = 42,
@@ -83,26 +80,24 @@ def train_test_split(df: DataFrame, key: str, train_ratio: float = 0.8, seed: in
     if not 0.0 < train_ratio < 1.0:
         raise ValueError("train_ratio must be between 0.0 and 1.0")
     o = with_ordinal(df.withColumn("_h", draw_key(seed, key)), ["_h", key], "_o")
-    total = df.agg(F.count("*").alias("_N"))
-    cut = F.floor(F.col("_N") * F.lit(train_ratio))
-    return o.crossJoin(total).withColumn("split", F.when(F.col("_o") < cut, "train").otherwise("test")) \
-        .drop("_h", "_o", "_N")
+    cut = F.floor(df.agg(F.count("*")).scalar() * F.lit(train_ratio))
+    return o.withColumn("split", F.when(F.col("_o") < cut, "train").otherwise("test")).drop("_h", "_o")
 
 
 def ordered_split(df: DataFrame, order: list[str], val_fraction: float = 0.2, min_rows: int = 10) -> DataFrame:
     """SA7: head ``int(N·(1−v))`` rows train, tail validation (caller's order); N < min_rows ⇒ every
     row is on both sides (``split`` = 'both')."""
     o = with_ordinal(df, order, "_o")
-    total = df.agg(F.count("*").alias("_N"))
-    cut = F.floor(F.col("_N") * F.lit(1.0 - val_fraction))
-    lab = F.when(F.col("_N") < min_rows, "both").when(F.col("_o") < cut, "train").otherwise("validation")
-    return o.crossJoin(total).withColumn("split", lab).drop("_o", "_N")
+    total = df.agg(F.count("*")).scalar()
+    cut = F.floor(total * F.lit(1.0 - val_fraction))
+    lab = F.when(total < min_rows, "both").when(F.col("_o") < cut, "train").otherwise("validation")
+    return o.withColumn("split", lab).drop("_o")
 
 
 def downsample(df: DataFrame, order: list[str], max_points: int = 1000) -> DataFrame:
     """SA9: every ``N // max_points``-th row plus the first and the last; N ≤ max ⇒ all rows."""
     o = with_ordinal(df, order, "_o")
-    total = df.agg(F.count("*").alias("_N"))
-    step = F.floor(F.col("_N") / max_points)
-    keep = (F.col("_N") <= max_points) | (F.col("_o") % step == 0) | (F.col("_o") == F.col("_N") - 1)
-    return o.crossJoin(total).where(keep).drop("_o", "_N")
+    total = df.agg(F.count("*")).scalar()
+    step = F.floor(total / max_points)
+    keep = (total <= max_points) | (F.col("_o") % step == 0) | (F.col("_o") == total - 1)
+    return o.where(keep).drop("_o")

@@ -84,8 +84,7 @@ def tx4_tags(spark, d):
 
 def _formatted(spark, d):
     bench = table(spark, d, "benchmark")
-    t = F.broadcast(B.templates(spark))  # four-row literal
-    return bench.crossJoin(t).select("template_id", "item_id", format_prompt("template", "text").alias("prompt"))
+    return B.with_templates(bench).select("template_id", "item_id", format_prompt("template", "text").alias("prompt"))
 
 
 FORMATTED_SQL = """f AS (SELECT t.template_id, b.item_id,
@@ -312,11 +311,10 @@ def tx19(spark, d):
 
 def _render_input(spark, d):
     bench = table(spark, d, "benchmark")
-    t = F.broadcast(B.templates(spark))  # four-row literal
     vals = F.when(F.col("item_id") % 3 != 0, F.create_map(F.lit("name"), F.concat(F.lit("item "), F.col("item_id").cast("string")),
                                                           F.lit("item"), F.col("text"))) \
         .otherwise(F.create_map(F.lit("name"), F.concat(F.lit("item "), F.col("item_id").cast("string")), F.lit("extra"), F.lit("x")))
-    return bench.crossJoin(t).select("template_id", "item_id", "template", vals.alias("vals"))
+    return B.with_templates(bench).select("template_id", "item_id", "template", vals.alias("vals"))
 
 
 _RENDER_SQL = """r AS (SELECT t.template_id, b.item_id, t.template, b.text,

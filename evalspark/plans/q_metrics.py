@@ -330,6 +330,4 @@ SELECT t.template_id, b.item_id,
 FROM templates t CROSS JOIN benchmark b""")
 def pm24(spark, d):
     bench = table(spark, d, "benchmark")
-    # The template side is a literal of four rows: a proven size bound for the broadcast.
-    t = F.broadcast(B.templates(spark))
-    return bench.crossJoin(t).select("template_id", "item_id", pm.format_prompt("template", "text").alias("prompt"))
+    return B.with_templates(bench).select("template_id", "item_id", pm.format_prompt("template", "text").alias("prompt"))

@@ -343,7 +343,7 @@ def ev1(spark, d):
     from ..sources.tables import table
     from .udf_fixtures import EchoModel
     bench = table(spark, d, "benchmark")
-    cases = bench.crossJoin(broadcast(B.templates(spark))).select(
+    cases = B.with_templates(bench).select(
         (F.col("template_id") * 1000000 + F.col("item_id")).alias("case_key"), "template_id", "item_id",
         pm.format_prompt("template", "text").alias("prompt"), F.col("text").alias("expected"))
     out = generate_batch(cases, "prompt", "case_key", EchoModel).join(cases.drop("prompt"), "case_key")

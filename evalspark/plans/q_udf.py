@@ -65,8 +65,7 @@ def ud2(spark, d):
 def ud3(spark, d):
     """Model calls over templates × benchmark prompts through mapInPandas; error rows kept."""
     bench = table(spark, d, "benchmark")
-    t = F.broadcast(B.templates(spark))  # four-row literal
-    prompts = bench.crossJoin(t).select((F.col("template_id") * 1000000 + F.col("item_id")).alias("prompt_id"),
+    prompts = B.with_templates(bench).select((F.col("template_id") * 1000000 + F.col("item_id")).alias("prompt_id"),
                                         pm.format_prompt("template", "text").alias("prompt"))
     out = U.generate_batch(prompts, "prompt", "prompt_id", X.EchoModel)
     return out.groupBy("finish_reason").agg(F.count("*").alias("n"), F.sum(F.size(split_ws("text"))).alias("tokens"))

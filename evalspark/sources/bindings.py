@@ -201,3 +201,10 @@ TEMPLATES = [
 
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "template_id int, template string")
+
+
+def with_templates(df: DataFrame) -> DataFrame:
+    """Every row once per prompt template: an in-row explode of the literal template list
+    (prompts × cases without a join)."""
+    t = F.explode(F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(s).alias("template")) for i, s in TEMPLATES]))
+    return df.select("*", t.alias("_tpl")).select(*df.columns, "_tpl.template_id", "_tpl.template")
