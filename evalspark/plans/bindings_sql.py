@@ -106,7 +106,9 @@ def _with_bindings(body: str, uses: tuple[str, ...] | list[str]) -> str:
         return body.strip()
     ctes = ",\n".join(BINDINGS[u] for u in uses)
     body = body.strip()
-    # A body that starts its own WITH continues the CTE list.
+    # A body that starts its own WITH (RECURSIVE) continues the CTE list.
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
