@@ -194,7 +194,7 @@ def cache_key(prompt, params: dict | None = None) -> Column:
 
 
 # ----------------------------------------------------------------------------- LG20
-def _limiter_partition(client: str, limit: int, window_s: float):
+def _limiter_partition(client: str, limit: int, window_us: int):
     from collections import deque
 
     def run(batches):
@@ -204,7 +204,7 @@ def _limiter_partition(client: str, limit: int, window_s: float):
             for c, t in zip(pdf[client].tolist(), pdf["_t"].tolist()):
                 if c != cur:
                     cur, acc = c, deque()
-                while acc and acc[0] <= t - window_s:
+                while acc and acc[0] <= t - window_us:
                     acc.popleft()
                 ok = len(acc) < limit
                 if ok:
@@ -220,9 +220,9 @@ def rate_limit(events: DataFrame, client: str, ts: str, seq: str, limit: int, wi
     order-dependent fold.  Rows are hash-partitioned by client and sorted by (client, ts, seq)
     inside each partition; ``mapInPandas`` streams the Arrow batches and carries only the
     accepted timestamps still inside the window, so memory stays bounded even for a hot client."""
-    t = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t")
+    t = F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")  # integer microseconds: exact comparisons
     src = (events.select(client, seq, ts, t).repartition(client)
                  .sortWithinPartitions(client, ts, seq))
     types = dict(events.dtypes)
     schema = f"{client} {types[client]}, {seq} {types[seq]}, {ts} {types[ts]}, allowed boolean"
-    return src.mapInPandas(_limiter_partition(client, limit, window_s), schema)
+    return src.mapInPandas(_limiter_partition(client, limit, int(round(window_s * 1e6))), schema)

@@ -260,7 +260,16 @@ def lg19(spark, d):
     return table(spark, d, "documents").select("doc_id", L.cache_key("text", LG19_PARAMS).alias("cache_key"))
 
 
-@query("lg20_rate_limit")
+@query("lg20_rate_limit", sql="""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, event_id, ts, acc, allowed) AS (
+  SELECT user_id, k, event_id, ts, [t], true FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, ts, CASE WHEN len(w) < 5 THEN list_append(w, t) ELSE w END, len(w) < 5
+  FROM (SELECT e.user_id, e.k, e.event_id, e.ts, e.t, list_filter(r.acc, lambda a: a > e.t - 3600000000) AS w
+        FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) x)
+SELECT user_id, event_id, ts, allowed FROM r""")
 def lg20(spark, d):
     """Sliding-window limiter (5 accepted events per user per hour); order-dependent fold, rows only."""
     e = table(spark, d, "events")

@@ -91,7 +91,16 @@ def st4(spark, d):
     return u.select("window_start", "requests", "tokens", r6("avg_latency", "avg_latency"), r6("error_rate", "error_rate"))
 
 
-@query("st5_rate_limit_stream")
+@query("st5_rate_limit_stream", sql="""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, event_id, acc, allowed) AS (
+  SELECT user_id, k, event_id, [t], true FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN len(w) < 5 THEN list_append(w, t) ELSE w END, len(w) < 5
+  FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.acc, lambda a: a > e.t - 3600000000) AS w
+        FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) x)
+SELECT user_id, event_id, allowed FROM r""")
 def st5(spark, d):
     """Per-user limiter (5 accepted per hour) with state bounded by the limit; rows only."""
     e = table(spark, d, "events")

@@ -112,7 +112,7 @@ def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ST5 limiter
-def _limiter(limit: int, window_s: float):
+def _limiter(limit: int, window_us: int):
     def fn(key, pdfs, state):
         acc = list(state.get[0]) if state.exists else []
         out = []
@@ -120,7 +120,7 @@ def _limiter(limit: int, window_s: float):
         if frames:
             pdf = pd.concat(frames).sort_values(["_t", "event_id"])
             for eid, t in zip(pdf["event_id"].tolist(), pdf["_t"].tolist()):
-                acc = [a for a in acc if a > t - window_s]
+                acc = [a for a in acc if a > t - window_us]
                 ok = len(acc) < limit
                 if ok:
                     acc.append(t)
@@ -134,9 +134,9 @@ def _limiter(limit: int, window_s: float):
 def rate_limit_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame:
     """ST5: per-client sliding-window limiter with state = accepted timestamps still inside the
     window (at most ``limit`` values per client)."""
-    src = events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("_t"))
+    src = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))  # integer µs
     return src.groupBy("user_id").applyInPandasWithState(
-        _limiter(limit, window_s), "user_id long, event_id long, allowed boolean", "acc array<double>",
+        _limiter(limit, int(round(window_s * 1e6))), "user_id long, event_id long, allowed boolean", "acc array<long>",
         "append", GroupStateTimeout.NoTimeout)
 
 
