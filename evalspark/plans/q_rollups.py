@@ -334,7 +334,21 @@ def ev21(spark, d):
         F.count("*").alias("n_cases"), r6(F.avg(pm.response_quality("pred", "ref")), "variant_score"))
 
 
-@query("ev1_evaluation_facts")
+def _ev1_sql():
+    from .q_corpus import FORMATTED_SQL
+    from .q_metrics import _rq_sql
+    from . import sqlfrag as S
+    em = f"CAST(array_to_string({S.toks('text')}, ' ') = array_to_string({S.toks('expected')}, ' ') AS DOUBLE)"
+    jac = S.jaccard(S.toks("text"), S.toks("expected"))
+    rq = _rq_sql("text", "expected")
+    return f"""WITH {FORMATTED_SQL},
+g AS (SELECT f.template_id, f.item_id, b.text AS expected, array_to_string({S.split_ws('f.prompt')}[1:5], ' ') AS text,
+             len({S.split_ws('f.prompt')}) > 0 AS success FROM f JOIN benchmark b USING (item_id))
+SELECT template_id, item_id, success, CASE WHEN success THEN NULL ELSE 'empty prompt' END AS error, m.metric, round(m.score, 6) AS score
+FROM g, LATERAL (SELECT * FROM (VALUES ('exact_match', {em}), ('jaccard', {jac}), ('response_quality', {rq})) v(metric, score)) m"""
+
+
+@query("ev1_evaluation_facts", uses=("templates",), sql=_ev1_sql())
 def ev1(spark, d):
     """Prompts × cases: every template formatted with every benchmark input, run through the
     user's model (mapInPandas), scored per metric against the case text; failures kept."""

@@ -61,7 +61,15 @@ def ud2(spark, d):
     return e.select("pair_id", "first_word", "first_word_error")
 
 
-@query("ud3_generate_batch")
+def _ud3_sql():
+    from .q_corpus import FORMATTED_SQL
+    return f"""WITH {FORMATTED_SQL},
+g AS (SELECT CASE WHEN len({S.split_ws('prompt')}) > 0 THEN 'stop' ELSE 'error' END AS finish_reason,
+             len({S.split_ws('prompt')}[1:5]) AS tokens FROM f)
+SELECT finish_reason, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM g GROUP BY finish_reason"""
+
+
+@query("ud3_generate_batch", uses=("templates",), sql=_ud3_sql())
 def ud3(spark, d):
     """Model calls over templates × benchmark prompts through mapInPandas; error rows kept."""
     bench = table(spark, d, "benchmark")
