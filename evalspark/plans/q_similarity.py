@@ -256,7 +256,25 @@ def si26(spark, d):
     return SIM.line_diff(t, "k", "context", "response")
 
 
-@query("si21_noise_robustness")
+_W = S.split_ws("text")
+_H = "hs[i + 1]"
+_WI = "ws[i + 1]"
+_POS = f"CAST({_H} % length({_WI}) AS INTEGER)"
+SI21_SQL = f"""
+WITH b AS (SELECT item_id, text, lv.level FROM benchmark, (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) lv(level)),
+w AS (SELECT *, {_W} AS ws FROM b),
+h AS (SELECT *, list_transform(range(len(ws)), lambda i: ('0x' || substr(md5(concat_ws(':', '7', CAST(level AS VARCHAR),
+        CAST(item_id AS VARCHAR), CAST(i AS VARCHAR))), 1, 12))::BIGINT) AS hs, CAST(floor(len(ws) * level) AS INTEGER) AS k FROM w),
+c AS (SELECT *, list_transform(list_sort(list_transform(range(len(ws)), lambda i: {{'h': {_H}, 'i': i}}))[1:greatest(k, 0)], lambda s: s.i) AS sel FROM h),
+n AS (SELECT item_id, level, text, CASE WHEN k = 0 THEN text ELSE array_to_string(list_transform(range(len(ws)), lambda i:
+        CASE WHEN list_contains(sel, i) AND length({_WI}) > 1
+             THEN substr({_WI}, 1, {_POS}) || substr('abcdefghijklmnopqrstuvwxyz', CAST(floor({_H} / 7) % 26 + 1 AS INTEGER), 1)
+                  || substr({_WI}, {_POS} + 2)
+             ELSE {_WI} END), ' ') END AS noisy FROM c)
+SELECT item_id, round(avg({S.jaccard(S.toks('text'), S.toks('noisy'), '0.0', '0.0')}), 6) AS overall_robustness FROM n GROUP BY item_id"""
+
+
+@query("si21_noise_robustness", sql=SI21_SQL)
 def si21(spark, d):
     """Noise injection at levels .1/.2/.3 on benchmark prompts; Jaccard robustness per level and overall
     (the texts stand in for model responses)."""
