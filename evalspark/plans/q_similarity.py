@@ -36,7 +36,21 @@ def si4(spark, d):
     return SIM.similarity_join(reps, "doc_id", T_NEAR).select("a", "b", r6("jaccard", "jaccard"))
 
 
-@query("si2_near_dedup")
+SI2_SQL = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, list_distinct({S.toks('text')}) AS toks FROM documents),
+reps AS MATERIALIZED (SELECT min(doc_id) AS doc_id FROM s GROUP BY array_to_string(list_sort(toks), ' ')),
+r AS MATERIALIZED (SELECT s.* FROM s JOIN reps USING (doc_id)),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, {S.jaccard('x.toks', 'y.toks')} AS j FROM r x JOIN r y
+  ON x.doc_id < y.doc_id AND len(y.toks) >= len(x.toks) * {T_NEAR} AND len(x.toks) >= len(y.toks) * {T_NEAR}) t WHERE j > {T_NEAR}),
+o AS MATERIALIZED (SELECT r.doc_id, row_number() OVER (ORDER BY r.doc_id) AS k, coalesce(nb.earlier, []::BIGINT[]) AS earlier
+      FROM r LEFT JOIN (SELECT b, list(a) AS earlier FROM e GROUP BY b) nb ON nb.b = r.doc_id),
+m(k, kept) AS (SELECT 0, []::BIGINT[]
+  UNION ALL SELECT m.k + 1, CASE WHEN list_has_any(m.kept, o.earlier) THEN m.kept ELSE list_append(m.kept, o.doc_id) END
+  FROM m JOIN o ON o.k = m.k + 1),
+fin AS (SELECT kept FROM m ORDER BY k DESC LIMIT 1)
+SELECT d.doc_id, list_contains((SELECT kept FROM fin), d.doc_id) AS kept FROM documents d"""
+
+
+@query("si2_near_dedup", sql=SI2_SQL)
 def si2(spark, d):
     """Greedy near-duplicate removal (token Jaccard > .8 to an earlier kept text); iterative MIS."""
     return SIM.near_dedup(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", T_NEAR)
