@@ -52,12 +52,14 @@ def token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def collapse_identical_sets(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(representatives, members): identical token sets keep their smallest key as representative;
-    ``members`` maps every key to its representative."""
+    ``members`` maps every key to its representative.  The representatives' sets come straight
+    out of one partial aggregation (``min_by``), so no token arrays are joined back."""
     canon = F.md5(F.array_join(F.array_sort("toks"), " "))
     s = sets.withColumn("_h", canon)
-    reps = s.groupBy("_h").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
-    members = s.join(reps, "_h").select(key, "rep", "copies")
-    rep_sets = s.join(reps.select(F.col("rep").alias(key), "copies"), key).drop("_h")
+    g = s.groupBy("_h").agg(F.min(key).alias("rep"), F.count("*").alias("copies"),
+                            F.min_by("toks", F.col(key)).alias("toks"))
+    rep_sets = g.select(F.col("rep").alias(key), "toks", F.size("toks").alias("n"), "copies")
+    members = s.select(key, "_h").join(g.select("_h", "rep", "copies"), "_h").select(key, "rep", "copies")
     return rep_sets, members
 
 
