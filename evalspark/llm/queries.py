@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import packing, piece_codec, sharding, token_counts
+from evalspark.llm import exact_dedup, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts
 from evalspark.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 20-word windows taken out of all documents."""
+    return substring_dedup.remove_repeats_digest(read_table(spark, sf_dir, "documents"), length=20)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts, uniformly shuffled."""
     placed = sharding.shuffle_into_shards(read_table(spark, sf_dir, "documents"), shards=16)
@@ -30,17 +35,28 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among all documents, and the row that stays of each group."""
+    return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens packed into sequences of at most 1024."""
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op4_sentencepiece, op8_token_counts, op10_packing)
+    f.__name__: f for f in (
+        op1_substring_dedup, op2_sharding, op4_sentencepiece, op6_exact_dedup, op8_token_counts, op9_secret_scan, op10_packing)
 }
 ORACLES: dict[str, str] = {}
