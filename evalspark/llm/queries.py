@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts
+from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts
 from evalspark.llm.common import read_table
 
 
@@ -30,6 +30,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents."""
+    return jaccard_join.near_copies(read_table(spark, sf_dir, "documents"), percent=75, shingle=5)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids and decoded text of every document, as digests."""
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -57,6 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op2_sharding, op4_sentencepiece, op6_exact_dedup, op8_token_counts, op9_secret_scan, op10_packing)
+        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op6_exact_dedup, op8_token_counts, op9_secret_scan, op10_packing)
 }
 ORACLES: dict[str, str] = {}
