@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts
+from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts, topk
 from evalspark.llm.common import read_table
 
 
@@ -45,6 +45,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=512)
@@ -62,6 +67,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op6_exact_dedup, op8_token_counts, op9_secret_scan, op10_packing)
+        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_secret_scan, op10_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk_search": topk.ORACLE}
