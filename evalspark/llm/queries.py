@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts, topk
+from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts, topk, toxicity
 from evalspark.llm.common import read_table
 
 
@@ -40,6 +40,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside fold 2."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), cut=0.3)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies among all documents, and the row that stays of each group."""
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
@@ -67,6 +72,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_secret_scan, op10_packing)
+        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op5_toxicity, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_secret_scan, op10_packing)
 }
 ORACLES: dict[str, str] = {"op7_topk_search": topk.ORACLE}
