@@ -32,18 +32,3 @@ def truthy_str(c) -> Column:
     """Python truthiness for text: '' / NULL count as missing (NULL)."""
     c = F.col(c) if isinstance(c, str) else c
     return F.when(c != "", c)
-
-
-
-def exact_mean6_parts(c, scale: int = 100) -> tuple[Column, Column]:
-    """Aggregates (Σ units, n) for :func:`exact_mean6` of a column with at most log10(scale)
-    decimals (e.g. cents)."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.sum(F.round(col * scale).cast("long")).alias("_su"), F.count(col).alias("_sn")
-
-
-def exact_mean6(scale: int = 100) -> Column:
-    """The mean rounded half-up to 6 places from the ``_su`` / ``_sn`` aggregates, with integer
-    division only, so it does not depend on the summation order."""
-    k = 2 * 1000000 // scale
-    return F.expr(f"(_su * {k} + _sn) div (2 * _sn)") / 1e6

@@ -344,13 +344,14 @@ BOILERPLATE_PREFIXES = [
 ]
 
 
-def clean_response(c, min_len: int = 10, max_len: int = 2000) -> Column:
-    """strip; drop the first matching boilerplate prefix (then strip); < min_len ⇒ ''; cut at max_len."""
+def clean_response(c, min_len: int = 10, max_len: int | None = None) -> Column:
+    """strip; drop the first matching boilerplate prefix (then strip); < min_len ⇒ ''; cut at
+    ``max_len`` only if given (the reference's is 2 000)."""
     t = strip_ws(c)
     out = t
     for p in reversed(BOILERPLATE_PREFIXES):
         out = F.when(F.lower(t).startswith(p.lower()), strip_ws(F.substring(t, len(p) + 1, 1 << 30))).otherwise(out)
-    return F.when(F.length(out) < min_len, F.lit("")).otherwise(F.substring(out, 1, max_len))
+    return F.when(F.length(out) < min_len, F.lit("")).otherwise(F.substring(out, 1, max_len) if max_len else out)
 
 
 def numbered_items(df: DataFrame, text: str, key: str) -> DataFrame:

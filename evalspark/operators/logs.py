@@ -52,16 +52,16 @@ def log_filter(filters: dict, ts: str = "timestamp", message: str = "message") -
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
-def query_logs(logs: DataFrame, filters: dict | None = None, limit: int | None = 1000, offset: int = 0,
+def query_logs(logs: DataFrame, filters: dict | None = None, limit: int | None = None, offset: int = 0,
                ts: str = "timestamp", key: str = "id") -> DataFrame:
-    """LG1–LG3: filtered, newest first (id breaks ties), then one page."""
+    """LG1–LG3: filtered, newest first (id breaks ties); ``limit`` / ``offset`` ask for one page."""
     out = logs.where(log_filter(filters or {}, ts)).orderBy(F.col(ts).desc(), F.col(key).desc())
     if offset:
         out = out.offset(offset)
     return out.limit(limit) if limit is not None else out
 
 
-def search_logs(logs: DataFrame, q: str, limit: int = 1000) -> DataFrame:
+def search_logs(logs: DataFrame, q: str, limit: int | None = None) -> DataFrame:
     return query_logs(logs, {"message_contains": q}, limit)
 
 

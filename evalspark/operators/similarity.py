@@ -106,10 +106,11 @@ def greedy_independent_set(nodes: DataFrame, edges: DataFrame, key: str, max_rou
     """Lexicographically-first MIS: in key order, keep a node unless an earlier kept node is adjacent.
 
     Each round decides every node whose earlier neighbours are all decided: dropped when one of
-    them is kept, kept when all are dropped.  Returns (key, kept)."""
+    them is kept, kept when all are dropped.  The edges are computed once and checkpointed; edges into
+    decided nodes leave after each round.  Returns (key, kept)."""
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
-    inc = edges.select(F.col("a").alias("src"), F.col("b").alias(key))  # a < b: a is earlier
+    inc = edges.select(F.col("a").alias("src"), F.col("b").alias(key)).checkpoint(eager=True)  # a < b: a is earlier
     state = nodes.select(key).distinct().withColumn("st", F.lit("U"))
     state = state.checkpoint(eager=True)
     rounds = 0
@@ -128,6 +129,7 @@ def greedy_independent_set(nodes: DataFrame, edges: DataFrame, key: str, max_rou
                            .otherwise(F.lit("U")))
                .select(key, "st"))
         state = new.checkpoint(eager=True)
+        inc = inc.join(state.where(F.col("st") == "U").select(key), key, "left_semi").select("src", key).checkpoint(eager=True)
         rounds += 1
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError("greedy_independent_set did not converge")
@@ -430,17 +432,15 @@ def noise_robustness(noisy: DataFrame, key: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SI24 parameter grid
-def parameter_grid(axes: dict[str, DataFrame], max_combinations: int = 50) -> DataFrame:
+def parameter_grid(axes: dict[str, DataFrame], max_combinations: int | None = None) -> DataFrame:
     """Cartesian product of the parameter values (each axis: one column of values, sorted), in
-    key order (the first axis varies slowest), cut to the first ``max_combinations``.  Each axis
-    becomes one sorted array in a single row; the product is an in-row explode — no join."""
+    key order (the first axis varies slowest); ``max_combinations`` asks for the first ones only.
+    Each axis becomes one sorted array in a single row; the product is an in-row explode — no join."""
     names = list(axes)
-    row = None
-    for n in names:
-        a = axes[n].agg(F.array_sort(F.collect_set(n)).alias(n))
-        row = a if row is None else row.crossJoin(a)  # one-row frames
-    out = row
+    arrays = [axes[n].agg(F.array_sort(F.collect_set(n))).scalar().alias(n) for n in names]
+    out = axes[names[0]].sparkSession.range(1).select(*arrays)
     for n in names:
         out = out.select(*[c for c in out.columns if c != n], F.posexplode(n).alias(f"_{n}_i", n))
     order = [F.col(f"_{n}_i") for n in names]
-    return out.orderBy(*order).limit(max_combinations).select(*names)
+    out = out.orderBy(*order)
+    return (out.limit(max_combinations) if max_combinations else out).select(*names)

@@ -13,7 +13,7 @@ BINDINGS: dict[str, str] = {
          CASE WHEN doc_id % 5 = 0 THEN lower(array_to_string(tok, '  '))
               ELSE array_to_string([tok[i] FOR i IN range(1, len(tok) + 1) IF (i + doc_id) % 7 <> 0], ' ') END AS ref
   FROM (SELECT doc_id, lang,
-               list_filter(regexp_split_to_array(text, '[\\s\\x{00A0}]+'), lambda w: w <> '')[1:40] AS tok
+               list_filter(regexp_split_to_array(text, '[\\s\\x{00A0}]+'), lambda w: w <> '') AS tok
         FROM documents) t)""",
     "turns": """turns AS (
   SELECT conv_id, turn, text AS context, nxt AS response
@@ -69,7 +69,7 @@ BINDINGS: dict[str, str] = {
   SELECT run_id, iteration, current_score, max(current_score) OVER (PARTITION BY run_id ORDER BY iteration) AS best_score
   FROM (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iteration, value AS current_score FROM events) t)""",
     "variants": """variants AS (
-  SELECT d.doc_id AS id, substr(d.text, 1, 200) AS content, CASE d.doc_id % 3 WHEN 0 THEN 'ape' WHEN 1 THEN 'stable' ELSE 'custom' END AS strategy,
+  SELECT d.doc_id AS id, d.text AS content, CASE d.doc_id % 3 WHEN 0 THEN 'ape' WHEN 1 THEN 'stable' ELSE 'custom' END AS strategy,
          (d.n_chars % 101) / 100.0::DOUBLE AS quality_score, (d.doc_id % 97) / 96.0::DOUBLE AS diversity_score, d.source AS base_prompt,
          (d.doc_id % 10) * 0.1::DOUBLE AS generation_time
   FROM documents d)""",

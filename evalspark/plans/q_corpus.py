@@ -284,7 +284,7 @@ def _clean_resp_sql():
     for p in reversed(C.BOILERPLATE_PREFIXES):
         q = p.replace("'", "''")
         out = f"CASE WHEN starts_with(lower({t}), lower('{q}')) THEN {S.strip(f'substr({t}, {len(p) + 1})')} ELSE {out} END"
-    return f"CASE WHEN length({out}) < 10 THEN '' ELSE substr({out}, 1, 2000) END"
+    return f"CASE WHEN length({out}) < 10 THEN '' ELSE {out} END"
 
 
 @query("tx18_clean_response", sql=f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import exact_mean6, exact_mean6_parts, r6
+from ..functions.common import r6
 from ..operators import history as H
 from ..sources import bindings as B
 from ..sources.tables import table
@@ -61,17 +61,13 @@ g AS (SELECT o.run_id, n.n, max(CASE WHEN iteration >= n.n - 10 THEN current_sco
   FROM opt_history o JOIN n USING (run_id) GROUP BY o.run_id, n.n)
 SELECT run_id, CASE WHEN n > 10 AND rmax - rmin < 0.001 THEN 'converged' ELSE 'completed' END AS status,
   CAST(CASE WHEN n > 10 AND rmax - rmin < 0.001 THEN n - 10 ELSE -1 END AS BIGINT) AS convergence_step,
-  round(total_improvement, 6) AS total_improvement, e.mean6 AS average_improvement,
-  round(v, 6) AS improvement_variance, mono AS monotonic_improvement FROM g JOIN m USING (run_id)
-  JOIN (SELECT run_id, ((CAST(sum(CAST(round(current_score * 100) AS BIGINT)) AS BIGINT) * 20000 + count(*)) // (2 * count(*))) / 1e6 AS mean6
-        FROM opt_history GROUP BY run_id) e USING (run_id)""")
+  round(total_improvement, 6) AS total_improvement, round(average_improvement, 9) AS average_improvement,
+  round(v, 6) AS improvement_variance, mono AS monotonic_improvement FROM g JOIN m USING (run_id)""")
 def hs4(spark, d):
-    """The mean is computed exactly in cents (order-independent rounding)."""
-    h = B.opt_history(spark, d)
-    p = H.patience_convergence(h, RUN, IT, "current_score")
-    m = h.groupBy(RUN).agg(*exact_mean6_parts("current_score")).select(RUN, exact_mean6().alias("average_improvement"))
-    return p.drop("average_improvement").join(m, RUN).select(
-        RUN, "status", "convergence_step", r6("total_improvement", "total_improvement"), "average_improvement",
+    p = H.patience_convergence(B.opt_history(spark, d), RUN, IT, "current_score")
+    return p.select(
+        RUN, "status", "convergence_step", r6("total_improvement", "total_improvement"),
+        F.round("average_improvement", 9).alias("average_improvement"),
         r6("improvement_variance", "improvement_variance"), "monotonic_improvement")
 
 

@@ -85,9 +85,10 @@ def io6(spark, d):
 
 
 @query("io7_request_log_csv", uses=("prompt_logs",), sql="""
+WITH p AS (SELECT request_id, concat(prompt, ' ', prompt, ' ', prompt) AS prompt, response, model, session_id FROM prompt_logs)
 SELECT request_id, CASE WHEN length(prompt) > 100 THEN concat(substr(prompt, 1, 100), '...') ELSE prompt END AS prompt,
   CASE WHEN length(response) > 100 THEN concat(substr(response, 1, 100), '...') ELSE response END AS response,
-  array_to_string([model, session_id], ',') AS tags FROM prompt_logs""")
+  concat(model, ',', session_id) AS tags FROM p""")
 def io7(spark, d):
     pl = B.prompt_logs(spark, d).select("request_id", F.concat("prompt", F.lit(" "), F.col("prompt"), F.lit(" "), F.col("prompt")).alias("p3"),
                                         "response", F.array("model", "session_id").alias("tags"))
@@ -98,17 +99,6 @@ def io7(spark, d):
         "request_id", "prompt", "response", "tags")
 
 
-# The SQL uses the tripled prompt of the Spark side.
-io7_sql = """
-WITH p AS (SELECT request_id, concat(prompt, ' ', prompt, ' ', prompt) AS prompt, response, model, session_id FROM prompt_logs)
-SELECT request_id, CASE WHEN length(prompt) > 100 THEN concat(substr(prompt, 1, 100), '...') ELSE prompt END AS prompt,
-  CASE WHEN length(response) > 100 THEN concat(substr(response, 1, 100), '...') ELSE response END AS response,
-  concat(model, ',', session_id) AS tags FROM p"""
-from .registry import _ORACLES  # noqa: E402
-from .bindings_sql import with_bindings  # noqa: E402
-_ORACLES["io7_request_log_csv"] = with_bindings(io7_sql, ("prompt_logs",))
-
-
 @query("io8_nested_export", uses=("logs",), sql="""
 SELECT id AS request_id, message AS prompt, category AS model, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS max_tokens,
   CAST(json_extract_string(metadata, '$.temperature') AS DOUBLE) AS temperature FROM logs""")
@@ -147,14 +137,15 @@ def io10(spark, d):
 @query("io11_run_export", uses=("eval_results",), sql="""
 SELECT run_id, count(*) AS n_results, round(avg(score), 6) AS average_score, count_if(NOT success) AS failed FROM eval_results GROUP BY run_id""")
 def io11(spark, d):
+    """Summaries and results are two row files keyed by run, so a run of any size is never one row."""
     er = B.eval_results(spark, d)
-    runs = er.groupBy("run_id").agg(
-        F.struct(F.count("*").alias("n_results"), F.avg("score").alias("average_score"),
-                 F.count_if(~F.col("success")).alias("failed")).alias("summary"),
-        F.collect_list(F.struct("case_id", "metric", "score")).alias("results"))
-    p = IO.write_jsonl(runs, IO.new_scratch(spark, "runs-json"))
-    back = spark.read.schema(runs.schema).json(p)
-    return back.select("run_id", "summary.n_results", r6("summary.average_score", "average_score"), "summary.failed")
+    results = er.select("run_id", "case_id", "metric", "score", "success")
+    rows = IO.write_jsonl(results, IO.new_scratch(spark, "run-results-json"))
+    runs = er.groupBy("run_id").agg(F.count("*").alias("n_results"), F.avg("score").alias("average_score"),
+                                    F.count_if(~F.col("success")).alias("failed"))
+    heads = spark.read.schema(runs.schema).json(IO.write_jsonl(runs, IO.new_scratch(spark, "runs-json")))
+    written = spark.read.schema(results.schema).json(rows).groupBy("run_id").agg(F.count("*").alias("n_results"))
+    return heads.drop("n_results").join(written, "run_id").select("run_id", "n_results", r6("average_score", "average_score"), "failed")
 
 
 @query("io12_prompt_export", uses=("prompts", "prompt_variants"), sql="""
@@ -163,24 +154,23 @@ GROUP BY p.id, p.title""")
 def io12(spark, d):
     p = B.prompts(spark, d).select("id", "title", "content")
     v = B.prompt_variants(spark, d).where(F.col("deleted_at").isNull()).select(F.col("prompt_id").alias("id"), F.col("id").alias("vid"), "performance_score")
-    nested = p.join(v, "id", "left").groupBy("id", "title").agg(
-        F.collect_list(F.when(F.col("vid").isNotNull(), F.struct("vid", "performance_score"))).alias("variants"))
-    path = IO.write_jsonl(nested, IO.new_scratch(spark, "prompt-export"))
-    back = spark.read.schema(nested.schema).json(path)
-    return back.select("id", "title", F.size("variants").cast("long").alias("n_variants"))
+    # Prompts and their variants are two row files keyed by prompt.
+    heads = spark.read.schema(p.schema).json(IO.write_jsonl(p, IO.new_scratch(spark, "prompt-export")))
+    rows = spark.read.schema(v.schema).json(IO.write_jsonl(v, IO.new_scratch(spark, "variant-export")))
+    n = rows.groupBy("id").agg(F.count("*").alias("n_variants"))
+    return heads.join(n, "id", "left").select("id", "title", F.coalesce("n_variants", F.lit(0)).alias("n_variants"))
 
 
 @query("io13_import_prompts", sql=f"""
-WITH r AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 250) END AS title, text AS content,
-  concat(source, ' ', lang) AS description, list_filter(regexp_split_to_array(lower(text), '[\\s\\x{{00A0}}]+'), lambda w: w <> '')[1:15] AS tags FROM documents)
-SELECT substr(title, 1, 200) AS title, md5(substr(content, 1, 10000)) AS content_md5, substr(description, 1, 1000) AS description,
-  len(tags[1:10]) AS n_tags, 'gpt-4' AS model_type FROM r WHERE coalesce(title, '') <> '' AND coalesce(content, '') <> ''""")
+WITH r AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS title, text AS content,
+  concat(source, ' ', lang) AS description, list_filter(regexp_split_to_array(lower(text), '[\\s\\x{{00A0}}]+'), lambda w: w <> '') AS tags FROM documents)
+SELECT title, md5(content) AS content_md5, description, CAST(len(tags) AS INTEGER) AS n_tags, 'gpt-4' AS model_type FROM r WHERE coalesce(title, '') <> '' AND coalesce(content, '') <> ''""")
 def io13(spark, d):
     from ..functions.tokens import tokens
     docs = table(spark, d, "documents")
-    raw = docs.select(F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.substring("text", 1, 250)).alias("title"),
+    raw = docs.select(F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("title"),
                       F.col("text").alias("content"), F.concat("source", F.lit(" "), F.col("lang")).alias("description"),
-                      F.slice(tokens("text"), 1, 15).alias("tags"), F.lit(None).cast("string").alias("model_type"))
+                      tokens("text").alias("tags"), F.lit(None).cast("string").alias("model_type"))
     imp = IO.import_rows(raw)
     return imp.select("title", F.md5("content").alias("content_md5"), "description", F.size("tags").alias("n_tags"), "model_type")
 

@@ -210,13 +210,13 @@ def rg17(spark, d):
 
 
 @query("rg18_prompt_with_variants", uses=("prompts", "prompt_variants"), sql=f"""
-SELECT p.id, count(v.id) AS n_variants, coalesce(array_to_string(list_sort(list(v.id) FILTER (WHERE v.id IS NOT NULL)), ','), '') AS variant_ids
-FROM prompts p LEFT JOIN {LIVE_V} v ON v.prompt_id = p.id WHERE p.id % 50 = 1 GROUP BY p.id""")
+SELECT p.id, v.id AS variant_id, coalesce(n.n, 0) AS n_variants
+FROM prompts p LEFT JOIN {LIVE_V} v ON v.prompt_id = p.id
+LEFT JOIN (SELECT prompt_id, count(*) AS n FROM {LIVE_V} w GROUP BY prompt_id) n ON n.prompt_id = p.id""")
 def rg18(spark, d):
-    p = B.prompts(spark, d).where(F.col("id") % 50 == 1).select("id")
-    v = G.live(B.prompt_variants(spark, d)).select(F.col("prompt_id").alias("id"), F.col("id").alias("vid"))
-    j = p.join(v, "id", "left").groupBy("id").agg(
-        F.count("vid").alias("n_variants"),
-        F.array_join(F.sort_array(F.collect_list(F.col("vid").cast("string"))), ",").alias("_ids_s"),
-        F.sort_array(F.collect_list("vid")).alias("_ids"))
-    return j.select("id", "n_variants", F.array_join(F.transform("_ids", lambda x: x.cast("string")), ",").alias("variant_ids"))
+    """One row per prompt and variant (a prompt without variants has one row), so no prompt's variants
+    are held in one array."""
+    p = B.prompts(spark, d).select("id")
+    v = G.live(B.prompt_variants(spark, d)).select(F.col("prompt_id").alias("id"), F.col("id").alias("variant_id"))
+    n = v.groupBy("id").agg(F.count("*").alias("n_variants"))
+    return p.join(v, "id", "left").join(n, "id", "left").select("id", "variant_id", F.coalesce("n_variants", F.lit(0)).alias("n_variants"))

@@ -38,10 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared file system and is used as is.
-    Only when it is unset (tests, a laptop) is a fallback installed.
+    Only on a local master, where it is unset in tests or on a laptop, is a fallback installed; a
+    cluster without the setting is an error, as executors cannot share a machine's own folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = fallback or os.environ.get("EVALSPARK_CHECKPOINT_DIR") or "/tmp/evalspark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -25,10 +25,10 @@ def ts_lit(s: str):
 
 
 def eval_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Prediction/reference pairs: first 40 tokens, every 7th dropped from the reference,
+    """Prediction/reference pairs of whole texts: every 7th token dropped from the reference,
     every 5th an exact (lower-cased, double-spaced) copy, every 11th prediction empty."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    tok = F.slice(F.filter(F.split("text", SPLIT_WS_ASCII_NBSP), lambda w: w != ""), 1, 40)
+    tok = F.filter(F.split("text", SPLIT_WS_ASCII_NBSP), lambda w: w != "")
     did = F.col("doc_id")
     t = docs.select("doc_id", "lang", tok.alias("tok"))
     ref_drop = F.array_join(F.filter("tok", lambda w, i: ((i + 1 + did) % 7) != 0), " ")
@@ -175,7 +175,7 @@ def variants(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     did = F.col("doc_id")
     return doc.select(
-        did.alias("id"), F.substring("text", 1, 200).alias("content"),
+        did.alias("id"), F.col("text").alias("content"),
         F.when(did % 3 == 0, "ape").when(did % 3 == 1, "stable").otherwise("custom").alias("strategy"),
         ((F.col("n_chars") % 101) / F.lit(100.0)).alias("quality_score"),
         ((did % 97) / F.lit(96.0)).alias("diversity_score"), F.col("source").alias("base_prompt"),

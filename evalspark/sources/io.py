@@ -140,14 +140,16 @@ def flatten_results(facts: DataFrame, ids: list[str], metric: str, score: str, m
     return facts.groupBy(*ids).pivot(metric, metrics).agg(F.max(score))
 
 
-def import_rows(df: DataFrame) -> DataFrame:
-    """IO13: rows without title or content are skipped; title ≤ 200, content ≤ 10 000,
-    description ≤ 1 000 chars, at most 10 tags; model_type defaults to 'gpt-4'."""
+def import_rows(df: DataFrame, max_title: int | None = None, max_content: int | None = None,
+                max_description: int | None = None, max_tags: int | None = None) -> DataFrame:
+    """IO13: rows without title or content are skipped; model_type defaults to 'gpt-4'.  Fields are
+    taken whole unless a bound is asked for (the reference's are 200, 10 000, 1 000 and 10)."""
+    cut = lambda c, n: (F.substring(c, 1, n) if n else F.col(c)).alias(c)
     ok = F.coalesce(F.col("title"), F.lit("")) != ""
     ok = ok & (F.coalesce(F.col("content"), F.lit("")) != "")
     return df.where(ok).select(
-        F.substring("title", 1, 200).alias("title"), F.substring("content", 1, 10000).alias("content"),
-        F.substring("description", 1, 1000).alias("description"), F.slice("tags", 1, 10).alias("tags"),
+        cut("title", max_title), cut("content", max_content), cut("description", max_description),
+        (F.slice("tags", 1, max_tags) if max_tags else F.col("tags")).alias("tags"),
         F.coalesce(F.col("model_type"), F.lit("gpt-4")).alias("model_type"))
 
 

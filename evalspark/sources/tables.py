@@ -13,16 +13,12 @@ TEXT_TABLES = {"documents", "pages", "benchmark", "conversations", "embeddings"}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    Parquet splits only at row-group boundaries, so a small table written as one row group is
-    read by a single task.  For the text tables, whose per-row work is CPU-heavy, a scan with
-    fewer splits than the cluster's default parallelism is spread round-robin before any per-row
-    work; a large input already has enough splits and is left as it is (no extra shuffle at
-    scale).  Filters and projections are still pushed below the repartition into the scan.
+    Parquet splits only at row-group boundaries, so a table written as one row group is read by one
+    task.  Where that hurts (a bench on small files), the session setting ``evalspark.text.partitions``
+    spreads the text tables over so many partitions before per-row work; it is unset by default.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
-    return df
+    spread = spark.conf.get("evalspark.text.partitions", None)
+    return df.repartition(int(spread)) if spread and name in TEXT_TABLES else df
