@@ -27,18 +27,19 @@ from evalspark.llm.words import U, Words, mix, slices
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
 
-def _anchors(w: Words, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the anchor windows."""
-    k = length - PERIOD + 1
+def _anchor_places(w: Words, length: int) -> np.ndarray:
+    """Word indices of the anchor windows."""
     place = (np.arange(len(w)) - w.first[:-1][w.doc]) % PERIOD
-    at = np.flatnonzero(np.isin(place, COVER) & w.fits(k))
-    return at, w.windows(hashes, k)[at]
+    return np.flatnonzero(np.isin(place, COVER) & w.fits(length - PERIOD + 1))
 
 
-def _candidates(w: Words, hashes: np.ndarray, single: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the windows that hold an anchor which is not single in the corpus."""
-    at, keys = _anchors(w, hashes, length)
-    again = at[~np.isin(keys.view(np.int64), single)]
+def _candidates(w: Words, single: np.ndarray, length: int) -> np.ndarray:
+    """Starts of the windows that hold an anchor which is not single in the corpus; ``single`` has the
+    word indices of those that are."""
+    at = _anchor_places(w, length)
+    known = np.zeros(len(w) + 1, bool)
+    known[single] = True
+    again = at[~known[at]]
     edge = np.zeros(len(w) + 1, np.int64)
     # The anchor's window lies in those that start up to PERIOD - 1 words before it.
     np.add.at(edge, np.maximum(again - (PERIOD - 1), w.first[:-1][w.doc[again]]), 1)
@@ -65,10 +66,13 @@ def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, w in slices(batch.column("text")):
-                at, keys = _anchors(w, w.hashes(1), length)
+                at = _anchor_places(w, length)
                 if len(at):
+                    keys = w.windows(w.hashes(1), length - PERIOD + 1)[at]
+                    place = (at - w.first[:-1][w.doc[at]]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(_ids(batch, a, b)[w.doc[at]])], names=["key", "doc_id"])
+                        [pa.array(keys.view(np.int64)), pa.array(_ids(batch, a, b)[w.doc[at]]), pa.array(place)],
+                        names=["key", "doc_id", "place"])
     return run
 
 
@@ -78,12 +82,33 @@ def _window_keys(w: Words, hashes: np.ndarray, at: np.ndarray, length: int) -> t
     return w.windows(hashes, length)[at].view(np.int64), other.astype(np.int32)
 
 
+def _singles(batch: pa.RecordBatch, a: int, b: int, w: Words) -> np.ndarray:
+    place, doc = _flat(batch.column("single"), a, b)
+    return w.first[:-1][doc] + place
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in batches:
+        raw = [t.encode("utf8") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
+             pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["doc_id", "size", "pressed"])
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(
+        batch.column("pressed").to_pylist(), batch.column("size").to_pylist())], pa.large_binary()).cast(pa.large_string())
+
+
 def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in slices(batch.column("text")):
+            for a, b, w in slices(_texts(batch)):
                 hashes = w.hashes(1)
-                at = _candidates(w, hashes, _flat(batch.column("single"), a, b)[0], length)
+                at = _candidates(w, _singles(batch, a, b, w), length)
                 at = at[_known(batch, a, b)[w.doc[at]]]
                 if len(at):
                     key, more = _window_keys(w, hashes, at, length)
@@ -96,9 +121,9 @@ def _result_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept_texts = [], [], []
-            for a, b, w in slices(batch.column("text")):
+            for a, b, w in slices(_texts(batch)):
                 hashes = w.hashes(1)
-                at = _candidates(w, hashes, _flat(batch.column("single"), a, b)[0], length)
+                at = _candidates(w, _singles(batch, a, b, w), length)
                 at = at[_known(batch, a, b)[w.doc[at]]]
                 key, _ = _window_keys(w, hashes, at, length)
                 doc = w.doc[at]
@@ -150,10 +175,12 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
         raise ValueError(f"windows need more than {PERIOD} words")
     rows = text_rows(docs, id_col, text_col)
     known = rows.where(F.col("doc_id").isNotNull())
-    anchors = known.mapInArrow(_anchor_rows(length), "key long, doc_id long")
-    single = (anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
-              .where("n = 1").groupBy("doc_id").agg(F.collect_list("key").alias("single")))
-    base = rows.join(single, "doc_id", "left")  # used twice in one plan: its exchanges are shared
+    anchors = known.mapInArrow(_anchor_rows(length), "key long, doc_id long, place int")
+    # Of a key that occurs once, the smallest id and place are its own.
+    single = (anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
+              .where("n = 1").groupBy("doc_id").agg(F.collect_list("place").alias("single")))
+    pressed = rows.mapInArrow(_pressed, "doc_id long, size long, pressed binary")
+    base = pressed.join(single, "doc_id", "left")  # used twice in one plan: its exchanges are shared
     windows = base.mapInArrow(_window_rows(length), "key long, more int, doc_id long")
     first = (windows.groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"))
              .groupBy("doc_id").agg(F.collect_list("key").alias("first")))
