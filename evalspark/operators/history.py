@@ -176,50 +176,33 @@ def distribution_summary(df: DataFrame, col: str) -> DataFrame:
                     q["q75"].alias("q75"), "skewness", "kurtosis")
 
 
+def _beta_ratio(a: np.ndarray, b: np.ndarray, x: np.ndarray, terms: int = 1500) -> np.ndarray:
+    """Regularised incomplete beta I_x(a, b) for x below its mean, by the continued fraction
+    x^a (1-x)^b / (a B(a, b)) / (1 + d1 / (1 + d2 / ...)), evaluated from its tail."""
+    tail = np.ones_like(x)
+    for k in range(terms, 0, -1):
+        m = k // 2
+        if k % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        tail = 1 + d / tail
+    log_beta = np.array([math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q) for p, q in zip(a, b)])
+    return np.exp(a * np.log(x) + b * np.log1p(-x) - log_beta) / (a * tail)
+
+
 def _t_sf(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Two-sided p-value 2·P(T > |t|) of Student's t via the regularised incomplete beta
-    I_{df/(df+t²)}(df/2, 1/2) (continued fraction, Numerical Recipes style)."""
-    from math import lgamma
-
-    def betacf(a, b, x):
-        qab, qap, qam = a + b, a + 1.0, a - 1.0
-        c, d = 1.0, 1.0 - qab * x / qap
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        h = d
-        for m in range(1, 300):
-            m2 = 2 * m
-            aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c if abs(c) > 1e-300 else 1e-300
-            h *= d * c
-            aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-            d = 1.0 + aa * d
-            d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1.0 + aa / c if abs(c) > 1e-300 else 1e-300
-            de = d * c
-            h *= de
-            if abs(de - 1.0) < 3e-16:
-                break
-        return h
-
-    def ibeta(a, b, x):
-        if x <= 0:
-            return 0.0
-        if x >= 1:
-            return 1.0
-        lbt = lgamma(a + b) - lgamma(a) - lgamma(b) + a * math.log(x) + b * math.log(1 - x)
-        bt = math.exp(lbt)
-        if x < (a + 1) / (a + b + 2):
-            return bt * betacf(a, b, x) / a
-        return 1.0 - bt * betacf(b, a, 1 - x) / b
-
-    out = np.empty(len(t))
-    for i, (tv, dv) in enumerate(zip(t, df)):
-        if tv is None or dv is None or not np.isfinite(tv) or dv <= 0:
-            out[i] = np.nan if (tv is None or dv is None or dv <= 0 or np.isnan(tv)) else 0.0
-            continue
-        out[i] = ibeta(dv / 2.0, 0.5, dv / (dv + tv * tv))
+    """Two-sided p-value of Student's t: I_{df/(df+t²)}(df/2, 1/2); NaN without a t or with df <= 0."""
+    out = np.where(np.isnan(t) | ~(df > 0), np.nan, 0.0)
+    ok = np.isfinite(t) & (df > 0)
+    a, h = df[ok] / 2.0, np.full(int(ok.sum()), 0.5)
+    x = df[ok] / (df[ok] + t[ok] * t[ok])
+    low = x < (a + 1) / (a + 2.5)
+    p = np.ones_like(x)
+    p[low] = _beta_ratio(a[low], h[low], np.maximum(x[low], 1e-300))
+    rest = ~low & (x < 1)  # the mirrored argument converges there
+    p[rest] = 1 - _beta_ratio(h[rest], a[rest], 1 - x[rest])
+    out[ok] = p
     return out
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import truthy_num, truthy_str
-from .ordinal import order_statistic
+from .ordinal import order_statistic, with_group_prefix_max
 
 # Severity order of the structured logger; unknown levels rank as INFO.
 LEVELS = ["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"]
@@ -194,35 +194,48 @@ def cache_key(prompt, params: dict | None = None) -> Column:
 
 
 # ----------------------------------------------------------------------------- LG20
-def _limiter_partition(client: str, limit: int, window_us: int):
-    from collections import deque
-
+def admissions(times, limit: int, window_us: int, accepted: list | None = None) -> tuple[list[bool], list]:
+    """Which of the ascending ``times`` are admitted, and the last ``limit`` admitted times.
+
+    An event is admitted unless the ``limit``-th latest admitted one lies less than a window back."""
+    kept = list(accepted or [])
+    out = []
+    for t in times:
+        ok = len(kept) < limit or kept[-limit] <= t - window_us
+        out.append(ok)
+        if ok:
+            kept.append(t)
+    return out, kept[-limit:]
+
+
+def _admit_segments(keys: list[str], limit: int, window_us: int):
+    """Rows come sorted by segment and time; a segment may span several Arrow batches."""
     def run(batches):
-        cur, acc = object(), deque()
+        open_key, kept = None, []
         for pdf in batches:
-            allowed = []
-            for c, t in zip(pdf[client].tolist(), pdf["_t"].tolist()):
-                if c != cur:
-                    cur, acc = c, deque()
-                while acc and acc[0] <= t - window_us:
-                    acc.popleft()
-                ok = len(acc) < limit
-                if ok:
-                    acc.append(t)
-                allowed.append(ok)
-            yield pdf.drop(columns=["_t"]).assign(allowed=allowed)
+            parts = []
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                ok, kept = admissions(part["_t"].tolist(), limit, window_us, kept if key == open_key else None)
+                open_key = key
+                parts.extend(ok)
+            yield pdf.drop(columns=["_t", "_segment"]).assign(allowed=parts)
     return run
 
 
 def rate_limit(events: DataFrame, client: str, ts: str, seq: str, limit: int, window_s: float) -> DataFrame:
     """LG20: sliding-window limiter per client: an event is allowed when fewer than ``limit``
     *accepted* events fall in (t − window, t].  Rejected events do not count, so this is an
-    order-dependent fold.  Rows are hash-partitioned by client and sorted by (client, ts, seq)
-    inside each partition; ``mapInPandas`` streams the Arrow batches and carries only the
-    accepted timestamps still inside the window, so memory stays bounded even for a hot client."""
-    t = F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")  # integer microseconds: exact comparisons
-    src = (events.select(client, seq, ts, t).repartition(client)
-                 .sortWithinPartitions(client, ts, seq))
+    order-dependent fold.  A pause of a window or more leaves nothing to remember, so a client's events
+    are cut at such pauses (found with running maxima over stored range partitions) and the segments
+    are folded in parallel; a batch carries only the last ``limit`` admitted times."""
+    window_us = int(round(window_s * 1e6))
+    t = F.unix_micros(F.col(ts).cast("timestamp"))  # integer microseconds: exact comparisons
+    src = events.select(client, seq, ts, t.alias("_t"))
+    before = with_group_prefix_max(src, [client], [ts, seq], "_t", "_before", exclusive=True)
+    fresh = before.withColumn("_start", F.when(F.col("_before").isNull() | (F.col("_t") - F.col("_before") >= window_us), F.col("_t")))
+    cut = with_group_prefix_max(fresh.drop("_before"), [client], [ts, seq], "_start", "_segment").drop("_start")
+    dealt = (cut.select(client, seq, ts, "_t", "_segment").repartition(client, "_segment")
+             .sortWithinPartitions(client, "_segment", ts, seq))
     types = dict(events.dtypes)
     schema = f"{client} {types[client]}, {seq} {types[seq]}, {ts} {types[ts]}, allowed boolean"
-    return src.mapInPandas(_limiter_partition(client, limit, int(round(window_s * 1e6))), schema)
+    return dealt.mapInPandas(_admit_segments([client, "_segment"], limit, window_us), schema)

@@ -135,6 +135,29 @@ def redact_map(m) -> Column:
                               lambda k, v: F.when(F.array_contains(keys, F.lower(k)), F.lit("[REDACTED]")).otherwise(v))
 
 
+def redact_nested(c: Column, kind: T.DataType) -> Column:
+    """Redact sensitive keys at any depth of structs, arrays and maps; a sensitive field's whole value
+    becomes text.  The expression follows the schema, so it stays inside code generation."""
+    hidden = F.lit("[REDACTED]")
+    if isinstance(kind, T.StructType):
+        fields = [(hidden if f.name.lower() in SENSITIVE_KEYS else redact_nested(c[f.name], f.dataType)).alias(f.name) for f in kind]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keys = F.array(*[F.lit(k) for k in SENSITIVE_KEYS])
+        text = isinstance(kind.valueType, T.StringType)
+        return F.transform_values(c, lambda k, v: F.when(F.array_contains(keys, F.lower(k)), hidden if text else F.lit(None))
+                                  .otherwise(redact_nested(v, kind.valueType)))
+    return c
+
+
+def redact_record(df: DataFrame) -> DataFrame:
+    """Every column of the table through :func:`redact_nested`, sensitive columns included."""
+    return df.select(*[(F.lit("[REDACTED]") if f.name.lower() in SENSITIVE_KEYS else redact_nested(F.col(f.name), f.dataType)).alias(f.name)
+                       for f in df.schema])
+
+
 # ------------------------------------------------------------------ VP1 / VP4 / VP5 / VP7 single pass
 def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: type, nullable, null count, distinct non-null count (long table; one scan)."""

@@ -142,7 +142,7 @@ def run_prompt_summary(facts: DataFrame, run: str, prompt: str, case_cols: list[
     mean latency of successful cases — one scan and two aggregations (case level, then prompt level)."""
     ok = F.col(success)
     per_case = facts.groupBy(run, prompt, *case_cols).agg(
-        F.bool_and(success).alias("_ok"), F.first(latency, ignorenulls=True).alias("_lat"),
+        F.bool_and(success).alias("_ok"), F.max(latency).alias("_lat"),
         *[F.sum(F.when(ok & (F.col(metric) == m) & F.col(score).isNotNull(), F.col(score))).alias(f"_s{i}")
           for i, m in enumerate(metrics)],
         *[F.count(F.when(ok & (F.col(metric) == m) & F.col(score).isNotNull(), F.lit(1))).alias(f"_n{i}")

@@ -196,6 +196,43 @@ def lg13(spark, d):
         F.count_distinct(truthy_str("model")).alias("n_models"))
 
 
+RECENT_SQL = """WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR AND "timestamp" <= TIMESTAMP '2024-01-31 00:00:00'"""
+
+
+def _recent(spark, d):
+    """The bundle's range: the last 24 hours."""
+    now = F.expr(f"TIMESTAMP_NTZ'{NOW}'")
+    return B.prompt_logs(spark, d).where((F.col("timestamp") >= now - F.expr("INTERVAL 24 HOURS")) & (F.col("timestamp") <= now))
+
+
+@query("lg13_bundle_performance", uses=PL, sql=_perf_sql(None, RECENT_SQL))
+def lg13_performance(spark, d):
+    return _perf(_recent(spark, d))
+
+
+@query("lg13_bundle_models", uses=PL, sql=f"""
+SELECT model, count(*) AS request_count,
+  CAST(coalesce(sum(nullif(input_tokens, 0)), 0) + coalesce(sum(nullif(output_tokens, 0)), 0) AS BIGINT) AS total_tokens,
+  round(coalesce(sum(nullif(cost, 0)), 0.0), 6) AS total_cost, round(coalesce(avg(nullif(latency, 0)), 0.0), 6) AS avg_latency
+FROM prompt_logs {RECENT_SQL} AND nullif(model, '') IS NOT NULL GROUP BY model""")
+def lg13_models(spark, d):
+    m = L.model_breakdown(_recent(spark, d))
+    return m.select("model", "request_count", "total_tokens", r6("total_cost", "total_cost"), r6("avg_latency", "avg_latency"))
+
+
+@query("lg13_bundle_cost", uses=PL, sql=f"""
+SELECT model, round(sum(cost), 6) AS cost FROM prompt_logs {RECENT_SQL}
+AND nullif(model, '') IS NOT NULL AND nullif(cost, 0) IS NOT NULL GROUP BY model""")
+def lg13_cost(spark, d):
+    return L.cost_analysis(_recent(spark, d))[1].select("model", r6("cost", "cost"))
+
+
+@query("lg13_bundle_errors", uses=PL, sql=f"""
+SELECT split_part(error, ':', 1) AS error_type, count(*) AS count FROM prompt_logs {RECENT_SQL} AND nullif(error, '') IS NOT NULL GROUP BY 1""")
+def lg13_errors(spark, d):
+    return L.error_analysis(_recent(spark, d))
+
+
 def _req_resp(spark, d):
     pl = B.prompt_logs(spark, d)
     req = pl.where(F.col("request_id") % 10 != 3).select("request_id", "timestamp", "prompt")

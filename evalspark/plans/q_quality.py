@@ -118,6 +118,22 @@ def cl10(spark, d):
                     F.element_at("m", "k").alias("k"))
 
 
+@query("cl10_redact_nested", sql="""
+SELECT event_id, '[REDACTED]' AS header_token, event_type AS header_kind, '[REDACTED]' AS first_secret, user_id AS first_user,
+  CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE props END AS body FROM events""")
+def cl10_nested(spark, d):
+    """A nested request record of each event: struct, array of structs and map."""
+    e = table(spark, d, "events")
+    record = e.select(
+        "event_id", F.struct(F.col("props").alias("Token"), F.col("event_type").alias("kind")).alias("header"),
+        F.array(F.struct(F.col("value").alias("secret"), F.col("user_id").alias("user"))).alias("parts"),
+        F.create_map(F.when(F.col("event_id") % 2 == 0, "Cookie").otherwise("plain"), F.col("props")).alias("body"))
+    r = Q.redact_record(record)
+    return r.select("event_id", F.col("header.Token").alias("header_token"), F.col("header.kind").alias("header_kind"),
+                    F.element_at("parts", 1)["secret"].alias("first_secret"), F.element_at("parts", 1)["user"].alias("first_user"),
+                    F.element_at(F.map_values("body"), 1).alias("body"))
+
+
 def _orders_cols_sql():
     return [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
             ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]

@@ -267,17 +267,40 @@ SELECT run_id, metric, round(mean_a, 6) AS value_run, round(mean_b, 6) AS value_
   round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 6) AS df
 FROM j""")
 def ev17(spark, d):
+    return _compared(spark, d).select("run_id", "metric", *[r6(c, c) for c in ("value_run", "value_baseline", "difference")],
+                                      "better", r6("t_stat", "t_stat"), r6("df", "df"))
+
+
+@query("ev17_significance")
+def ev17_significance(spark, d):
+    """Two-sided Welch p-values and their flag at 5 % (no SQL: DuckDB has no Student distribution)."""
+    from ..operators.history import t_two_sided_p
+    c = _compared(spark, d).withColumn("p", t_two_sided_p(F.col("t_stat"), F.col("df")))
+    return c.select("run_id", "metric", r6("p", "p_value"), (F.col("p") < 0.05).alias("significant"))
+
+
+@query("ev17_best_run", uses=ER, sql="""
+SELECT metric, arg_max(run_id, struct_pack(a := mean, b := -run_id)) AS best_run, max(mean) AS best_mean
+FROM (SELECT run_id, metric, round(avg(score), 6) AS mean FROM eval_results GROUP BY run_id, metric) t GROUP BY metric""")
+def ev17_best(spark, d):
+    """The run with the highest mean of each metric, the smaller id first among equals."""
+    m = _facts(spark, d).groupBy("run_id", "metric").agg(F.round(F.avg("score"), 6).alias("mean"))
+    return m.groupBy("metric").agg(F.max_by("run_id", F.struct(F.col("mean"), -F.col("run_id"))).alias("best_run"), F.max("mean").alias("best_mean"))
+
+
+def _compared(spark, d):
+    """Every run against the run with the smallest id, by metric."""
     facts = _facts(spark, d)
     m = facts.groupBy("run_id", "metric").agg(F.avg("score").alias("mean"), F.var_samp("score").alias("var"),
                                              F.count("score").alias("n"))
-    base_id = facts.agg(F.min("run_id").alias("_b"))
-    b = m.join(base_id, m["run_id"] == base_id["_b"]).select(
-        "metric", F.col("mean").alias("mean_b"), F.col("var").alias("vb"), F.col("n").alias("nb"), "_b")
+    base = facts.agg(F.min("run_id")).scalar()
+    b = m.where(F.col("run_id") == base).select("metric", F.col("mean").alias("mean_b"), F.col("var").alias("vb"), F.col("n").alias("nb"),
+                                                F.col("run_id").alias("_b"))
     j = m.join(b, "metric").where(F.col("run_id") != F.col("_b"))
     t, df = R.welch(F.col("mean"), F.col("var"), F.col("n"), F.col("mean_b"), F.col("vb"), F.col("nb"))
     better = F.when(F.col("mean") > F.col("mean_b"), "run").when(F.col("mean") < F.col("mean_b"), "baseline").otherwise("tie")
-    return j.select("run_id", "metric", r6("mean", "value_run"), r6("mean_b", "value_baseline"),
-                    r6(F.col("mean") - F.col("mean_b"), "difference"), better.alias("better"), r6(t, "t_stat"), r6(df, "df"))
+    return j.select("run_id", "metric", F.col("mean").alias("value_run"), F.col("mean_b").alias("value_baseline"),
+                    (F.col("mean") - F.col("mean_b")).alias("difference"), better.alias("better"), t.alias("t_stat"), df.alias("df"))
 
 
 @query("ev18_result_summary", uses=ER, sql="""

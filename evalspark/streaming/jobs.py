@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.logs import LEVELS, severity_rank
+from ..operators.logs import LEVELS, admissions, severity_rank
 from ..session import scratch_path
 
 
@@ -114,26 +114,18 @@ def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 # ------------------------------------------------------------------ ST5 limiter
 def _limiter(limit: int, window_us: int):
     def fn(key, pdfs, state):
-        acc = list(state.get[0]) if state.exists else []
-        out = []
-        frames = [p for p in pdfs]
-        if frames:
-            pdf = pd.concat(frames).sort_values(["_t", "event_id"])
-            for eid, t in zip(pdf["event_id"].tolist(), pdf["_t"].tolist()):
-                acc = [a for a in acc if a > t - window_us]
-                ok = len(acc) < limit
-                if ok:
-                    acc.append(t)
-                out.append((key[0], eid, ok))
-        state.update((acc,))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
+        frames = list(pdfs)
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["_t", "event_id"])
+        ok, kept = admissions(pdf["_t"].tolist(), limit, window_us, state.get[0] if state.exists else None)
+        state.update((kept,))
+        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"].to_numpy(), "allowed": ok})
     return fn
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """ST5: per-client sliding-window limiter with state = accepted timestamps still inside the
-    window (at most ``limit`` values per client)."""
+    """ST5: per-client sliding-window limiter with state = the last ``limit`` admitted timestamps."""
     src = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))  # integer µs
     return src.groupBy("user_id").applyInPandasWithState(
         _limiter(limit, int(round(window_s * 1e6))), "user_id long, event_id long, allowed boolean", "acc array<long>",
