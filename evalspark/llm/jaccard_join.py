@@ -31,8 +31,7 @@ from evalspark.llm.common import text_rows, written
 from evalspark.llm.components import components
 from evalspark.llm.words import U, Words, mix, slices
 
-BIN_BITS = 7
-TOKEN_BYTES = 7  # with the bin's number, 63 of a hash's 64 bits or more
+TOKEN_BYTES = 6  # of a hash; the bin's number gives its top bits too
 SIGNATURE_WORDS = 32  # 2,048 bits
 BLOCK = 1024  # sets compared at once
 
@@ -64,7 +63,13 @@ def _unpack(raw: bytes) -> np.ndarray:
     return full.reshape(-1).view("<u8")
 
 
-def _chunk_rows(k: int):
+def bin_bits(partitions: int) -> int:
+    """Bins for the counting step: a power of two that follows the session's shuffle partitions, so that
+    a bin is what one task holds at any size of the input."""
+    return min(16, max(6, (partitions - 1).bit_length()))
+
+
+def _chunk_rows(k: int, bits: int):
     """Of each slice of texts one row per bin: ids, set sizes (once per text, else 0), counts, hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +77,7 @@ def _chunk_rows(k: int):
                 ids = batch.column("doc_id").slice(a, b - a).to_numpy(zero_copy_only=False)
                 doc, key = _shingles(w, k)
                 size = np.bincount(doc, minlength=b - a)
-                group = (key >> U(64 - BIN_BITS)).astype(np.int64)
+                group = (key >> U(64 - bits)).astype(np.int64)
                 # A text's size travels with its first shingle; a text without any goes to bin 0.
                 bare = np.flatnonzero(size == 0)
                 order = np.argsort(group, kind="stable")
@@ -85,10 +90,10 @@ def _chunk_rows(k: int):
                 told = np.zeros(len(at), np.int64)
                 first = np.unique(run_doc, return_index=True)[1]
                 told[first] = size[run_doc[first]]
-                edges = np.searchsorted(run_bin, np.arange((1 << BIN_BITS) + 1))
+                edges = np.searchsorted(run_bin, np.arange((1 << bits) + 1))
                 places = np.append(at, len(doc))
                 out: list[tuple] = []
-                for g in range(1 << BIN_BITS):
+                for g in range(1 << bits):
                     i, j = int(edges[g]), int(edges[g + 1])
                     extra = bare if g == 0 else bare[:0]
                     if i == j and not len(extra):
@@ -124,35 +129,54 @@ def _runs(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int,
         yield value, held
 
 
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, size, keys, classes): of each text in a bin, the hashes that other texts hold too."""
-    for g, parts in _runs("bin", batches):
-        joined = {n: b"".join(x for p in parts for x in p.column(n).to_pylist()) for n in ("ids", "sizes", "counts", "keys")}
-        ids, sizes, counts = (np.frombuffer(joined[n], t) for n, t in (("ids", "<i8"), ("sizes", "<i4"), ("counts", "<i4")))
-        keys = _unpack(joined["keys"])
-        holder = np.repeat(np.arange(len(ids)), counts)
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-        at = np.flatnonzero(new)
-        times = np.diff(np.append(at, len(keys)))
-        frequency = np.empty(len(keys), np.int64)
-        frequency[order] = np.repeat(times, times)
-        shared = np.flatnonzero(frequency > 1)
-        holder, keys = holder[shared], keys[shared]
-        classes = np.minimum(255, np.floor(8 * np.log2(frequency[shared]))).astype(np.uint8)
-        many = np.bincount(holder, minlength=len(ids))
-        send = np.flatnonzero((many > 0) | (sizes > 0) | (counts == 0))
-        ends = np.cumsum(many)
-        packed = (keys ^ (U(int(g)) << U(57))).astype("<u8") if len(keys) else keys
-        for i in range(0, len(send), 4096):
-            some = send[i:i + 4096].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(sizes[some].astype(np.int64)),
-                 pa.array([packed[ends[x] - many[x]:ends[x]].tobytes() for x in some], pa.binary()),
-                 pa.array([classes[ends[x] - many[x]:ends[x]].tobytes() for x in some], pa.binary())],
-                names=["doc_id", "n", "keys", "classes"])
+def _shared_rows(bits: int):
+    """(doc_id, part): of each text in a bin, the hashes that other texts hold too; a part is the set's
+    size (or 0, as it is told once), then the hashes, then their frequency classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, parts in _runs("bin", batches):
+            yield from _shared_in_bin(int(g), parts, bits)
+    return run
+
+
+def _shared_in_bin(g: int, parts: list[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    joined = {n: b"".join(x for p in parts for x in p.column(n).to_pylist()) for n in ("ids", "sizes", "counts", "keys")}
+    ids, sizes, counts = (np.frombuffer(joined[n], t) for n, t in (("ids", "<i8"), ("sizes", "<i4"), ("counts", "<i4")))
+    keys = _unpack(joined["keys"])
+    holder = np.repeat(np.arange(len(ids)), counts)
+    order = np.argsort(keys, kind="stable")
+    sorted_keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(keys)))
+    frequency = np.empty(len(keys), np.int64)
+    frequency[order] = np.repeat(times, times)
+    shared = np.flatnonzero(frequency > 1)
+    holder, keys = holder[shared], keys[shared]
+    classes = np.minimum(255, np.floor(8 * np.log2(frequency[shared]))).astype(np.uint8)
+    many = np.bincount(holder, minlength=len(ids))
+    send = np.flatnonzero((many > 0) | (sizes > 0) | (counts == 0))
+    ends = np.cumsum(many)
+    packed, told = _pack(keys), sizes.astype("<u4")
+    for i in range(0, len(send), 4096):
+        some = send[i:i + 4096].tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[some]),
+             pa.array([bytes((g & 255, g >> 8)) + told[x].tobytes()
+                       + packed[TOKEN_BYTES * (ends[x] - many[x]):TOKEN_BYTES * ends[x]].tobytes()
+                       + classes[ends[x] - many[x]:ends[x]].tobytes() for x in some], pa.binary())],
+            names=["doc_id", "part"])
+
+
+def _batched(items: Iterator, size: int) -> Iterator[list]:
+    held = []
+    for x in items:
+        held.append(x)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _enough(overlap, n, m, percent: int):
@@ -160,15 +184,27 @@ def _enough(overlap, n, m, percent: int):
     return (100 + percent) * overlap >= percent * (n + m)
 
 
-def _set_rows(percent: int):
+def _whole(parts: list[bytes], bits: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Size, hashes and frequency classes of a text's parts."""
+    n, keys, classes = 0, [], []
+    for part in parts:
+        m = (len(part) - 6) // (TOKEN_BYTES + 1)
+        n = max(n, int.from_bytes(part[2:6], "little"))
+        cut = 6 + TOKEN_BYTES * m
+        top = U(part[0] | part[1] << 8) << U(64 - bits)
+        keys.append(_unpack(part[6:cut]) & ~(U((1 << bits) - 1) << U(64 - bits)) | top)
+        classes.append(np.frombuffer(part[cut:], np.uint8))
+    return n, np.concatenate(keys).astype("<u8"), np.concatenate(classes)
+
+
+def _set_rows(percent: int, bits: int):
     """Texts with enough shared shingles as sets: hashes sorted by frequency class, then hash, and a
     fingerprint that equal whole sets have in common."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for held in _batched(_runs("doc_id", batches), 1000):
             out: list[tuple] = []
-            for doc, n, keys, classes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "keys", "classes"))):
-                key = np.frombuffer(b"".join(keys), "<u8")
-                rare = np.frombuffer(b"".join(classes), np.uint8)
+            for doc, parts in held:
+                n, key, rare = _whole([x for p in parts for x in p.column("part").to_pylist()], bits)
                 key, at = np.unique(key, return_index=True)
                 if n and 100 * len(key) >= percent * n:
                     order = np.lexsort((key, rare[at]))
@@ -184,20 +220,37 @@ def _set_rows(percent: int):
 
 
 def _stars(block: list[tuple[int, int, np.ndarray]], percent: int, pivots: int) -> list[tuple[int, int]]:
-    """Verified links between up to ``pivots`` sets of the block and the others."""
+    """Verified links of up to ``pivots`` sets with all others of the block; a pivot is a set that no
+    earlier one is linked with.  Stars that share a set are one component: of all links found, a
+    spanning forest is returned, less than one link per set."""
     links: list[tuple[int, int]] = []
-    left = block
+    up = list(range(len(block)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    if len(block) < 2:
+        return links
+    sizes = np.asarray([n for _, n, _ in block])
+    lengths = np.asarray([len(k) for _, _, k in block])
+    every, starts = np.concatenate([k for _, _, k in block]), np.cumsum(lengths) - lengths
+    free = np.ones(len(block), bool)
     for _ in range(pivots):
-        if len(left) < 2:
+        if not free.any():
             break
-        (a, n, keys), rest = left[0], left[1:]
-        sizes = np.asarray([m for _, m, _ in rest])
-        lengths = np.asarray([len(k) for _, _, k in rest])
-        inside = np.isin(np.concatenate([k for _, _, k in rest]), keys)
-        overlap = np.add.reduceat(inside.astype(np.int64), np.cumsum(lengths) - lengths)
-        hit = _enough(overlap, n, sizes, percent)
-        links += [(a, rest[i][0]) for i in np.flatnonzero(hit).tolist()]
-        left = [rest[i] for i in np.flatnonzero(~hit).tolist()]
+        p = int(np.argmax(free))
+        free[p] = False
+        inside = np.isin(every, block[p][2])
+        hit = _enough(np.add.reduceat(inside.astype(np.int64), starts), sizes[p], sizes, percent)
+        hit[p] = False
+        for i in np.flatnonzero(hit).tolist():
+            if top(i) != top(p):
+                up[top(i)] = top(p)
+                links.append((block[p][0], block[i][0]))
+        free[hit] = False
     return links
 
 
@@ -337,13 +390,11 @@ def _meeting_rows(hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, n, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "keys"))):
+            for doc, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keys"))):
                 key = np.frombuffer(keys, "<u8").astype(U)
-                for h in range(hashes):
-                    out.append((int(mix(key + U(h * 0x51ED27)).min().view(np.int64)), doc, n, keys))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["meet", "doc_id", "n", "keys"])
+                out += [(int(mix(key + U(h * 0x51ED27)).min().view(np.int64)), doc) for h in range(hashes)]
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["meet", "doc_id"])
     return run
 
 
@@ -379,13 +430,14 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
     empty and blank texts have an empty set and no link.  Rows without an id are left out; rows that
     share an id are one document.  An empty table gives an empty result; other columns are ignored.
     """
-    bins = 1 << BIN_BITS
+    bits = bin_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = text_rows(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    chunks = rows.mapInArrow(_chunk_rows(shingle), "bin int, ids binary, sizes binary, counts binary, keys binary")
-    shared = (chunks.repartition(bins, "bin").sortWithinPartitions("bin")
-              .mapInArrow(_shared_rows, "doc_id long, n long, keys binary, classes binary"))
-    by_doc = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list("keys").alias("keys"), F.collect_list("classes").alias("classes"))
-    sized = written(by_doc.mapInArrow(_set_rows(percent), "doc_id long, n long, mark binary, keys binary"), "shingle-sets")
+    chunks = rows.mapInArrow(_chunk_rows(shingle, bits), "bin int, ids binary, sizes binary, counts binary, keys binary")
+    shared = (chunks.repartition(1 << bits, "bin").sortWithinPartitions("bin")
+              .mapInArrow(_shared_rows(bits), "doc_id long, part binary"))
+    # A document's parts are bounded by its own length.
+    by_doc = shared.repartition("doc_id").sortWithinPartitions("doc_id")
+    sized = written(by_doc.mapInArrow(_set_rows(percent, bits), "doc_id long, n long, mark binary, keys binary"), "shingle-sets")
 
     live = sized.where(F.col("mark").isNotNull())
     # Equal sets are one: the smallest id stands for them.
@@ -394,11 +446,12 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
     members = live.select("doc_id", "mark").join(sets.select("mark", F.col("doc_id").alias("stands")), "mark").select("doc_id", "stands")
 
     # Contraction: a frequent meeting is cut into blocks by a hash of the id.
-    met = sets.mapInArrow(_meeting_rows(meetings), "meet long, doc_id long, n long, keys binary")
+    met = sets.mapInArrow(_meeting_rows(meetings), "meet long, doc_id long")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     crowd = met.groupBy("meet").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    spread = (met.join(crowd, "meet").withColumn("meet", F.xxhash64("meet", F.pmod(salt, F.ceil(F.col("crowd") / BLOCK))))
-              .select("meet", "doc_id", "n", "keys").repartition("meet").sortWithinPartitions("meet", "doc_id"))
+    places = (met.join(crowd, "meet").select("doc_id", F.xxhash64("meet", F.pmod(salt, F.ceil(F.col("crowd") / BLOCK))).alias("meet")))
+    spread = (sets.select("doc_id", "n", "keys").join(places, "doc_id").select("meet", "doc_id", "n", "keys")
+              .repartition("meet").sortWithinPartitions("meet", "doc_id"))
     links = spread.mapInArrow(_star_rows(percent, pivots), "a long, b long").checkpoint()
     labels = components(links)
 
