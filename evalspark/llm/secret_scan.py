@@ -84,13 +84,15 @@ def randomness(token: Column) -> Column:
     def places(z: Column) -> Column:
         at = F.transform(F.regexp_extract_all(z["body"], F.lit("."), F.lit(0)),
                          lambda c: (F.instr(z["alphabet"], c) - 1).cast("double"))
-        return _once(F.struct(at.alias("x"), F.length(z["alphabet"]).cast("double").alias("k")), tests)
+        return _once(F.struct(at.alias("x"), F.length(z["alphabet"]).cast("double").alias("k")), lambda s: _once(
+            F.struct(s["x"].alias("x"), s["k"].alias("k"), (total(s["x"]) / F.size(s["x"])).alias("mean")), tests))
+
+    def total(column: Column) -> Column:
+        return F.aggregate(column, F.lit(0.0), lambda a, b: a + b)
 
     def tests(s: Column) -> Column:
-        x, k = s["x"], s["k"]
+        x, k, mean = s["x"], s["k"], s["mean"]
         n = F.size(x).cast("double")
-        add = lambda a, b: a + b
-        total = lambda column: F.aggregate(column, F.lit(0.0), add)
         squares = total(F.transform(F.array_distinct(x), lambda v: _once(
             F.size(F.filter(x, lambda y: y == v)).cast("double"), lambda c: c * c)))
         chi = k / n * squares - n
@@ -101,7 +103,6 @@ def randomness(token: Column) -> Column:
         pairs = 2 * high * (n - high)
         spread = F.sqrt(F.greatest(pairs * (pairs - n) / (n * n * (n - 1)), F.lit(1e-9)))
         p_runs = 2 * _tail(F.abs((runs - pairs / n - 1) / spread))
-        mean = total(x) / n
         variance = total(F.transform(x, lambda v: (v - mean) * (v - mean)))
         lagged = total(F.transform(neighbours, lambda q: (q["a"] - mean) * (q["b"] - mean)))
         rho = lagged / F.greatest(variance, F.lit(1e-9))
