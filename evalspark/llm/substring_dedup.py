@@ -97,16 +97,23 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["doc_id", "size", "pressed"])
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
+def _text_slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, Words]]:
+    """``slices`` of the compressed texts; only one slice is unpacked at a time."""
     codec = pa.Codec("zstd")
-    return pa.array([codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(
-        batch.column("pressed").to_pylist(), batch.column("size").to_pylist())], pa.large_binary()).cast(pa.large_string())
+    sizes = np.cumsum(np.concatenate([[0], batch.column("size").to_numpy(zero_copy_only=False)]))
+    pressed, a = batch.column("pressed"), 0
+    while a < len(pressed):
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + most_bytes, "right")) - 1)
+        raw = b"".join(codec.decompress(x.as_py(), int(sizes[i + 1] - sizes[i]), asbytes=True)
+                       for i, x in enumerate(pressed.slice(a, b - a), a) if sizes[i + 1] > sizes[i])
+        yield a, b, Words(np.frombuffer(raw, np.uint8), sizes[a:b + 1] - sizes[a])
+        a = b
 
 
 def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in slices(_texts(batch)):
+            for a, b, w in _text_slices(batch):
                 hashes = w.hashes(1)
                 at = _candidates(w, _singles(batch, a, b, w), length)
                 at = at[_known(batch, a, b)[w.doc[at]]]
@@ -121,7 +128,7 @@ def _result_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept_texts = [], [], []
-            for a, b, w in slices(_texts(batch)):
+            for a, b, w in _text_slices(batch):
                 hashes = w.hashes(1)
                 at = _candidates(w, _singles(batch, a, b, w), length)
                 at = at[_known(batch, a, b)[w.doc[at]]]
