@@ -474,9 +474,12 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
              .mapInArrow(_pair_rows(percent), "a long, b long").distinct())
     more = verify(pairs, sets, percent).checkpoint()
 
-    joined = components(links.union(more))
-    final = members.join(joined.withColumnRenamed("id", "stands"), "stands", "left").select(
-        "doc_id", F.coalesce("component", "stands").alias("component_id"))
+    # The later links join components, not sets: one edge per pair of components.
+    of = lambda end: labelled(more.select(F.col(end).alias("doc_id"), "a", "b")).select("a", "b", F.col("component").alias(f"c{end}"))
+    between = of("a").join(of("b"), ["a", "b"]).select("ca", "cb").distinct().checkpoint()
+    outer = components(between, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("outer"))
+    final = (labelled(members.withColumnsRenamed({"doc_id": "member", "stands": "doc_id"})).join(outer, "component", "left")
+             .select(F.col("member").alias("doc_id"), F.coalesce("outer", "component").alias("component_id")))
     return sized.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
