@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -142,6 +143,29 @@ def test_toxicity(spark, clash):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_toxicity_reads_obfuscation_of_any_length_and_shape(spark):
+    rows, labels = toxic_corpus()
+    passage = " ".join("the table and the moon and".replace(" ", "") * 6)  # 132 letters
+    odd = [(6001, f"{passage} m o r o n {passage}", 1), (6002, "t h e c l o w n a n d t h e t r a s h", 1), (6003, "iiddiioott and mmoorroonn", 1),
+           (6004, "the i" + "d" * 70 + "iot and m" + "o" * 70 + "ron", 1), (6005, "t.h.e.m.o.r.o.n.a.n.d.t.h.e.i.d.i.o.t", 1), (6006, passage, 0), (6007, "a b " * 20_000, 0)]
+    docs = spark.createDataFrame(rows + [x[:2] for x in odd], DOC)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id > 6000").collect()}
+    assert got == {i: y for i, _, y in odd}
+
+
+def test_cuts_of_spaced_letters():
+    grams = Counter(x[i:i + 3] for w, n in (("the", 9), ("moron", 2), ("and", 7), ("a", 5), ("tooth", 1)) for x in [f"^^{w}$"] * n for i in range(len(x) - 2))
+    model = toxicity.CharModel(grams)
+    rnd = random.Random(4)
+    for _ in range(40):
+        letters = "".join(rnd.choice("themornad") for _ in range(rnd.randint(1, 9)))
+        cuts = []
+        for bits in range(2 ** (len(letters) - 1)):
+            words = "".join(c + " " * (bits >> i & 1) for i, c in enumerate(letters)).split()
+            cuts.append((sum(model.cost(f"^^{w}$"[i:i + 3]) for w in words for i in range(len(w) + 1)), words))
+        assert toxicity.parts(letters, model, 2.5) == {w for cost, words in cuts if cost <= min(cuts)[0] + 2.5 for w in words}
+
+
 def test_toxicity_uses_no_held_out_label(spark):
     rows, labels = toxic_corpus()
     held = [(i, 1 - y) if zlib.crc32(str(i).encode()) % 4 == 2 else (i, y) for i, y in labels]
