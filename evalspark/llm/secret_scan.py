@@ -1,7 +1,8 @@
 """Secret scanning: three fixed patterns, and a battery of randomness tests over long tokens.
 
-Every run of 20 or more characters of the base64 family is a candidate.  Its encoding is inferred
-(decimal, hex, base32, alphanumeric, base64) and its characters, as places in that alphabet, are
+Every run of 20 or more characters of the base64 family is a candidate.  Its encoding is the
+tightest that its characters without separators fit (decimal, hex, base32 and base36 of either case,
+alphanumeric, base64) and its characters, as places in that alphabet, are
 tested for what random data would show: chi-squared uniformity, the number of runs about the middle,
 and serial correlation.  A candidate that random data would rarely give (Bonferroni over the three
 tests) is no secret.  Against the other explanation, ordinary words, it has a p-value: the chance of so
@@ -29,12 +30,29 @@ ALPHABETS = {
     "decimal": ("^[0-9]+$", "0123456789"),
     "hex": ("^[0-9a-f]+$", "0123456789abcdef"),
     "HEX": ("^[0-9A-F]+$", "0123456789ABCDEF"),
-    "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base32": ("^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    "BASE32": ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "base36": ("^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    "BASE36": ("^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     "alnum": ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     "base64": (None, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 
 
+SEPARATORS = "-_="  # no data of the tightest encoding, nor evidence against words
+
+
+def body_of(token: Column) -> Column:
+    return F.translate(token, SEPARATORS, "")
+
+
+def _unlike_words(token: Column) -> Column:
+    """Characters other than lower-case letters; between separators a whole number is a word too (dates in names)."""
+    numbers = F.regexp_replace(token, "(?<![A-Za-z0-9+/])[0-9]+(?![A-Za-z0-9+/])", "")
+    rest = F.when(token.rlike("[A-Za-z0-9+/][-_=]+[A-Za-z0-9+/]"), numbers).otherwise(token)
+    return F.length(F.translate(rest, "abcdefghijklmnopqrstuvwxyz" + SEPARATORS, ""))
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -75,17 +93,18 @@ def _tail(z: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """The battery's p-value: small if random data in the token's encoding would rarely look like it."""
+    body = body_of(token)
     alphabet = F.lit(ALPHABETS["base64"][1])
     for name, (pattern, letters) in reversed(list(ALPHABETS.items())):
         if pattern:
-            alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
-    state = F.struct(F.regexp_replace(F.translate(token, "-_", "+/"), "=", "").alias("body"), alphabet.alias("alphabet"))
+            alphabet = F.when(body.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    state = F.struct(body.alias("body"), alphabet.alias("alphabet"))
 
     def places(z: Column) -> Column:
         at = F.transform(F.regexp_extract_all(z["body"], F.lit("."), F.lit(0)),
                          lambda c: (F.instr(z["alphabet"], c) - 1).cast("double"))
         return _once(F.struct(at.alias("x"), F.length(z["alphabet"]).cast("double").alias("k")), lambda s: _once(
-            F.struct(s["x"].alias("x"), s["k"].alias("k"), (total(s["x"]) / F.size(s["x"])).alias("mean")), tests))
+            F.struct(s["x"].alias("x"), s["k"].alias("k"), (total(s["x"]) / F.greatest(F.size(s["x"]), F.lit(1))).alias("mean")), tests))
 
     def total(column: Column) -> Column:
         return F.aggregate(column, F.lit(0.0), lambda a, b: a + b)
@@ -125,8 +144,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans = spans.withColumn("_access", match_spans(text, ACCESS)).withColumn("_hex", match_spans(text, HEX))
     base = F.array_sort(F.concat(tagged(F.col("_assign"), 0), tagged(F.col("_access"), 1), tagged(F.col("_hex"), 2)))
     candidates = F.transform(match_spans(text, CANDIDATE), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), F.length(s["match"]).alias("n"),
-        F.length(F.translate(s["match"], "abcdefghijklmnopqrstuvwxyz", "")).alias("other"),
+        s["start"].alias("start"), s["end"].alias("end"), F.greatest(F.length(body_of(s["match"])), F.lit(1)).alias("n"),
+        _unlike_words(s["match"]).alias("other"),
         randomness(s["match"]).alias("p_random")))
     return spans.withColumn("_base", base).withColumn("_found", candidates).drop("_assign", "_access", "_hex")
 

@@ -115,6 +115,33 @@ def test_battery_rejects_words_not_noise(spark):
     assert share["noise"] > 0.95 and share["word"] < 0.02
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ENCODINGS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "base32": LOWER + "234567", "BASE32": LOWER.upper() + "234567", "base36": LOWER + DIGITS,
+             "BASE36": LOWER.upper() + DIGITS, "base62": LOWER + LOWER.upper() + DIGITS, "base64": LOWER + LOWER.upper() + DIGITS + "+/",
+             "base64url": LOWER + LOWER.upper() + DIGITS + "-_"}
+
+
+def test_battery_passes_every_encoding(spark):
+    rnd = random.Random(2)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    noise = [(f"{k} {n}", draw(letters, n)) for k, letters in ENCODINGS.items() for n in (20, 32, 40, 56, 64) for _ in range(100)]
+    noise += [("dashed hex", "-".join(draw(ENCODINGS["hex"], n) for n in (8, 4, 4, 4, 12))) for _ in range(100)]
+    p = spark.createDataFrame(noise, "kind string, t string").select("kind", secret_scan.randomness(F.col("t")).alias("p"))
+    share = {r.kind: r.s for r in p.groupBy("kind").agg(F.avg((F.col("p") >= 0.01).cast("int")).alias("s")).collect()}
+    assert len(share) == 46 and min(share.values()) > 0.9
+
+
+def test_dashed_and_single_case_secrets(spark):
+    rnd = random.Random(5)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    hidden = ["-".join(draw(ENCODINGS["hex"], n) for n in (8, 4, 4, 4, 12)) for _ in range(40)] + [draw(ENCODINGS[k], 64) for k in ("base36", "BASE36", "BASE32") for _ in range(40)]
+    plain = ["report-2024-01-15-final-draft", "the_quick_brown_fox_jumps_over", "=" * 40, "-" * 40, "_" * 40, *["ordinarywordsoflowercaseletters"] * 20] * 20
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(hidden + plain)], DOC)
+    got = {r.doc_id: "random:" in r.spans for r in secret_scan.find_secrets(docs).collect()}
+    assert sum(got[i] for i in range(len(hidden))) > 0.9 * len(hidden)
+    assert not any(got[i] for i in range(len(hidden), len(got)))
+
+
 def toxic_corpus():
     rnd = random.Random(7)
     words = ["the", "and", "tion", "ofher", "inat", "thon", "stre", "erea", "lythe", "onhe", "table", "moon"]
