@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import exact_dedup, jaccard_join, packing, piece_codec, secret_scan, sharding, substring_dedup, token_counts, topk, toxicity
+from evalspark.llm import (embedding_dedup, exact_dedup, jaccard_join, packing, periodic_runs, piece_codec, secret_scan, sharding, substring_dedup,
+                           token_counts, topk, toxicity, whitening)
 from evalspark.llm.common import read_table
 
 
@@ -70,8 +71,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 and more among all vectors, and their components."""
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document (a tenth of them made periodic), as digests."""
+    docs = periodic_runs.with_planted_periods(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(docs, least=12))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16, scale=64.0, shift=1_000_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op5_toxicity, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_secret_scan, op10_packing)
+        op1_substring_dedup, op2_sharding, op3_jaccard_join, op4_sentencepiece, op5_toxicity, op6_exact_dedup, op7_topk_search, op8_token_counts, op9_secret_scan, op10_packing,
+        op11_embedding_dedup, op12_periodic_runs, op13_embedding_whitening)
 }
 ORACLES: dict[str, str] = {"op7_topk_search": topk.ORACLE}
