@@ -14,13 +14,17 @@
   shared checkpoint folder so lineage stays short and a lost executor
   recomputes one round only.
 * The 2-D Pareto front needs one grouped max per x and a distributed
-  running max — no dominance self-join.
+  running max — no dominance self-join; more objectives go through a grid
+  and local fronts (``skyline``).
+* Means over all pairs of a group are summed in tiles (block i, block j) of
+  the group's distinct token sets; a tile returns one partial sum.
 """
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +33,7 @@ from pyspark.sql import types as T
 from ..functions.tokens import set_jaccard, split_ws, tokens
 from ..session import ensure_checkpoint_dir
 from .ordinal import with_prefix_max
+from .skyline import skyline
 
 
 def _c(c) -> Column:
@@ -176,27 +181,71 @@ def combined_similarity(a, b) -> Column:
 
 
 # ------------------------------------------------------------------ SI5 / SI14 – SI18
-def group_pair_similarity(df: DataFrame, group: str, item: str, text: str, both_empty: float = 0.0) -> DataFrame:
+PAIR_BLOCK = 256  # distinct token sets of a block; a tile compares two blocks
+
+
+def _jaccard_sum(x: list, mx: np.ndarray, y: list, my: np.ndarray, both_empty: float, same: bool) -> float:
+    """Σ m_a · m_b · Jaccard(a, b) over the sets of x and y (a before b when they are the same list)."""
+    ids: dict = {}
+    flat = [[ids.setdefault(t, len(ids)) for t in s] for s in (*x, *y)]
+    sizes = np.array([len(s) for s in flat], float)
+    rows = np.repeat(np.arange(len(flat)), sizes.astype(int))
+    cols = np.array([t for s in flat for t in s], np.int64)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    inter = np.zeros((len(x), len(y)))
+    for a in range(0, len(ids), 8192):  # bounded slices of the vocabulary
+        lo, hi = np.searchsorted(cols, [a, a + 8192])
+        held = np.zeros((len(flat), min(8192, len(ids) - a)), np.float32)
+        held[rows[lo:hi], cols[lo:hi] - a] = 1
+        inter += held[:len(x)] @ held[len(x):].T
+    union = sizes[:len(x), None] + sizes[None, len(x):] - inter
+    jac = np.where(union > 0, inter / np.maximum(union, 1), both_empty)
+    total = jac * mx[:, None] * my[None, :]
+    return float(np.triu(total, 1).sum() if same else total.sum())
+
+
+def _pair_tiles(group: str, both_empty: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, part in pdf.groupby(group, sort=False, dropna=False):
+            toks, m, side = [list(t) for t in part["toks"]], part["m"].to_numpy(float), part["_side"].to_numpy()
+            first = np.flatnonzero(side < 2)
+            second = first if (side == 0).all() else np.flatnonzero(side == 2)
+            total = _jaccard_sum([toks[i] for i in first], m[first], [toks[i] for i in second], m[second], both_empty, bool((side == 0).all()))
+            out.append((part[group].iloc[0], total))
+        return pd.DataFrame(out, columns=[group, "_sum_x"])
+    return run
+
+
+def group_pair_similarity(df: DataFrame, group: str, item: str, text: str, both_empty: float) -> DataFrame:
     """Per group: number of items, Σ of pairwise token Jaccard over i < j, and the pair count.
 
     Identical token sets are collapsed first with their multiplicity m: they contribute
-    C(m, 2) pairs of similarity 1 (``both_empty`` for empty sets) without being paired, and
-    distinct sets are paired once with weight m_a·m_b."""
+    C(m, 2) pairs of similarity 1 (``both_empty`` for empty sets) without being paired.  Distinct sets
+    are dealt into blocks; a tile holds two blocks of a group (or many small groups whole), counts
+    common tokens in arrays, and returns one partial sum per group: no pair is a row."""
     sets = df.select(group, item, F.array_distinct(tokens(text)).alias("toks"))
     canon = F.md5(F.array_join(F.array_sort("toks"), " "))
     d = sets.groupBy(group, canon.alias("_h")).agg(F.first("toks").alias("toks"), F.count("*").alias("m"))
     same = d.groupBy(group).agg(
-        F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("_pairs_same"),
         F.sum(F.col("m") * (F.col("m") - 1) / 2 * F.when(F.size("toks") == 0, F.lit(both_empty)).otherwise(F.lit(1.0))).alias("_sum_same"),
-        F.sum("m").alias("n_items"))
-    a = d.select(group, F.col("_h").alias("ha"), F.col("toks").alias("ta"), F.col("m").alias("ma"))
-    b = d.select(group, F.col("_h").alias("hb"), F.col("toks").alias("tb"), F.col("m").alias("mb"))
-    cross = (a.join(b, group).where(F.col("ha") < F.col("hb"))
-             .groupBy(group).agg(F.sum(F.col("ma") * F.col("mb") * set_jaccard(F.col("ta"), F.col("tb"), both_empty, 0.0)).alias("_sum_x"),
-                                 F.sum(F.col("ma") * F.col("mb")).alias("_pairs_x")))
-    j = same.join(cross, group, "left")
-    return j.select(group, "n_items",
-                    (F.col("_pairs_same") + F.coalesce("_pairs_x", F.lit(0))).alias("n_pairs"),
+        F.sum("m").alias("n_items"), F.count("*").alias("_sets"))
+    blocks = same.where(F.col("_sets") > 1).select(F.col(group).alias("_g"), F.ceil(F.col("_sets") / PAIR_BLOCK).cast("int").alias("_b"))
+    many = d.agg(F.greatest(F.ceil(F.count("*") / (8 * PAIR_BLOCK)), F.lit(1))).scalar()
+    dealt = d.join(blocks, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_x", F.pmod(F.xxhash64("_h"), F.col("_b")).cast("int"))
+    dealt = dealt.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    # Groups of one block share tiles; a larger group has tiles of its own.
+    tile = F.when(F.col("_b") == 1, F.pmod(F.xxhash64(group), many)).otherwise(F.xxhash64(group))
+    tiles = dealt.select(group, "toks", "m", (F.col("_b") > 1).alias("_large"), tile.alias("_tile"), F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"),
+                         F.when(F.col("_x") == F.col("_y"), 0).when(F.col("_x") < F.col("_y"), 1).otherwise(2).alias("_side"))
+    kind = df.schema[group].dataType
+    schema = T.StructType([T.StructField(group, kind), T.StructField("_sum_x", T.DoubleType())])
+    cross = (tiles.groupBy("_large", "_tile", "_i", "_j").applyInPandas(_pair_tiles(group, both_empty), schema)
+             .groupBy(F.col(group).alias("_g")).agg(F.sum("_sum_x").alias("_sum_x")))
+    j = same.join(cross, F.col(group).eqNullSafe(F.col("_g")), "left")
+    n = F.col("n_items")
+    return j.select(group, "n_items", (n * (n - 1) / 2).alias("n_pairs"),
                     (F.col("_sum_same") + F.coalesce("_sum_x", F.lit(0.0))).alias("sum_sim"))
 
 
@@ -241,8 +290,9 @@ def stability(df: DataFrame, group: str, item: str, text: str) -> DataFrame:
 
 def cross_fold_stability(df: DataFrame, group: str, fold: str, item: str, text: str) -> DataFrame:
     """SI18: consistency per (group, fold) → mean · (1 − sample variance) over folds; < 2 folds ⇒ 0."""
-    k = df.withColumn("_gf", F.struct(group, fold))
-    c = consistency(k, "_gf", item, text).select(F.col("_gf").getField(group).alias(group), "consistency")
+    k = df.withColumn("_gf", F.to_json(F.struct(group, fold)))
+    c = consistency(k, "_gf", item, text)
+    c = c.select(F.from_json("_gf", T.StructType([df.schema[group]]))[group].alias(group), "consistency")
     return c.groupBy(group).agg(
         F.when(F.count("*") < 2, F.lit(0.0)).otherwise(F.avg("consistency") * (1 - F.var_samp("consistency"))).alias("cross_fold_stability"),
         F.count("*").alias("n_folds"))
@@ -350,9 +400,12 @@ def best_n(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return df.orderBy(F.col(score).desc(), F.col(key)).limit(n)
 
 
-def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
-    """SI12: rows not dominated when maximising x and y (duplicates stay).  A point survives iff
-    y ≥ the max y at its own x and y > the max y over every larger x."""
+def pareto_front(df: DataFrame, x: str, y: str, *more: str) -> DataFrame:
+    """SI12: rows not dominated when maximising all objectives (duplicates stay).  With two, a point
+    survives iff y ≥ the max y at its own x and y > the max y over every larger x; three or more go
+    through :func:`skyline`."""
+    if more:
+        return skyline(df, [x, y, *more])
     per_x = df.groupBy(x).agg(F.max(y).alias("_my"))
     sfx = with_prefix_max(per_x, [F.col(x).desc()], "_my", "_above", exclusive=True)
     j = df.join(sfx.select(x, "_my", "_above"), x)
@@ -360,10 +413,11 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def multi_objective(df: DataFrame, key: str, objectives: dict[str, float], k: int = 10) -> DataFrame:
-    """SI13: weighted score, non-dominated filter (first two objectives), then the best k."""
+    """SI13: weighted score, non-dominated filter over all objectives, then the best k."""
     cols = list(objectives)
     ws = sum((F.col(c) * float(wt) for c, wt in objectives.items()), F.lit(0.0))
-    front = pareto_front(df.withColumn("weighted_score", ws), cols[0], cols[1])
+    scored = df.withColumn("weighted_score", ws)
+    front = skyline(scored, cols) if len(cols) < 2 else pareto_front(scored, *cols)
     return best_n(front, "weighted_score", key, k)
 
 
@@ -374,6 +428,28 @@ VARIANT_SUFFIXES = ["Provide a detailed explanation.", "Be concise and accurate.
                     "Focus on the key points."]
 
 
+# Clauses that the stable-prompt variants append.
+CONSISTENCY_CLAUSES = ["Please provide a consistent and reliable response.",
+                       "Ensure your answer follows the same format and style.",
+                       "Maintain consistency in your reasoning approach.",
+                       "Use a systematic method to approach this task."]
+ROBUSTNESS_CLAUSES = ["Consider edge cases and variations in your response.",
+                      "Provide a robust answer that works across different scenarios.",
+                      "Ensure your response is stable and reliable.",
+                      "Account for potential variations in the input."]
+
+
+def expand_clauses(df: DataFrame, key: str, text: str) -> DataFrame:
+    """SI25: the text with each consistency clause as a paragraph of its own, and with each robustness
+    clause after it: all clauses, not one drawn at random."""
+    t = F.col(text)
+    variants = ([F.struct(F.lit(f"consistency{i}").alias("kind"), F.concat(t, F.lit("\n\n" + c)).alias("variant"))
+                 for i, c in enumerate(CONSISTENCY_CLAUSES)]
+                + [F.struct(F.lit(f"robustness{i}").alias("kind"), F.concat(t, F.lit(" " + c)).alias("variant"))
+                   for i, c in enumerate(ROBUSTNESS_CLAUSES)])
+    return df.select(key, F.explode(F.array(*variants)).alias("v")).select(key, "v.kind", "v.variant")
+
+
 def expand_templates(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every prefix with the lower-cased text and every suffix after the text: an in-row explode of
     a literal array (no join)."""

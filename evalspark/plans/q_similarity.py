@@ -143,6 +143,45 @@ def si12(spark, d):
     return SIM.pareto_front(p, "p_size", "p_retailprice")
 
 
+_FIVE = ("quality_score", "diversity_score", "generation_time", "brevity", "spread")
+
+
+def _dominates(cols, q="q", p="p"):
+    return (" AND ".join(f"{q}.{c} >= {p}.{c}" for c in cols)) + " AND (" + " OR ".join(f"{q}.{c} > {p}.{c}" for c in cols) + ")"
+
+
+_FIVE_SQL = """v AS (SELECT id, quality_score, diversity_score, generation_time, 1.0 / (1 + length(content)) AS brevity,
+  CAST(id * 7919 % 211 AS DOUBLE) AS spread FROM variants)"""
+
+
+def _five(spark, d):
+    return B.variants(spark, d).select("id", "quality_score", "diversity_score", "generation_time", (1.0 / (1 + F.length("content"))).alias("brevity"),
+                                       (F.col("id") * 7919 % 211).cast("double").alias("spread"))
+
+
+@query("si12_pareto_front_3d", sql=f"""
+WITH o AS (SELECT p_partkey, p_size, p_retailprice, CAST(p_partkey * 31 % 97 AS DOUBLE) AS margin FROM part)
+SELECT * FROM o p WHERE NOT EXISTS (SELECT 1 FROM o q WHERE {_dominates(("p_size", "p_retailprice", "margin"))})""")
+def si12_3d(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", (F.col("p_partkey") * 31 % 97).cast("double").alias("margin"))
+    return SIM.pareto_front(p, "p_size", "p_retailprice", "margin")
+
+
+@query("si12_pareto_front_5d", uses=("variants",), sql=f"""
+WITH {_FIVE_SQL} SELECT id FROM v p WHERE NOT EXISTS (SELECT 1 FROM v q WHERE {_dominates(_FIVE)})""")
+def si12_5d(spark, d):
+    return SIM.pareto_front(_five(spark, d), *_FIVE).select("id")
+
+
+@query("si13_five_objectives", uses=("variants",), sql=f"""
+WITH {_FIVE_SQL}, f AS (SELECT *, quality_score * 0.4 + diversity_score * 0.3 + generation_time * 0.1 + brevity * 0.1 + spread * 0.001 AS ws
+  FROM v p WHERE NOT EXISTS (SELECT 1 FROM v q WHERE {_dominates(_FIVE)}))
+SELECT id, round(ws, 6) AS weighted_score FROM f ORDER BY ws DESC, id LIMIT 10""")
+def si13_five(spark, d):
+    m = SIM.multi_objective(_five(spark, d), "id", dict(zip(_FIVE, (0.4, 0.3, 0.1, 0.1, 0.001))), 10)
+    return m.select("id", r6("weighted_score", "weighted_score"))
+
+
 @query("si13_multi_objective", uses=("variants",), sql="""
 WITH v AS (SELECT id, quality_score, diversity_score, quality_score * 0.7 + diversity_score * 0.3 AS ws FROM variants),
 f AS (SELECT * FROM v p WHERE NOT EXISTS (SELECT 1 FROM v q WHERE q.quality_score >= p.quality_score AND q.diversity_score >= p.diversity_score
@@ -259,6 +298,13 @@ def si25(spark, d):
     return SIM.expand_templates(table(spark, d, "benchmark"), "item_id", "text")
 
 
+@query("si25_clause_variants", sql="\nUNION ALL ".join(
+    [f"SELECT item_id, 'consistency{i}' AS kind, concat(text, chr(10), chr(10), '{c}') AS variant FROM benchmark" for i, c in enumerate(SIM.CONSISTENCY_CLAUSES)]
+    + [f"SELECT item_id, 'robustness{i}', concat(text, ' {c}') FROM benchmark" for i, c in enumerate(SIM.ROBUSTNESS_CLAUSES)]))
+def si25_clauses(spark, d):
+    return SIM.expand_clauses(table(spark, d, "benchmark"), "item_id", "text")
+
+
 @query("si26_line_diff", uses=("turns",), sql="""
 WITH t AS (SELECT conv_id * 1000 + turn AS k, context, response FROM turns),
 a AS (SELECT k, unnest(string_split(context, chr(10))) AS la, unnest(range(len(string_split(context, chr(10))))) AS pos FROM t),

@@ -19,6 +19,10 @@ LOGS_SCHEMA = ("id BIGINT, timestamp TIMESTAMP_NTZ, level STRING, category STRIN
                "session_id STRING, duration_ms DOUBLE, user_id BIGINT, day DATE")
 
 
+REQUESTS = "request_id BIGINT, req_ts TIMESTAMP_NTZ, prompt STRING"
+RESPONSES = "resp_id BIGINT, resp_ts TIMESTAMP_NTZ, response STRING"
+
+
 def _zone(spark, name):
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
@@ -54,18 +58,72 @@ def st2(spark, d):
     req = pl.where(F.col("request_id") % 10 != 3).select("request_id", F.col("timestamp").alias("req_ts"), "prompt")
     resp = pl.where(F.col("request_id") % 7 != 0).select(F.col("request_id").alias("resp_id"),
                                                          (F.col("timestamp") + F.expr("INTERVAL 2 SECONDS")).alias("resp_ts"), "response")
-    rq = J.read_stream(spark, _land(req, spark, "req", "req_ts"), "request_id BIGINT, req_ts TIMESTAMP_NTZ, prompt STRING, day DATE", 4)
-    rs = J.read_stream(spark, _land(resp, spark, "resp", "resp_ts"), "resp_id BIGINT, resp_ts TIMESTAMP_NTZ, response STRING, day DATE", 4)
+    rq = J.read_stream(spark, _land(req, spark, "req", "req_ts"), REQUESTS + ", day DATE", 4)
+    rs = J.read_stream(spark, _land(resp, spark, "resp", "resp_ts"), RESPONSES + ", day DATE", 4)
     sink = _zone(spark, "corr-sink")
     j = J.correlate_stream(rq, rs, "1 hour", "1 hour")
-    J.run_available(j.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _zone(spark, "ck2")))
+    J.run_available(j.writeStream.foreachBatch(J.correlation_sink(sink)).option("checkpointLocation", _zone(spark, "ck2")))
     # Requests whose join range closed before the end of the input are final.
-    mx = pl.agg(F.max("timestamp").alias("mx"))
-    out = (spark.read.parquet(sink).crossJoin(mx)
-           .where(F.col("req_ts").cast("timestamp_ntz") < F.col("mx") - F.expr("INTERVAL 3 HOURS")))
+    end = pl.agg(F.max("timestamp")).scalar()
+    out = (J.read_correlated(spark, sink).where((F.col("kind") != "orphan")
+           & (F.col("req_ts").cast("timestamp_ntz") < end - F.expr("INTERVAL 3 HOURS"))))
     return out.select("request_id", F.col("response").isNotNull().alias("matched"))
 
 
+WAVE_DAYS = 5
+
+
+def _wave_of(ts):
+    """Landing wave of an event: a wave holds five days of January 2024."""
+    return F.floor(F.datediff(ts, F.lit("2024-01-01")) / WAVE_DAYS).cast("int")
+
+
+def _lander(df, wave, k, path):
+    """Land the rows of wave ``k``; file order inside the folder follows the waves."""
+    return lambda: write_parquet(df.where(wave == k), path, mode="append")
+
+
+def _late_sql():
+    return """q AS (SELECT request_id, "timestamp" AS ts FROM prompt_logs WHERE request_id % 10 <> 3),
+s AS (SELECT request_id, "timestamp" AS ts, request_id % 11 = 4 AS slow, request_id % 23 = 5 AND hour("timestamp") < 10 AS behind
+      FROM prompt_logs WHERE request_id % 7 <> 0),
+m AS (SELECT max("timestamp") - INTERVAL 6 HOUR AS horizon FROM prompt_logs),
+k AS (SELECT s.request_id, s.ts, CASE WHEN s.behind THEN 'late' WHEN s.slow OR q.request_id IS NULL THEN 'orphan' ELSE 'matched' END AS kind
+      FROM s LEFT JOIN q ON q.request_id = s.request_id)"""
+
+
+@query("st2_orphan_responses", uses=("prompt_logs",), sql=f"""
+WITH {_late_sql()}
+SELECT request_id, kind FROM k, m WHERE ts < horizon
+UNION ALL SELECT q.request_id, 'unanswered' FROM q, m WHERE ts < horizon AND q.request_id NOT IN (SELECT request_id FROM k WHERE kind = 'matched')""")
+def st2_orphans(spark, d):
+    """Requests and responses land in six waves; some responses come two hours after their request, some
+    have none, and some land a wave late, behind the watermark.  Every response is in one output."""
+    pl = B.prompt_logs(spark, d)
+    rid, ts = F.col("request_id"), F.col("timestamp")
+    req = pl.where(rid % 10 != 3).select("request_id", ts.alias("req_ts"), "prompt")
+    resp = pl.where(rid % 7 != 0).select(rid.alias("resp_id"), (ts + F.when(rid % 11 == 4, F.expr("INTERVAL '2' HOUR")).otherwise(F.expr("INTERVAL '2' SECOND"))).alias("resp_ts"),
+                                         F.coalesce("response", F.lit("")).alias("response"),
+                                         (_wave_of(ts) + F.when((rid % 23 == 5) & (F.hour(ts) < 10), 1).otherwise(0)).alias("_wave"))
+    p_req, p_resp, sink, ck = (_zone(spark, n) for n in ("req-waves", "resp-waves", "corr-waves", "ck2w"))
+
+    def land(k):
+        return lambda: (_lander(req, _wave_of("req_ts"), k, p_req)(), _lander(resp, F.col("_wave"), k, p_resp)())
+
+    def writer():
+        j = J.correlate_stream(J.read_stream(spark, p_req, REQUESTS), J.read_stream(spark, p_resp, RESPONSES), "1 hour", "1 hour")
+        return j.writeStream.foreachBatch(J.correlation_sink(sink)).option("checkpointLocation", ck)
+
+    J.run_in_waves([land(k) for k in range(7)], writer)
+    end = pl.agg(F.max("timestamp").cast("timestamp")).scalar()
+    done = J.read_correlated(spark, sink)
+    landed = spark.read.schema(RESPONSES).parquet(p_resp)
+    every = done.unionByName(J.late_responses(landed, done, end - F.expr("INTERVAL 1 HOUR")))
+    # Compare what every stage has decided: the time of the request, or of the response less its delay.
+    base = F.coalesce("req_ts", F.col("resp_ts") - F.when(F.col("request_id") % 11 == 4, F.expr("INTERVAL '2' HOUR")).otherwise(F.expr("INTERVAL '2' SECOND")))
+    return every.where(base < end - F.expr("INTERVAL 6 HOURS")).select("request_id", "kind")
+
+
 @query("st3_running_counts", uses=("logs",), sql="SELECT level, category, count(*) AS count FROM logs GROUP BY level, category")
 def st3(spark, d):
     path = _zone(spark, "counts")
@@ -91,6 +149,60 @@ def st4(spark, d):
     return u.select("window_start", "requests", "tokens", r6("avg_latency", "avg_latency"), r6("error_rate", "error_rate"))
 
 
+@query("st4_sliding_usage", uses=("prompt_logs",), sql="""
+WITH p AS (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, "timestamp") - k * INTERVAL 15 MINUTE FOR k IN range(4)]) AS window_start, * FROM prompt_logs)
+SELECT window_start, count(*) AS requests, CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens,
+  round(avg(nullif(latency, 0)), 6) AS avg_latency, round(count_if(coalesce(error, '') <> '') / count(*), 6) AS error_rate
+FROM p GROUP BY 1""")
+def st4_sliding(spark, d):
+    """Hourly windows at every quarter of an hour, merged from the stream's 15-minute slices."""
+    u = J.sliding_usage(_slices(spark, d), 4)
+    return u.select("window_start", "requests", "tokens", r6("avg_latency", "avg_latency"), r6("error_rate", "error_rate"))
+
+
+@query("st4_sliding_percentiles", uses=("prompt_logs",), sql="""
+WITH p AS (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, "timestamp") - k * INTERVAL 15 MINUTE FOR k IN range(4)]) AS window_start, nullif(latency, 0) AS l FROM prompt_logs)
+SELECT window_start, round(quantile_disc(l, 0.5), 6) AS p50, round(quantile_disc(l, 0.95), 6) AS p95 FROM p GROUP BY 1""")
+def st4_percentiles(spark, d):
+    """Latency quantiles of the sliding windows from merged sketches; sketches of up to 200 values are exact."""
+    u = J.sliding_usage(_slices(spark, d), 4, qs={"p50": 0.5, "p95": 0.95})
+    return u.select("window_start", r6("p50", "p50"), r6("p95", "p95"))
+
+
+def _slices(spark, d):
+    pl = B.prompt_logs(spark, d)
+    schema = ", ".join(f"`{n}` {t}" for n, t in pl.dtypes) + ", day DATE"
+    s = J.read_stream(spark, _land(pl, spark, "pl-slices"), schema, 8)
+    path = _zone(spark, "slices")
+    J.run_available(J.usage_slices(s).writeStream.outputMode("update").foreachBatch(J.upsert_batches(path, ["slice_start"]))
+                    .option("checkpointLocation", _zone(spark, "ck4s")))
+    return J.read_upserted(spark, path, ["slice_start"])
+
+
+@query("st4_session_usage", uses=("prompt_logs",), sql="""
+WITH o AS (SELECT *, CASE WHEN "timestamp" - lag("timestamp") OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS fresh FROM prompt_logs
+  WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp", request_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY "timestamp", request_id) AS k FROM o),
+u AS (SELECT session_id, min("timestamp") AS session_start, max("timestamp") + INTERVAL 3 HOUR AS session_end, count(*) AS requests,
+  CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens, round(avg(nullif(latency, 0)), 6) AS avg_latency
+  FROM g GROUP BY session_id, k)
+SELECT * FROM u WHERE session_end < (SELECT max("timestamp") FROM prompt_logs) - INTERVAL 3 HOUR""")
+def st4_sessions(spark, d):
+    """Sessions of activity (three silent hours end one), landed in six waves, written once when they are over."""
+    pl = B.prompt_logs(spark, d)
+    path, sink, ck = (_zone(spark, n) for n in ("pl-waves", "session-sink", "ck4w"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in pl.dtypes)
+
+    def writer():
+        return (J.session_usage(J.read_stream(spark, path, schema), "3 hours", "1 hour").writeStream.format("parquet").option("path", sink)
+                .option("checkpointLocation", ck))
+
+    J.run_in_waves([_lander(pl, _wave_of("timestamp"), k, path) for k in range(6)], writer)
+    end = pl.agg(F.max("timestamp")).scalar()
+    out = spark.read.parquet(sink).where(F.col("session_end") < end - F.expr("INTERVAL 3 HOURS"))
+    return out.select("session_id", "session_start", "session_end", "requests", "tokens", r6("avg_latency", "avg_latency"))
+
+
 @query("st5_rate_limit_stream", sql="""
 WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -102,14 +214,45 @@ r(user_id, k, event_id, acc, allowed) AS (
         FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) x)
 SELECT user_id, event_id, allowed FROM r""")
 def st5(spark, d):
-    """Per-user limiter (5 accepted per hour) with state bounded by the limit; rows only."""
-    e = table(spark, d, "events")
-    s = J.read_stream(spark, _land(e, spark, "ev", "ts"),
-                      "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING, day DATE")
-    sink = _zone(spark, "limit-sink")
-    J.run_available(J.rate_limit_stream(s, 5, 3600.0).writeStream.format("parquet").option("path", sink)
-                    .option("checkpointLocation", _zone(spark, "ck5")))
-    return spark.read.parquet(sink)
+    """Per-user limiter (5 accepted per hour) over six waves of files with late rows."""
+    return _limited(spark, d, 5, 3600.0)
+
+
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT"
+
+
+def _limited(spark, d, limit, window_s):
+    """Events land in six waves; every fifth of a wave's last evening lands with the next one, out of
+    order but within the watermark's delay.  A heartbeat without a user closes the stream."""
+    e = table(spark, d, "events").select("event_id", "ts", "user_id")
+    late = (F.col("event_id") % 5 == 0) & (F.hour("ts") >= 18)
+    wave = _wave_of("ts") + F.when(late & (_wave_of(F.col("ts") + F.expr("INTERVAL '6' HOUR")) > _wave_of("ts")), 1).otherwise(0)
+    path, sink, ck = (_zone(spark, n) for n in ("ev-waves", "limit-sink", "ck5"))
+    beat = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.expr("TIMESTAMP_NTZ'2024-03-01 00:00:00'").alias("ts"),
+                                 F.lit(None).cast("long").alias("user_id"))
+    waves = [_lander(e, wave, k, path) for k in range(7)] + [lambda: write_parquet(beat, path, mode="append")]
+
+    def writer():
+        return (J.rate_limit_stream(J.read_stream(spark, path, EVENTS), limit, window_s, "8 hours").writeStream.format("parquet")
+                .option("path", sink).option("checkpointLocation", ck))
+
+    J.run_in_waves(waves, writer)
+    return spark.read.parquet(sink).where("user_id IS NOT NULL")
+
+
+@query("st5_rate_limit_busy", sql="""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r(user_id, k, event_id, acc, allowed) AS (
+  SELECT user_id, k, event_id, [t], true FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN len(w) < 2 THEN list_append(w, t) ELSE w END, len(w) < 2
+  FROM (SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.acc, lambda a: a > e.t - 86400000000) AS w
+        FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) x)
+SELECT user_id, event_id, allowed FROM r""")
+def st5_busy(spark, d):
+    """The limiter where it often rejects: two accepted events a day."""
+    return _limited(spark, d, 2, 86400.0)
 
 
 @query("st6_job_progress", sql="""

@@ -10,8 +10,10 @@ instead of duplicating it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -40,6 +42,14 @@ def run_available(writer, timeout_s: int = 600) -> None:
         raise q.exception()
 
 
+def run_in_waves(waves: Iterable[Callable[[], None]], writer: Callable[[], object]) -> None:
+    """Land each wave of files, then run the stream over what is new.  Every run goes on from the
+    checkpoint of the one before: state, watermark and files already read are kept."""
+    for land in waves:
+        land()
+        run_available(writer())
+
+
 # ------------------------------------------------------------------ ST1 ingest + ST8 retention
 def ingest_logs(logs: DataFrame, sink: str, checkpoint: str, min_level: str = "INFO"):
     """Severity-filtered ingest into a Parquet sink partitioned by day."""
@@ -61,15 +71,41 @@ def retain_days(spark: SparkSession, sink: str, now: str, days: int, out: str) -
 
 # ------------------------------------------------------------------ ST2 correlation
 def correlate_stream(requests: DataFrame, responses: DataFrame, delay: str = "1 hour", max_gap: str = "1 hour") -> DataFrame:
-    """Stream–stream left outer join of requests with their responses: watermarks on both sides and
-    a time-range condition bound the join state; an unmatched request is emitted once the
-    watermark passes its range."""
+    """Stream-stream full outer join of requests with their responses.
+
+    Watermarks on both sides and a time range (a response follows its request by ``max_gap`` at most)
+    bound the join state.  ``kind`` is 'matched', 'unanswered' (a request whose range the watermark has
+    passed) or 'orphan' (a response without a request in its range)."""
     q = requests.withColumn("req_ts", F.col("req_ts").cast("timestamp")).withWatermark("req_ts", delay).alias("q")
     s = responses.withColumn("resp_ts", F.col("resp_ts").cast("timestamp")).withWatermark("resp_ts", delay).alias("s")
     cond = ((F.col("q.request_id") == F.col("s.resp_id"))
             & (F.col("s.resp_ts") >= F.col("q.req_ts"))
             & (F.col("s.resp_ts") <= F.col("q.req_ts") + F.expr(f"INTERVAL {max_gap}")))
-    return q.join(s, cond, "leftOuter").select("q.request_id", "q.req_ts", "q.prompt", "s.response", "s.resp_ts")
+    kind = (F.when(F.col("s.resp_id").isNull(), "unanswered").when(F.col("q.request_id").isNull(), "orphan").otherwise("matched"))
+    return q.join(s, cond, "fullOuter").select(F.coalesce("q.request_id", "s.resp_id").alias("request_id"), "q.req_ts", "q.prompt",
+                                               "s.response", "s.resp_ts", kind.alias("kind"))
+
+
+def correlation_sink(path: str):
+    """foreachBatch sink: one write per micro-batch, dealt into a folder per kind, under the batch's own
+    id.  A replayed batch overwrites itself, and matched rows and orphans appear together or not at all."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
+def read_correlated(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("batch")
+
+
+def late_responses(landed: DataFrame, correlated: DataFrame, closed: Column) -> DataFrame:
+    """Responses that came in behind the watermark, which the join never saw: landed before ``closed``
+    (a time that the watermark has passed), but in no output.  With them no response is lost."""
+    seen = correlated.where(F.col("kind") != "unanswered").select(F.col("request_id").alias("resp_id"), "resp_ts")
+    old = landed.withColumn("resp_ts", F.col("resp_ts").cast("timestamp")).where(F.col("resp_ts") < closed)
+    return (old.join(seen, ["resp_id", "resp_ts"], "left_anti")
+            .select(F.col("resp_id").alias("request_id"), F.lit(None).cast("timestamp").alias("req_ts"), F.lit(None).cast("string").alias("prompt"),
+                    "response", "resp_ts", F.lit("late").alias("kind")))
 
 
 # ------------------------------------------------------------------ ST3 / ST4 / ST6 aggregates
@@ -111,25 +147,82 @@ def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
+# ------------------------------------------------------------------ ST4 slices, panes, sessions
+def usage_slices(pl: DataFrame, width: str = "15 minutes", delay: str = "2 hours") -> DataFrame:
+    """Mergeable usage per slice of event time: counts, sums and a quantile sketch of truthy latencies.
+    A row enters one slice only, however many panes will show it."""
+    lat = F.when(F.col("latency") != 0, F.col("latency"))
+    w = (pl.withColumn("_et", F.col("timestamp").cast("timestamp")).withWatermark("_et", delay).groupBy(F.window("_et", width).alias("w")))
+    return w.agg(F.count("*").alias("requests"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
+                 F.sum(lat).alias("latency_sum"), F.count(lat).alias("latency_n"),
+                 F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"), F.kll_sketch_agg_double(lat).alias("sketch")) \
+        .select(F.col("w.start").alias("slice_start"), "requests", "tokens", "latency_sum", "latency_n", "errors", "sketch")
+
+
+def sliding_usage(slices: DataFrame, panes: int, width: str = "15 minutes", qs: dict[str, float] | None = None) -> DataFrame:
+    """Sliding windows of ``panes`` slices, one starting at every slice: each slice row (not each
+    request) is copied to the windows that hold it, and sums and sketches are merged."""
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(panes - 1)), lambda k: F.col("slice_start") - k * F.expr(f"INTERVAL {width}")))
+    w = slices.withColumn("window_start", starts).groupBy("window_start").agg(
+        F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), (F.sum("latency_sum") / F.sum("latency_n")).alias("avg_latency"),
+        (F.sum("errors") / F.sum("requests")).alias("error_rate"), F.sum("latency_n").alias("_n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    quantiles = [F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_s", F.lit(float(q)))).alias(n) for n, q in (qs or {}).items()]
+    return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "requests", "tokens", "avg_latency", "error_rate", *quantiles)
+
+
+def session_usage(pl: DataFrame, gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Usage per session of activity: a session ends when its key is silent for ``gap``; it is written once
+    (append mode), when the watermark has passed its end, and then leaves the state."""
+    g = (pl.withColumn("_et", F.col("timestamp").cast("timestamp")).withWatermark("_et", delay)
+         .groupBy("session_id", F.session_window("_et", gap).alias("w")))
+    return g.agg(F.count("*").alias("requests"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
+                 F.avg(F.when(F.col("latency") != 0, F.col("latency"))).alias("avg_latency")) \
+        .select("session_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"),
+                "requests", "tokens", "avg_latency")
+
+
 # ------------------------------------------------------------------ ST5 limiter
 def _limiter(limit: int, window_us: int):
     def fn(key, pdfs, state):
-        frames = list(pdfs)
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["_t", "event_id"])
-        ok, kept = admissions(pdf["_t"].tolist(), limit, window_us, state.get[0] if state.exists else None)
-        state.update((kept,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"].to_numpy(), "allowed": ok})
+        """State: waiting events (time, id) that the watermark has not passed, and the last admitted times."""
+        times, ids, kept = state.get if state.exists else ([], [], [])
+        times, ids, kept = list(times or []), list(ids or []), list(kept or [])
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for pdf in pdfs:
+                times += pdf["_t"].tolist()
+                ids += pdf["event_id"].tolist()
+        # Nothing at or before the watermark can still come in, so that part of the order is final.
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = sorted(zip(times, ids))
+        ready = [e for e in waiting if e[0] <= passed]
+        waiting = waiting[len(ready):]
+        ok, kept = admissions([t for t, _ in ready], limit, window_us, kept)
+        kept = [t for t in kept if t + window_us > passed]  # older admissions no longer count
+        if waiting or kept:
+            state.update(([t for t, _ in waiting], [i for _, i in waiting], kept))
+            due = waiting[0][0] if waiting else kept[-1] + window_us
+            state.setTimeoutTimestamp(max(due // 1000, passed // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({"user_id": key[0], "event_id": [i for _, i in ready], "allowed": ok})
     return fn
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window_s: float) -> DataFrame:
-    """ST5: per-client sliding-window limiter with state = the last ``limit`` admitted timestamps."""
-    src = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))  # integer µs
+def rate_limit_stream(events: DataFrame, limit: int, window_s: float, delay: str = "1 hour") -> DataFrame:
+    """ST5: per-client sliding-window limiter in event time.
+
+    Events wait in the state until the watermark passes them and are then decided in (time, id) order,
+    so the decisions are those of the batch limiter however events are split over micro-batches, as long
+    as they come in within ``delay``.  Timeouts decide the waiting events of clients that fall
+    silent; a client without waiting events leaves the state once its last admission is a window old."""
+    src = (events.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", delay)
+           .select("user_id", "event_id", "_et", F.unix_micros("_et").alias("_t")))  # integer microseconds
     return src.groupBy("user_id").applyInPandasWithState(
-        _limiter(limit, int(round(window_s * 1e6))), "user_id long, event_id long, allowed boolean", "acc array<long>",
-        "append", GroupStateTimeout.NoTimeout)
+        _limiter(limit, int(round(window_s * 1e6))), "user_id long, event_id long, allowed boolean",
+        "times array<long>, ids array<long>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ ST7 dedup
