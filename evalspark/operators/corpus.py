@@ -37,6 +37,14 @@ def normalize_text(c) -> Column:
     return strip_ws(t)
 
 
+def normalize_structure(c) -> Column:
+    """TX2 for stable prompts: white space runs become one space, one space after each . ! ?, and a final
+    full stop where the text does not end in . ! ? or ':'."""
+    t = F.regexp_replace(strip_ws(c), r"(?U)\s+", " ")
+    t = strip_ws(F.regexp_replace(t, r"(?U)([.!?])\s*", "$1 "))
+    return F.when(F.substring(t, -1, 1).isin(".", "!", "?", ":"), t).otherwise(F.concat(t, F.lit(".")))
+
+
 # ---------------------------------------------------------------- TX5 variables
 VAR_RE = r"\{\{([^}]+)\}\}"
 

@@ -1,13 +1,13 @@
 """History, trend and distribution statistics.
 
 Per-series rolling computations avoid ``Window.partitionBy(series)`` (which
-sorts a whole series inside one task).  A series has a dense 0-based index;
-each row is *emitted to the few target positions whose frame contains it*
-(an in-row ``explode`` of offsets) and the frames are aggregated by the
-fine-grained key ``(series, target)``.  A hot series is therefore spread
-over all shuffle partitions, and partial aggregation combines map-side.
-Frame widths that depend on the series length come from a per-series count
-(one row per series) joined back before the explode.
+sorts a whole series inside one task).  A series has a dense 0-based index
+and is cut into blocks of ``BLOCK`` positions; a row goes to its own block,
+and the few rows near a border also to the neighbour whose frames reach them
+(halos).  Frames are then computed in place by a window over (series,
+block): the shuffle carries the input once plus the halos, and a hot series
+spreads over as many tasks as it has blocks.  Frame widths that depend on the
+series length come from a per-series count (one row per series) joined back.
 
 Global statistics are single ``agg`` passes (moments, exact percentiles,
 ``corr``, ``regr_*``) with partial aggregation.
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,45 +34,45 @@ def series_lengths(df: DataFrame, series: str, idx: str) -> DataFrame:
     return df.groupBy(series).agg(F.count("*").alias("_slen"))
 
 
-def framed_agg(df: DataFrame, series: str, idx: str, value: str, lo: Column, hi: Column,
-               weights: Column | None = None) -> DataFrame:
-    """For every target position t of every series: sum, count, min, max of ``value`` over the
-    rows with index in [t+lo, t+hi] (``lo``/``hi`` may be per-row columns, e.g. from the series
-    length).  Returns (series, t, s, n, mn, mx); callers require ``n`` = frame width."""
-    # a row at index i belongs to the frames of targets t = i - k for k in [lo, hi]
-    e = df.select(series, idx, value, lo.alias("_lo"), hi.alias("_hi"), *( [weights.alias("_w")] if weights is not None else []))
-    e = e.select(series, value, *(["_w"] if weights is not None else []),
-                 F.explode(F.sequence(F.col(idx) - F.col("_hi"), F.col(idx) - F.col("_lo"))).alias("_t"))
-    v = F.col(value) * F.col("_w") if weights is not None else F.col(value)
-    return e.groupBy(series, "_t").agg(F.sum(v).alias("s"), F.count(value).alias("n"),
-                                       F.min(value).alias("mn"), F.max(value).alias("mx"))
+BLOCK = 4096  # positions of a series that one window partition holds, halos aside
+
+
+def with_halos(df: DataFrame, series: str, idx: str, before: int, after: int = 0) -> tuple[DataFrame, WindowSpec]:
+    """(rows, window): rows carry their block ``_b`` and ``_home`` (false for a halo copy); inside the
+    window over (series, block) every home row sees its ``before`` predecessors and ``after`` successors.
+    ``before`` and ``after`` are at most ``BLOCK``."""
+    i, size = F.col(idx), F.lit(BLOCK)
+    own = F.floor(i / size)
+    blocks = F.array_distinct(F.array(own, F.floor((i + before) / size), F.floor((i - after) / size)))
+    rows = df.withColumn("_b", F.explode(blocks)).withColumn("_home", F.col("_b") == own)
+    return rows, Window.partitionBy(series, "_b").orderBy(idx)
+
+
+def _framed(df: DataFrame, series: str, idx: str, value: str, before: int, after: int = 0) -> DataFrame:
+    """Home rows with ``_f``: (position, value) of the rows from ``before`` back to ``after`` ahead."""
+    rows, w = with_halos(df, series, idx, before, after)
+    f = F.collect_list(F.struct(F.col(idx).alias("i"), F.col(value).alias("v"))).over(w.rowsBetween(-before, after))
+    return rows.withColumn("_f", f).where("_home").drop("_b", "_home")
 
 
 def centred_moving_average(df: DataFrame, series: str, idx: str, value: str, max_w: int = 5) -> DataFrame:
     """HS1: pandas ``rolling(w, center=True).mean()`` with w = min(max_w, N // 4) when N > 5
     (otherwise no average); a position lacking a full window gets NULL."""
     n = series_lengths(df, series, idx)
-    w = F.least(F.lit(max_w), F.floor(F.col("_slen") / 4)).cast("int")
-    src = df.join(n, series).where(F.col("_slen") > 5).withColumn("_wv", w)
-    lo = -F.floor(F.col("_wv") / 2)
-    hi = F.col("_wv") - 1 - F.floor(F.col("_wv") / 2)
-    fr = framed_agg(src, series, idx, value, lo.cast("int"), hi.cast("int"))
-    fr = fr.join(n, series).withColumn("_wv", F.least(F.lit(max_w), F.floor(F.col("_slen") / 4)).cast("int"))
-    ma = F.when(F.col("n") == F.col("_wv"), F.col("s") / F.col("n"))
-    out = fr.where((F.col("_t") >= 0) & (F.col("_t") < F.col("_slen"))).select(
-        series, F.col("_t").alias(idx), ma.alias("moving_avg"), F.col("_wv").alias("window"))
-    return out
+    src = df.join(n, series).where(F.col("_slen") > 5).withColumn("_wv", F.least(F.lit(max_w), F.floor(F.col("_slen") / 4)).cast("int"))
+    half = F.floor(F.col("_wv") / 2)
+    inside = F.filter("_f", lambda x: (x["i"] >= F.col(idx) - half) & (x["i"] <= F.col(idx) + F.col("_wv") - 1 - half) & x["v"].isNotNull())
+    fr = _framed(src, series, idx, value, max_w // 2, max_w // 2).withColumn("_in", inside)
+    total = F.aggregate("_in", F.lit(0.0), lambda s, x: s + x["v"])
+    ma = F.when((F.size("_in") == F.col("_wv")) & (F.col("_wv") > 0), total / F.col("_wv"))
+    return fr.select(series, idx, ma.alias("moving_avg"), F.col("_wv").alias("window"))
 
 
 def step_diff(df: DataFrame, series: str, idx: str, value: str) -> DataFrame:
-    """HS2: ``value[t] − value[t−1]`` (NULL at t = 0) via a signed two-row frame."""
-    e = df.select(series, F.explode(F.array(
-        F.struct(F.col(idx).alias("_t"), F.col(value).alias("_v")),
-        F.struct((F.col(idx) + 1).alias("_t"), (-F.col(value)).alias("_v")))).alias("e"))
-    g = e.groupBy(series, F.col("e._t").alias(idx)).agg(F.sum("e._v").alias("_s"), F.count("*").alias("_n"))
-    n = series_lengths(df, series, idx)
-    return g.join(n, series).where(F.col(idx) < F.col("_slen")).select(
-        series, idx, F.when(F.col("_n") == 2, F.col("_s")).alias("diff"))
+    """HS2: ``value[t] − value[t−1]`` (NULL at t = 0)."""
+    rows, w = with_halos(df.select(series, idx, value), series, idx, 1)
+    return (rows.withColumn("diff", F.when(F.col(idx) > 0, F.col(value) - F.lag(value).over(w)))
+            .where("_home").select(series, idx, "diff"))
 
 
 def convergence_index(df: DataFrame, series: str, idx: str, value: str, max_w: int = 10) -> DataFrame:
@@ -81,14 +81,10 @@ def convergence_index(df: DataFrame, series: str, idx: str, value: str, max_w: i
     t ≥ w with |r[t]| < threshold (NULL when none)."""
     n = series_lengths(df, series, idx).where(F.col("_slen") > 10) \
         .withColumn("_w", F.least(F.lit(max_w), F.floor(F.col("_slen") / 4)).cast("int"))
-    src = df.join(n, series)
-    e = src.select(series, "_w", "_slen", F.explode(F.array(
-        F.struct(F.col(idx).alias("_t"), F.col(value).alias("_v")),
-        F.struct((F.col(idx) + F.col("_w")).alias("_t"), (-F.col(value)).alias("_v")))).alias("e"))
-    r = (e.groupBy(series, "_w", "_slen", F.col("e._t").alias("_t"))
-          .agg(F.sum("e._v").alias("_s"), F.count("*").alias("_n"))
-          .where((F.col("_n") == 2) & (F.col("_t") < F.col("_slen")))
-          .withColumn("r", F.col("_s") / F.col("_w")))
+    fr = _framed(df.join(n, series), series, idx, value, max_w)
+    past = F.get(F.filter("_f", lambda x: x["i"] == F.col(idx) - F.col("_w")), F.lit(0))
+    r = (fr.where(F.col(idx) >= F.col("_w"))
+         .select(series, F.col(idx).alias("_t"), ((F.col(value) - past["v"]) / F.col("_w")).alias("r")))
     thr = r.groupBy(series).agg((F.stddev_samp("r") * 0.1).alias("_thr"))
     hit = r.join(thr, series).where(F.abs(F.col("r")) < F.col("_thr")).groupBy(series).agg(F.min("_t").alias("converged_idx"))
     return n.join(hit, series, "left").select(series, F.col("_w").alias("window"), "converged_idx")
@@ -118,12 +114,12 @@ def patience_convergence(df: DataFrame, series: str, idx: str, value: str, patie
 def early_stop_step(df: DataFrame, series: str, idx: str, value: str, patience: int = 5,
                     threshold: float = 0.01) -> DataFrame:
     """HS5: first position whose trailing ``patience`` values span less than ``threshold``."""
-    fr = framed_agg(df, series, idx, value, F.lit(-(patience - 1)), F.lit(0))
-    n = series_lengths(df, series, idx)
-    ok = fr.join(n, series).where((F.col("n") == patience) & (F.col("_t") < F.col("_slen"))
-                                  & (F.col("mx") - F.col("mn") < threshold))
-    first = ok.groupBy(series).agg(F.min("_t").alias("stop_step"))
-    return n.join(first, series, "left").select(series, "stop_step")
+    rows, w = with_halos(df.select(series, idx, value), series, idx, patience - 1)
+    frame = w.rowsBetween(-(patience - 1), 0)
+    calm = (F.count(value).over(frame) == patience) & (F.max(value).over(frame) - F.min(value).over(frame) < threshold)
+    # A series' first calm position; a halo row has too short a frame in the block it was copied to.
+    return (rows.withColumn("_calm", calm).where("_home").groupBy(series)
+            .agg(F.min(F.when(F.col("_calm"), F.col(idx))).alias("stop_step")))
 
 
 def history_report(df: DataFrame, series: str, idx: str, value: str) -> DataFrame:

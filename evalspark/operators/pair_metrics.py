@@ -1,23 +1,24 @@
 """Pair metrics: a prediction column scored against a reference column, one row per pair.
 
 Row-local metrics are plain column expressions (whole-stage codegen, no
-shuffle).  The n-gram metrics (BLEU, ROUGE-1/2) share one plan: the pair rows
-are hash-partitioned by key once, n-grams are exploded inside each partition
-and counted by ``groupBy`` steps whose keys all contain the pair key, so the
-single exchange satisfies every later aggregation.  ROUGE-L needs a longest
-common subsequence, which has no built-in: it runs in an Arrow UDF using the
-bit-parallel LCS length (Allison & Dix 1986; Hyyrö 2004).
+shuffle).  The n-gram metrics (BLEU, ROUGE-1/2) are row-local too: n-grams are
+numbered and counted in arrays, a batch of pairs at a time.  ROUGE-L needs a
+longest common subsequence, which has no built-in: it runs in an Arrow UDF using
+the bit-parallel LCS length (Allison & Dix 1986; Hyyrö 2004).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.common import clamp
-from ..functions.tokens import UNICODE_WS, ngrams, set_jaccard, split_ws, tokens
+from ..functions.tokens import UNICODE_WS, set_jaccard, split_ws, tokens
 
 
 def _c(c) -> Column:
@@ -53,33 +54,73 @@ def keyword_relevance(output, context) -> Column:
 
 
 # ---------------------------------------------------------------- PM3 / PM4 shared n-gram plan
+NGRAM_TOKENS = 1_000_000  # tokens of the pairs counted at a time, or of one longer pair
+
+
+def _grams(codes: np.ndarray, ends: np.ndarray, max_n: int):
+    """For n = 1..max_n: (places where an n-gram starts, its number); equal numbers for equal n-grams only.
+    ``ends``: end of the text that each token belongs to."""
+    ids, at = codes, np.arange(len(codes))
+    for n in range(1, max_n + 1):
+        if n > 1:
+            fits = at + n - 1 < ends[at]
+            at, ids = at[fits], ids[fits]
+            ids = np.unique(ids * (np.int64(codes.max(initial=0)) + 1) + codes[at + n - 1], return_inverse=True)[1].ravel().astype(np.int64)
+        yield n, at, ids
+
+
+def _clipped(pred: pa.ListArray, ref: pa.ListArray, max_n: int) -> list[np.ndarray]:
+    """Clipped matches of each order and pair: Σ over n-grams of the smaller of both counts."""
+    rows = len(pred)
+    sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (pred, ref)]).astype(np.int64)
+    words = pa.chunked_array([pred.flatten(), ref.flatten()]).combine_chunks().dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(2 * rows), sizes)
+    ends = np.cumsum(sizes)[text]
+    out = []
+    for _, at, ids in _grams(codes, ends, max_n):
+        owner = text[at]
+        key = (owner % max(rows, 1)) * (ids.max(initial=0) + 1) + ids
+        first = owner < rows
+        p, cp = np.unique(key[first], return_counts=True)
+        r, cr = np.unique(key[~first], return_counts=True)
+        both, i, j = np.intersect1d(p, r, assume_unique=True, return_indices=True)
+        out.append(np.bincount(both // (ids.max(initial=0) + 1), np.minimum(cp[i], cr[j]), rows).astype(np.int64))
+    return out
+
+
+def _count_batches(names: list[str], max_n: int):
+    def run(batches):
+        for batch in batches:
+            sizes = sum(pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_pt", "_rt"))
+            total = np.cumsum(sizes)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + NGRAM_TOKENS, "right")))
+                part = batch.slice(a, b - a)
+                pred, ref = part.column("_pt"), part.column("_rt")
+                counts = _clipped(pred, ref, max_n)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), *(pc.list_value_length(x).cast(pa.int32()) for x in (pred, ref)), *(pa.array(c) for c in counts)],
+                    names=[*names, "lp", "lr", *(f"m{n}" for n in range(1, max_n + 1))])
+                a = b
+    return run
+
+
 def ngram_match_counts(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
                        max_n: int = 4, carry: list[str] | None = None) -> DataFrame:
     """Per pair: token counts ``lp``, ``lr`` and clipped n-gram matches ``m1..m{max_n}``.
 
-    Clipped matches of order n = Σ_g min(count_pred(g), count_ref(g)).
-    One exchange (hash on ``key``); the three aggregations after it reuse it.  ``carry`` columns
-    (functionally dependent on the key, e.g. a group label or row-local metrics computed before
-    the exchange) ride along as grouping keys, so callers need no second scan or join.
-    """
-    carry = list(carry or [])
-    base = (df.select(F.col(key).alias("_k"), *carry, tokens(pred).alias("_pt"), tokens(ref).alias("_rt"))
-              .repartition("_k"))
-    def tagged(arr: str, n: int, is_pred: bool) -> Column:
-        return F.transform(ngrams(F.col(arr), n), lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("g"), F.lit(1 if is_pred else 0).alias("p"),
-            F.lit(0 if is_pred else 1).alias("r")))
-
-    parts = [tagged(arr, n, arr == "_pt") for n in range(1, max_n + 1) for arr in ("_pt", "_rt")]
-    exploded = base.select("_k", *carry, F.size("_pt").alias("lp"), F.size("_rt").alias("lr"),
-                           F.explode_outer(F.concat(*parts)).alias("e"))
-    per_gram = (exploded.groupBy("_k", *carry, "lp", "lr", F.col("e.n").alias("n"), F.col("e.g").alias("g"))
-                .agg(F.sum("e.p").alias("cp"), F.sum("e.r").alias("cr")))
-    per_n = per_gram.groupBy("_k", *carry, "lp", "lr", "n").agg(F.sum(F.least("cp", "cr")).alias("m"))
-    wide = per_n.groupBy("_k", *carry, "lp", "lr").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == i, F.col("m"))), F.lit(0)).cast("long").alias(f"m{i}")
-          for i in range(1, max_n + 1)])
-    return wide.withColumnRenamed("_k", key)
+    Clipped matches of order n = Σ_g min(count_pred(g), count_ref(g)).  Counting is row-local: tokens
+    (split in the JVM) become numbers, n-grams are numbered from (n−1)-grams, and the sorted numbers
+    of all pairs of an Arrow batch are merged at once.  No n-gram is a row and nothing is shuffled.
+    ``carry`` columns ride along.  A NULL text has no tokens."""
+    names = [key, *(carry or [])]
+    empty = F.array().cast("array<string>")
+    base = df.select(*names, F.coalesce(tokens(pred), empty).alias("_pt"), F.coalesce(tokens(ref), empty).alias("_rt"))
+    fields = [*base.select(*names).schema.fields, T.StructField("lp", T.IntegerType()), T.StructField("lr", T.IntegerType()),
+              *[T.StructField(f"m{n}", T.LongType()) for n in range(1, max_n + 1)]]
+    return base.mapInArrow(_count_batches(names, max_n), T.StructType(fields))
 
 
 def bleu_from_counts(lp="lp", lr="lr", max_n: int = 4) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordinal import exact_percentiles, mode_value
+from .ordinal import exact_percentiles, mode_value, with_ordinal
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -280,15 +280,42 @@ def profile_text(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return w.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
+def _row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row as length-prefixed fields: no two different rows have one byte sequence."""
+    fields = []
+    for c in df.columns:
+        v = F.col(c).cast("string")
+        fields.append(F.coalesce(F.concat(F.lit("s"), F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("n")))
+    return F.sha2(F.concat(*fields), 256)
+
+
 def checksum(df: DataFrame) -> DataFrame:
-    """VP8: order-insensitive content checksum: Σ and XOR of a 60-bit row hash (md5 of the
-    '|'-joined row), plus the row count.  Independent of partitioning and row order."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns])
-    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+    """VP8 for tables without an order: Σ and XOR of 60 bits of each row's digest, and the row count.
+    Independent of partitioning and row order."""
+    h = F.conv(F.substring(_row_digest(df), 1, 15), 16, 10).cast("long")
     return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("checksum_sum"),
                   F.bit_xor(h).alias("checksum_xor"))
 
 
+CHECKSUM_FAN = 1024
+
+
+def ordered_checksum(df: DataFrame, order: list[str], fan: int = CHECKSUM_FAN, height: int = 4) -> DataFrame:
+    """VP8: (n, checksum), sensitive to the order of rows.
+
+    Rows are numbered along ``order`` (then by all columns, so rows that still tie are equal).  A hash
+    tree of fixed fan-out stands on the numbers: each node is the SHA-256 of its children's digests in
+    order, ``height`` levels up to one root.  Nodes depend on row numbers alone, never on partitions, and a
+    node holds ``fan`` digests; the root holds more only beyond fan ** height rows."""
+    rest = [c for c in df.columns if c not in order]
+    level = with_ordinal(df, [*order, *rest], "_i").select("_i", _row_digest(df).alias("_h"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_h"))), lambda x: x["_h"]), "")
+    n = df.agg(F.count("*")).scalar()
+    for _ in range(height - 1):
+        level = level.groupBy(F.floor(F.col("_i") / fan).alias("_p")).agg(F.sha2(joined, 256).alias("_h")).withColumnRenamed("_p", "_i")
+    return level.agg(F.sha2(joined, 256).alias("checksum")).select(n.alias("n"), "checksum")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """VP12: one row per table with its row count (a union of global counts)."""
     return reduce(lambda a, b: a.unionByName(b),

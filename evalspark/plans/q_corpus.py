@@ -40,6 +40,16 @@ def tx2(spark, d):
     return _docs(spark, d).select("doc_id", C.normalize_text("text").alias("normalized"))
 
 
+_STRUCT = S.strip("regexp_replace(" + f"regexp_replace({S.strip('text')}, '{WS}', ' ', 'g')" + ", '([.!?])[\\s\\x{00A0}]*', '\\1 ', 'g')")
+
+
+@query("tx2_normalize_structure", sql=f"""
+SELECT doc_id, CASE WHEN right(t, 1) IN ('.', '!', '?', ':') THEN t ELSE concat(t, '.') END AS normalized
+FROM (SELECT doc_id, {_STRUCT} AS t FROM documents) x""")
+def tx2_structure(spark, d):
+    return _docs(spark, d).select("doc_id", C.normalize_structure("text").alias("normalized"))
+
+
 _W = S.split_ws("text")
 _NS = "len(regexp_split_to_array(text, '[.!?]+'))"
 _VARS = f"len(list_distinct(list_transform(regexp_extract_all(text, '\\{{\\{{([^}}]+)\\}}\\}}', 1), lambda m: {S.strip('split_part(m, chr(58), 1)')})))"

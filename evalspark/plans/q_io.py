@@ -161,6 +161,24 @@ def io12(spark, d):
     return heads.join(n, "id", "left").select("id", "title", F.coalesce("n_variants", F.lit(0)).alias("n_variants"))
 
 
+@query("io12_text_export", uses=("prompts", "prompt_variants"), sql="""
+WITH v AS (SELECT v.*, row_number() OVER (PARTITION BY prompt_id ORDER BY v.created_at, v.id) AS i FROM prompt_variants v)
+SELECT id, 0 AS part, concat('Title: ', title, chr(10), chr(10), 'Description: N/A', chr(10), chr(10), 'Tags: ', array_to_string(tags, ', '), chr(10), chr(10),
+  'Model Type: ', model_type, chr(10), chr(10), 'Content:', chr(10), content, chr(10)) AS text FROM prompts
+UNION ALL
+SELECT p.id, CAST(i AS INTEGER), concat(CASE WHEN i = 1 THEN concat(chr(10), chr(10), 'Variants:', chr(10)) ELSE '' END, CASE WHEN v.deleted_at IS NULL THEN concat(chr(10),
+  '--- Variant ', i, ' ---', chr(10), 'Strategy: ', strategy, chr(10), 'Performance: ', CASE WHEN coalesce(performance_score, 0) = 0 THEN 'N/A' ELSE CAST(performance_score AS VARCHAR) END,
+  chr(10), 'Content:', chr(10), 'variant ', v.id, chr(10)) ELSE '' END)
+FROM v JOIN prompts p ON p.id = v.prompt_id WHERE v.deleted_at IS NULL OR i = 1""")
+def io12_text(spark, d):
+    """Prompts and variants as text files, written in order; the parts are returned."""
+    p = B.prompts(spark, d).withColumn("description", F.lit(None).cast("string"))
+    v = B.prompt_variants(spark, d).withColumn("content", F.concat(F.lit("variant "), F.col("id").cast("string")))
+    parts = IO.prompt_text_parts(p, v)
+    IO.write_text_parts(parts, IO.new_scratch(spark, "prompt-text"))
+    return parts
+
+
 @query("io13_import_prompts", sql=f"""
 WITH r AS (SELECT CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS title, text AS content,
   concat(source, ' ', lang) AS description, list_filter(regexp_split_to_array(lower(text), '[\\s\\x{{00A0}}]+'), lambda w: w <> '') AS tags FROM documents)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.common import r6
+from ..operators import log_tables as LT
 from ..operators import logs as L
 from ..sources import bindings as B
+from ..sources import day_table
+from ..sources import io as IO
 from ..sources.tables import table
 from .registry import query
 
@@ -27,21 +32,21 @@ def lg1(spark, d):
 
 
 @query("lg2_search_logs", uses=LOGS, sql="""
-SELECT id, message FROM logs WHERE message ILIKE '%BY USER 12%' ORDER BY "timestamp" DESC, id DESC LIMIT 1000""")
+SELECT id, message FROM logs WHERE message ILIKE '%BY USER 12%' ORDER BY "timestamp" DESC, id DESC""")
 def lg2(spark, d):
     return L.search_logs(B.logs(spark, d), "BY USER 12").select("id", "message")
 
 
 @query("lg3_category_range", uses=LOGS, sql="""
 SELECT id, category, "timestamp" FROM logs WHERE category = 'click' AND "timestamp" >= TIMESTAMP '2024-01-05 00:00:00'
-  AND "timestamp" <= TIMESTAMP '2024-01-10 00:00:00' ORDER BY "timestamp" DESC, id DESC LIMIT 1000""")
+  AND "timestamp" <= TIMESTAMP '2024-01-10 00:00:00' ORDER BY "timestamp" DESC, id DESC""")
 def lg3(spark, d):
     f = {"category": "click", "start_time": "2024-01-05 00:00:00", "end_time": "2024-01-10 00:00:00"}
     return L.query_logs(B.logs(spark, d), f).select("id", "category", "timestamp")
 
 
 @query("lg3_session_logs", uses=LOGS, sql="""
-SELECT id, session_id, level FROM logs WHERE session_id = 's7' ORDER BY "timestamp" DESC, id DESC LIMIT 1000""")
+SELECT id, session_id, level FROM logs WHERE session_id = 's7' ORDER BY "timestamp" DESC, id DESC""")
 def lg3_session(spark, d):
     return L.query_logs(B.logs(spark, d), {"session_id": "s7"}).select("id", "session_id", "level")
 
@@ -78,6 +83,79 @@ def lg6(spark, d):
                      r6("cost", "cost"), r6(F.col("latency") * 1000.0, "duration_ms"))
 
 
+def _records(spark, d):
+    """Requests, optimisation steps and evaluation results with their string maps."""
+    pl = B.prompt_logs(spark, d)
+    used = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    metrics = F.create_map(F.lit("tokens_used"), used.cast("string"), F.lit("cost"), F.format_string("%.3f", "cost"), F.lit("prompt_length"), F.lit("0"))
+    req = pl.select("request_id", "timestamp", "session_id", "prompt", "model", "response", metrics.alias("metrics"), (F.col("latency") * 1000.0).alias("duration_ms"))
+    e = table(spark, d, "events")
+    steps = e.select(F.col("ts").alias("timestamp"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("step"),
+                     F.create_map(F.lit("score"), F.format_string("%.4f", "value")).alias("metrics"),
+                     F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("type"), F.col("event_type"))).alias("parameters"), F.col("value").alias("duration_ms"))
+    runs = B.eval_runs(spark, d)
+    at = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'") + F.make_dt_interval(days=(F.col("job_id") % 30).cast("int"), hours=(F.col("job_id") % 24).cast("int"))
+    results = runs.select(at.alias("timestamp"), F.col("job_id").alias("run_id"),
+                          F.create_map(F.lit("score"), F.format_string("%.2f", F.col("progress") / 100.0), F.lit("status"), F.col("status")).alias("result"),
+                          F.concat(F.lit("set-"), F.col("batch_id").cast("string")).alias("dataset_name"), F.lit("model-1").alias("model_name"),
+                          (F.col("progress") * 10.0).alias("duration_ms"))
+    return {"llm_requests": req, "optimization_steps": steps, "evaluation_results": results}
+
+
+def _dual_written(spark, d, *kinds):
+    """Records of the kinds (default: all), each as two batches of which the second is written twice (a replay)."""
+    root = IO.new_scratch(spark, "dual-write")
+    records = _records(spark, d)
+    for kind in kinds or LT.KINDS:
+        df = records[kind]
+        half = F.dayofmonth("timestamp") <= 15
+        LT.dual_write(df.where(half), kind, root, 0)
+        for _ in range(2):
+            LT.dual_write(df.where(~half), kind, root, 1)
+    return root
+
+
+@query("lg6_typed_requests", uses=PL, sql="""
+SELECT "timestamp", model, coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS tokens_used, round(cost, 3) AS cost, round(latency * 1000.0, 6) AS duration_ms
+FROM prompt_logs""")
+def lg6_requests(spark, d):
+    t = LT.read_typed(spark, _dual_written(spark, d, "llm_requests"), "llm_requests")
+    return t.select("timestamp", "model", "tokens_used", F.round("cost", 3).alias("cost"), r6("duration_ms", "duration_ms"))
+
+
+@query("lg6_typed_steps", sql="""
+SELECT step, session_id, CAST(printf('%.4f', value) AS DOUBLE) AS score, has_parameters FROM (
+  SELECT event_id AS step, concat('s', user_id) AS session_id, value, event_id % 3 <> 0 AS has_parameters FROM events) t""")
+def lg6_steps(spark, d):
+    t = LT.read_typed(spark, _dual_written(spark, d, "optimization_steps"), "optimization_steps")
+    return t.select("step", "session_id", "score", (F.size("parameters") > 0).alias("has_parameters"))
+
+
+@query("lg6_typed_results", uses=("eval_runs",), sql="""
+SELECT job_id AS run_id, CAST(printf('%.2f', progress / 100.0::DOUBLE) AS DOUBLE) AS score, concat('set-', batch_id) AS dataset_name, status FROM eval_runs""")
+def lg6_results(spark, d):
+    t = LT.read_typed(spark, _dual_written(spark, d, "evaluation_results"), "evaluation_results")
+    return t.select("run_id", "score", "dataset_name", F.col("result")["status"].alias("status"))
+
+
+@query("lg6_generic_log", uses=("prompt_logs", "eval_runs"), sql="""
+SELECT category, message, session_id, array_to_string(list_sort(m), ';') AS metadata FROM (
+  SELECT 'llm_request' AS category, concat('LLM request to ', model) AS message, session_id,
+    ['tokens_used=' || (coalesce(input_tokens, 0) + coalesce(output_tokens, 0)), 'cost=' || printf('%.3f', cost), 'prompt_length=' || length(prompt),
+     'response_length=' || length(coalesce(response, ''))] AS m FROM prompt_logs
+  UNION ALL SELECT 'optimization', concat('Optimization step ', event_id), concat('s', user_id),
+    ['score=' || printf('%.4f', value), 'step=' || event_id, 'parameters=' || CASE WHEN event_id % 3 <> 0 THEN concat('{"type":"', event_type, '"}') ELSE '{}' END] FROM events
+  UNION ALL SELECT 'evaluation', concat('Evaluation completed for run ', job_id), NULL,
+    ['score=' || printf('%.2f', progress / 100.0::DOUBLE), 'status=' || status, 'dataset=set-' || batch_id, 'model=model-1'] FROM eval_runs) t""")
+def lg6_log(spark, d):
+    log = LT.read_log(spark, _dual_written(spark, d))
+    entries = F.sort_array(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return log.select("category", "message", "session_id", F.array_join(entries, ";").alias("metadata"))
+
+
+_CUT = "TIMESTAMP '2024-01-20 13:30:00'"
+
+
 @query("lg7_retention", uses=("logs", "prompt_logs"), sql="""
 SELECT 'logs' AS tbl, count_if("timestamp" < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY) AS deleted,
   count_if("timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY) AS kept FROM logs
@@ -88,12 +166,35 @@ def lg7(spark, d):
     out = None
     for name, df in (("logs", B.logs(spark, d)), ("prompt_logs", B.prompt_logs(spark, d))):
         kept, deleted = L.retention(df, NOW, 10)
-        row = kept.agg(F.count("*").alias("kept")).crossJoin(deleted.agg(F.count("*").alias("deleted"))) \
-            .select(F.lit(name).alias("tbl"), "deleted", "kept")
+        row = kept.agg(F.lit(name).alias("tbl"), deleted.agg(F.count("*")).scalar().alias("deleted"), F.count("*").alias("kept"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+@query("lg7_rotate_tables", uses=("logs", "prompt_logs", "eval_runs"), sql=f"""
+WITH t AS (SELECT 'logs' AS tbl, "timestamp" AS ts FROM logs UNION ALL SELECT 'llm_requests', "timestamp" FROM prompt_logs
+  UNION ALL SELECT 'optimization_steps', ts FROM events UNION ALL SELECT 'evaluation_results', TIMESTAMP '2024-01-01' + to_days(CAST(job_id % 30 AS INTEGER)) + to_hours(CAST(job_id % 24 AS INTEGER)) FROM eval_runs),
+g AS (SELECT tbl, CAST(ts AS DATE) AS day, count(*) AS before, count(*) FILTER (WHERE ts >= {_CUT}) AS after FROM t GROUP BY ALL)
+SELECT tbl, CAST(sum(before - after) AS BIGINT) AS deleted, CAST(sum(after) AS BIGINT) AS kept,
+  count(*) FILTER (WHERE after = 0 AND day < DATE '2024-01-20') AS days_dropped, count(*) FILTER (WHERE day = DATE '2024-01-20' AND after < before) AS days_rewritten
+FROM g GROUP BY tbl""")
+def lg7_rotate(spark, d):
+    """Four tables in day folders; the cutoff lies inside a day, which alone is rewritten."""
+    root = _dual_written(spark, d)
+    day_table.write_batch(B.logs(spark, d), f"{root}/logs", 0)
+    tables = ("logs", *LT.KINDS)
+    acts = LT.rotate(spark, root, dt.datetime(2024, 1, 30, 13, 30), 10, tables)
+    kept = None
+    for t in tables:
+        row = spark.read.parquet(f"{root}/{t}").agg(F.lit(t).alias("table"), F.count("*").alias("kept"))
+        kept = row if kept is None else kept.unionByName(row)
+    g = acts.groupBy("table").agg(F.sum(F.col("rows_before") - F.col("rows_after")).alias("deleted"),
+                                  F.count_if(F.col("action") == "dropped").alias("days_dropped"), F.count_if(F.col("action") == "rewritten").alias("days_rewritten"))
+    zero = F.lit(0).cast("long")
+    return kept.join(g, "table", "left").select(F.col("table").alias("tbl"), F.coalesce("deleted", zero).alias("deleted"), "kept",
+                                                F.coalesce("days_dropped", zero).alias("days_dropped"), F.coalesce("days_rewritten", zero).alias("days_rewritten"))
+
+
 USAGE_SQL = """SELECT count(*) AS total_requests, count(DISTINCT nullif(session_id, '')) AS unique_sessions,
   CAST(coalesce(sum(nullif(input_tokens, 0)), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(nullif(output_tokens, 0)), 0) AS BIGINT) AS output_tokens,
   CAST(coalesce(sum(nullif(input_tokens, 0)), 0) + coalesce(sum(nullif(output_tokens, 0)), 0) AS BIGINT) AS total_tokens,

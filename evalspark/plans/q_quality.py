@@ -233,13 +233,28 @@ def vp7t(spark, d):
     return p.select("column", "nunique", "mode", r6("mean_length", "mean_length"))
 
 
-@query("vp8_checksum", sql="""
-WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), chr(0)), coalesce(CAST(o_custkey AS VARCHAR), chr(0)),
-  coalesce(o_orderstatus, chr(0)), coalesce(o_orderpriority, chr(0)))), 1, 15) AS BIGINT) AS h FROM orders)
+def _digest_sql(cols):
+    return "sha256(concat(" + ", ".join(f"coalesce('s' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in cols) + "))"
+
+
+_VP8 = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("vp8_checksum", sql=f"""
+WITH h AS (SELECT CAST('0x' || substr({_digest_sql(_VP8)}, 1, 15) AS BIGINT) AS h FROM orders)
 SELECT count(*) AS n, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS checksum_sum, bit_xor(h) AS checksum_xor FROM h""")
 def vp8(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return Q.checksum(o)
+    return Q.checksum(table(spark, d, "orders").select(*_VP8))
+
+
+@query("vp8_ordered_checksum", uses=NO, sql=f"""
+WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, {_digest_sql(("o_orderkey", "o_orderpriority", "o_orderstatus"))} AS h FROM nulled_orders),
+l1 AS (SELECT k AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM (SELECT *, i // 1024 AS k FROM l0) t GROUP BY k),
+l2 AS (SELECT k AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM (SELECT *, i // 1024 AS k FROM l1) t GROUP BY k),
+l3 AS (SELECT k AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM (SELECT *, i // 1024 AS k FROM l2) t GROUP BY k)
+SELECT (SELECT count(*) FROM nulled_orders) AS n, sha256(string_agg(h, '' ORDER BY i)) AS checksum FROM l3""")
+def vp8_ordered(spark, d):
+    return Q.ordered_checksum(B.nulled_orders(spark, d).select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderkey"])
 
 
 @query("vp9_metric_inputs", uses=("eval_pairs",), sql="""

@@ -284,7 +284,20 @@ def st7(spark, d):
 @query("st8_sink_retention", uses=("logs",), sql="""
 SELECT count(*) AS kept FROM logs WHERE level <> 'DEBUG' AND "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY""")
 def st8(spark, d):
-    sink = _zone(spark, "logs-sink8")
-    J.run_available(J.ingest_logs(_stream_logs(spark, d), sink, _zone(spark, "ck8"), "INFO"))
-    kept = J.retain_days(spark, sink, "2024-01-31 00:00:00", 10, _zone(spark, "logs-kept"))
-    return kept.agg(F.count("*").alias("kept"))
+    sink = _zone(spark, "logs-table")
+    J.run_available(J.ingest_day_table(_stream_logs(spark, d).drop("day"), sink, _zone(spark, "ck8"), "INFO"))
+    J.retain_days(spark, sink, "2024-01-31 00:00:00", 10)
+    return spark.read.parquet(sink).agg(F.count("*").alias("kept"))
+
+
+@query("st8_retention_within_day", uses=("logs",), sql="""
+SELECT strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS date, count(*) AS rows_before,
+  count(*) FILTER (WHERE "timestamp" >= TIMESTAMP '2024-01-20 17:45:00') AS rows_after,
+  CASE WHEN CAST("timestamp" AS DATE) < DATE '2024-01-20' THEN 'dropped' ELSE 'rewritten' END AS action
+FROM logs WHERE level <> 'DEBUG' AND CAST("timestamp" AS DATE) <= DATE '2024-01-20' GROUP BY ALL""")
+def st8_within_day(spark, d):
+    """What retention touches when the cutoff lies inside a day: the days before it and that day."""
+    sink = _zone(spark, "logs-table")
+    J.run_available(J.ingest_day_table(_stream_logs(spark, d).drop("day"), sink, _zone(spark, "ck8d"), "INFO"))
+    acts = J.retain_days(spark, sink, "2024-01-30 17:45:00", 10)
+    return acts.select(F.col("date").cast("string").alias("date"), "rows_before", "rows_after", "action")

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordinal import with_group_rank
 from ..session import scratch_path
 
 # File extensions and the format each one selects; anything else reads as JSON.
@@ -111,6 +112,35 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
 
 
 # ------------------------------------------------------------------ IO6–IO13 projections
+def prompt_text_parts(prompts: DataFrame, variants: DataFrame) -> DataFrame:
+    """IO12 text form: (id, part, text).  Part 0 is the prompt (title, description, tags, model type,
+    content), part i its i-th variant by (created_at, id); deleted variants are numbered but not written.
+    The parts of a prompt in order are its text file; no group of variants is gathered in one row.
+
+    ``prompts``: id, title, content, description, tags, model_type; ``variants``: id, prompt_id, strategy,
+    performance_score, content, created_at, deleted_at."""
+    head = F.concat(F.lit("Title: "), "title", F.lit("\n\nDescription: "), F.coalesce(F.nullif("description", F.lit("")), F.lit("N/A")),
+                    F.lit("\n\nTags: "), F.array_join("tags", ", "), F.lit("\n\nModel Type: "), "model_type", F.lit("\n\nContent:\n"), "content", F.lit("\n"))
+    numbered = with_group_rank(variants.join(prompts.select(F.col("id").alias("prompt_id")), "prompt_id", "left_semi"),
+                               ["prompt_id"], ["created_at", "id"], "_r")
+    score = F.when(F.coalesce("performance_score", F.lit(0.0)) == 0, F.lit("N/A")).otherwise(F.col("performance_score").cast("string"))
+    number = (F.col("_r") + 1).cast("int")
+    first = F.when(number == 1, F.lit("\n\nVariants:\n")).otherwise("")
+    block = F.concat(F.lit("\n--- Variant "), number.cast("string"), F.lit(" ---\nStrategy: "), F.coalesce("strategy", F.lit("None")),
+                     F.lit("\nPerformance: "), score, F.lit("\nContent:\n"), F.coalesce("content", F.lit("None")), F.lit("\n"))
+    body = F.concat(first, F.when(F.col("deleted_at").isNull(), block).otherwise(""))
+    parts = numbered.select(F.col("prompt_id").alias("id"), number.alias("part"), body.alias("text")).where("text <> ''")
+    return prompts.select("id", F.lit(0).alias("part"), head.alias("text")).unionByName(parts)
+
+
+def write_text_parts(parts: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Text files with the parts in (id, part) order: range-partitioned, so files follow one another.
+    Every part ends in a line break, which the writer adds."""
+    (parts.repartitionByRange("id", "part").sortWithinPartitions("id", "part")
+     .select(F.regexp_replace("text", "\n$", "").alias("text")).write.mode(mode).text(path))
+    return path
+
+
 def shorten(c, n: int = 100) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("..."))).otherwise(col)

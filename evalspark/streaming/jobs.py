@@ -10,6 +10,7 @@ instead of duplicating it.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.logs import LEVELS, admissions, severity_rank
 from ..session import scratch_path
+from ..sources import day_table
 
 
 def _ckpt(spark: SparkSession, name: str) -> str:
@@ -59,14 +61,17 @@ def ingest_logs(logs: DataFrame, sink: str, checkpoint: str, min_level: str = "I
                .partitionBy("date").outputMode("append"))
 
 
-def retain_days(spark: SparkSession, sink: str, now: str, days: int, out: str) -> DataFrame:
-    """Copy-on-write retention: keep the day partitions on or after ``now − days`` (pruned at
-    the directory level) into a new table version; rows older than the cutoff are dropped."""
-    kept = spark.read.parquet(sink).where(
-        F.col("timestamp") >= F.expr(f"TIMESTAMP_NTZ'{now}'") - F.make_dt_interval(days=F.lit(days)))
-    kept = kept.where(F.col("date") >= F.to_date(F.expr(f"TIMESTAMP_NTZ'{now}'") - F.make_dt_interval(days=F.lit(days))))
-    kept.write.mode("overwrite").partitionBy("date").parquet(out)
-    return spark.read.parquet(out)
+def ingest_day_table(logs: DataFrame, path: str, checkpoint: str, min_level: str = "INFO"):
+    """Severity-filtered ingest into a day table (a folder per day and micro-batch), which retention may
+    change in place: unlike the file sink it keeps no list of its files."""
+    out = logs.where(severity_rank("level") >= F.lit(LEVELS.index(min_level)))
+    return out.writeStream.foreachBatch(day_table.batch_sink(path)).option("checkpointLocation", checkpoint)
+
+
+def retain_days(spark: SparkSession, path: str, now: str, days: int) -> DataFrame:
+    """ST8: drop what is older than ``now − days``: whole days go by folder, one day is rewritten.
+    Returns the days touched."""
+    return day_table.retain(spark, path, dt.datetime.fromisoformat(now) - dt.timedelta(days=days))
 
 
 # ------------------------------------------------------------------ ST2 correlation
