@@ -37,16 +37,6 @@ def collapse_ws(c) -> Column:
     return F.array_join(split_ws(c), " ")
 
 
-def ngrams(tok: Column, n: int) -> Column:
-    """Contiguous n-grams of a token array, each joined by one space (empty if too short)."""
-    if n == 1:
-        return tok
-    grams = F.transform(F.sequence(F.lit(1), F.size(tok) - n + 1),
-                        lambda i: F.array_join(F.slice(tok, i, n), " "))
-    # sequence(1, 0) counts down, so texts shorter than n are handled explicitly.
-    return F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>"))
-
-
 def set_jaccard(a: Column, b: Column, both_empty: float = 1.0, one_empty: float = 0.0) -> Column:
     """|A∩B| / |A∪B| of the token *sets*; the empty cases are parameters (three conventions exist)."""
     sa, sb = F.array_distinct(a), F.array_distinct(b)

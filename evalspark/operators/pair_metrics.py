@@ -59,34 +59,63 @@ NGRAM_TOKENS = 1_000_000  # tokens of the pairs counted at a time, or of one lon
 
 def _grams(codes: np.ndarray, ends: np.ndarray, max_n: int):
     """For n = 1..max_n: (places where an n-gram starts, its number); equal numbers for equal n-grams only.
-    ``ends``: end of the text that each token belongs to."""
-    ids, at = codes, np.arange(len(codes))
+    ``ends``: end of the text that each token belongs to.  Numbers are made of those of two shorter
+    n-grams and ranked again before they could leave 64 bits."""
+    at = np.arange(len(codes))
+    known = {1: codes}  # by n: number of the n-gram at each place, where it fits
     for n in range(1, max_n + 1):
+        fits = at[at + n - 1 < ends[at]]
         if n > 1:
-            fits = at + n - 1 < ends[at]
-            at, ids = at[fits], ids[fits]
-            ids = np.unique(ids * (np.int64(codes.max(initial=0)) + 1) + codes[at + n - 1], return_inverse=True)[1].ravel().astype(np.int64)
-        yield n, at, ids
-
-
-def _clipped(pred: pa.ListArray, ref: pa.ListArray, max_n: int) -> list[np.ndarray]:
-    """Clipped matches of each order and pair: Σ over n-grams of the smaller of both counts."""
+            half = 1 << (n - 1).bit_length() - 1
+            first, second = known[half], known[n - half]
+            ids = np.zeros(len(codes), np.int64)
+            ids[fits] = first[fits] * (second.max(initial=0) + 1) + second[fits + half]
+            if n & (n - 1) == 0 and n < max_n:  # a power of two: longer ones are built on it
+                ids[fits] = np.unique(ids[fits], return_inverse=True)[1].ravel()
+            known[n] = ids
+        yield fits, known[n][fits]
+
+
+def _matches(owner: np.ndarray, second: np.ndarray, ids: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per pair: Σ of the smaller count of each number, and how many numbers are in the first text, in
+    the second and in both."""
+    span = int(ids.max(initial=0)) + 1
+    if span * max(rows, 1) >= 1 << 61:
+        ids, span = np.unique(ids, return_inverse=True)[1].ravel().astype(np.int64), len(ids) + 1
+    key = np.sort((owner * span + ids) * 2 + second)
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    value, count = key[head], np.diff(np.append(head, len(key)))
+    row = (value >> 1) // span
+    both = np.flatnonzero(value[1:] == value[:-1] + 1) if len(value) else head
+    both = both[(value[both] & 1) == 0]
+    least = np.minimum(count[both], count[both + 1])
+    return (np.bincount(row[both], least, rows).astype(np.int64), np.bincount(row[(value & 1) == 0], minlength=rows),
+            np.bincount(row[(value & 1) == 1], minlength=rows), np.bincount(row[both], minlength=rows))
+
+
+def _counted(pred: pa.ListArray, ref: pa.ListArray, max_n: int) -> tuple[list[np.ndarray], tuple, np.ndarray]:
+    """(clipped matches of each order, distinct tokens of pred / ref / both, same token sequence) per pair."""
     rows = len(pred)
-    sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (pred, ref)]).astype(np.int64)
+    lp, lr = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (pred, ref))
+    sizes = np.concatenate([lp, lr])
     words = pa.chunked_array([pred.flatten(), ref.flatten()]).combine_chunks().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     text = np.repeat(np.arange(2 * rows), sizes)
     ends = np.cumsum(sizes)[text]
-    out = []
-    for _, at, ids in _grams(codes, ends, max_n):
-        owner = text[at]
-        key = (owner % max(rows, 1)) * (ids.max(initial=0) + 1) + ids
-        first = owner < rows
-        p, cp = np.unique(key[first], return_counts=True)
-        r, cr = np.unique(key[~first], return_counts=True)
-        both, i, j = np.intersect1d(p, r, assume_unique=True, return_indices=True)
-        out.append(np.bincount(both // (ids.max(initial=0) + 1), np.minimum(cp[i], cr[j]), rows).astype(np.int64))
-    return out
+    out, sets = [], ()
+    for at, ids in _grams(codes, ends, max_n):
+        second = text[at] >= rows
+        m, *distinct = _matches(text[at] - second * rows, second, ids, rows)
+        out.append(m)
+        sets = sets or tuple(distinct)
+    # Same sequences: of equal length, and no place differs.
+    same = lp == lr
+    start = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(rows), lp * same)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(lp * same) - lp * same, lp * same)
+    differs = codes[start[own] + place] != codes[start[rows + own] + place] if len(own) else np.zeros(0, bool)
+    same[own[differs]] = False
+    return out, sets or (np.zeros(rows, np.int64),) * 3, same
 
 
 def _count_batches(names: list[str], max_n: int):
@@ -99,17 +128,19 @@ def _count_batches(names: list[str], max_n: int):
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + NGRAM_TOKENS, "right")))
                 part = batch.slice(a, b - a)
                 pred, ref = part.column("_pt"), part.column("_rt")
-                counts = _clipped(pred, ref, max_n)
+                counts, sets, same = _counted(pred, ref, max_n)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), *(pc.list_value_length(x).cast(pa.int32()) for x in (pred, ref)), *(pa.array(c) for c in counts)],
-                    names=[*names, "lp", "lr", *(f"m{n}" for n in range(1, max_n + 1))])
+                    [*(part.column(c) for c in names), *(pc.list_value_length(x).cast(pa.int32()) for x in (pred, ref)), *(pa.array(c) for c in counts),
+                     *(pa.array(c, pa.int64()) for c in sets), pa.array(same)],
+                    names=[*names, "lp", "lr", *(f"m{n}" for n in range(1, max_n + 1)), "dp", "dr", "db", "same"])
                 a = b
     return run
 
 
 def ngram_match_counts(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
                        max_n: int = 4, carry: list[str] | None = None) -> DataFrame:
-    """Per pair: token counts ``lp``, ``lr`` and clipped n-gram matches ``m1..m{max_n}``.
+    """Per pair: token counts ``lp``, ``lr``, clipped n-gram matches ``m1..m{max_n}``, distinct tokens of pred,
+    ref and both (``dp``, ``dr``, ``db``), and whether the token sequences are the ``same``.
 
     Clipped matches of order n = Σ_g min(count_pred(g), count_ref(g)).  Counting is row-local: tokens
     (split in the JVM) become numbers, n-grams are numbered from (n−1)-grams, and the sorted numbers
@@ -119,7 +150,8 @@ def ngram_match_counts(df: DataFrame, key: str, pred: str = "pred", ref: str = "
     empty = F.array().cast("array<string>")
     base = df.select(*names, F.coalesce(tokens(pred), empty).alias("_pt"), F.coalesce(tokens(ref), empty).alias("_rt"))
     fields = [*base.select(*names).schema.fields, T.StructField("lp", T.IntegerType()), T.StructField("lr", T.IntegerType()),
-              *[T.StructField(f"m{n}", T.LongType()) for n in range(1, max_n + 1)]]
+              *[T.StructField(c, T.LongType()) for c in (*(f"m{n}" for n in range(1, max_n + 1)), "dp", "dr", "db")],
+              T.StructField("same", T.BooleanType())]
     return base.mapInArrow(_count_batches(names, max_n), T.StructType(fields))
 
 
@@ -151,14 +183,18 @@ def rouge_n_from_counts(n: int, lp="lp", lr="lr") -> tuple[Column, Column, Colum
 
 
 def ngram_scores(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
-                 carry: list[str] | None = None) -> DataFrame:
-    """BLEU and ROUGE-1/2 P/R/F per pair (plus the ``carry`` columns)."""
+                 carry: list[str] | None = None, sets: bool = False) -> DataFrame:
+    """BLEU and ROUGE-1/2 P/R/F per pair (plus the ``carry`` columns).  ``sets`` adds ``exact_match`` and
+    ``jaccard`` (as :func:`exact_match` and :func:`token_jaccard` by default), counted in the same pass."""
     c = ngram_match_counts(df, key, pred, ref, 4, carry)
     p1, r1, f1 = rouge_n_from_counts(1)
     p2, r2, f2 = rouge_n_from_counts(2)
+    union = F.col("dp") + F.col("dr") - F.col("db")
+    jac = F.when(union == 0, F.lit(1.0)).otherwise(F.col("db") / union)
     return c.select(key, *(carry or []), bleu_from_counts().alias("bleu"),
                     p1.alias("rouge1_p"), r1.alias("rouge1_r"), f1.alias("rouge1_f"),
-                    p2.alias("rouge2_p"), r2.alias("rouge2_r"), f2.alias("rouge2_f"))
+                    p2.alias("rouge2_p"), r2.alias("rouge2_r"), f2.alias("rouge2_f"),
+                    *([F.col("same").cast("double").alias("exact_match"), jac.alias("jaccard")] if sets else []))
 
 
 # ---------------------------------------------------------------- PM5 ROUGE-L
