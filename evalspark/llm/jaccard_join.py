@@ -1,7 +1,6 @@
 """Near copies by Jaccard similarity of word shingles, with signature trees.
 
-Sets of shingle hashes are handled in four steps; every one is exact, and none gathers the rows of a
-frequent shingle or pairs up a group.
+Sets of shingle hashes (62 bits or more) are handled in four steps; every one is exact on the hashes.
 
 1. *Counting.*  Shingle hashes are dealt out by their top bits, packed in arrays by map task.  A bin's
    task finds the hashes that several documents hold and returns those to the documents, with a class
@@ -9,12 +8,16 @@ frequent shingle or pairs up a group.
    link and leaves.
 2. *Collapsing.*  Equal sets become one row.
 3. *Contracting.*  Sets that meet under a min-hash are compared with up to a few pivots; verified links
-   join sets into components early.  This only saves work; it decides nothing alone.
+   join sets into components.  Rounds with fresh min-hashes go on for the sets whose rare shingles
+   still lie in several components, as long as they join a share of them, so that the members of a
+   large group end in one component before any pair is made.  This only saves work; it decides
+   nothing alone.
 4. *Signature trees.*  Linked sets share a shingle among the rarest of each (prefix filter).  Under
    each such shingle that lies in two or more components, the sets form a tree whose nodes hold the
    OR of their members' bitmaps and their range of sizes.  Pairs of nodes are walked down together;
    a pair is left as soon as the bitmaps and sizes allow no sufficient overlap.  The pairs of sets that
-   remain are verified on the full sets.
+   remain are verified on the full sets: first, in turns, a forest of them between the components,
+   fewer rows than sets; then, when a turn joins no more, all pairs between components that are still apart.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from evalspark.llm.common import text_rows, written
 from evalspark.llm.components import components
 from evalspark.llm.words import U, Words, mix, slices
 
-TOKEN_BYTES = 6  # of a hash; the bin's number gives its top bits too
+TOKEN_BYTES = 7  # of a hash; the bin's number gives its top bits too: 62 to 64 bits in all
 SIGNATURE_WORDS = 32  # 2,048 bits
 BLOCK = 1024  # sets compared at once
+FORESTS = 3  # turns that verify a forest of candidates before all that remain
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +223,12 @@ def _set_rows(percent: int, bits: int):
     return run
 
 
-def _stars(block: list[tuple[int, int, np.ndarray]], percent: int, pivots: int) -> list[tuple[int, int]]:
-    """Verified links of up to ``pivots`` sets with all others of the block; a pivot is a set that no
-    earlier one is linked with.  Stars that share a set are one component: of all links found, a
-    spanning forest is returned, less than one link per set."""
+def _stars(block: list[tuple[int, int, int, np.ndarray]], percent: int, pivots: int) -> list[tuple[int, int]]:
+    """Verified links between components, (component, component), of up to ``pivots`` sets with all others
+    of the block; a pivot is a set whose component no earlier pivot's links have reached.  Of all links
+    found, a spanning forest is returned, less than one link per set."""
     links: list[tuple[int, int]] = []
-    up = list(range(len(block)))
+    up = {c: c for _, c, _, _ in block}
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -232,36 +236,37 @@ def _stars(block: list[tuple[int, int, np.ndarray]], percent: int, pivots: int)
             x = up[x]
         return x
 
-    if len(block) < 2:
+    if len(up) < 2:
         return links
-    sizes = np.asarray([n for _, n, _ in block])
-    lengths = np.asarray([len(k) for _, _, k in block])
-    every, starts = np.concatenate([k for _, _, k in block]), np.cumsum(lengths) - lengths
+    comps = np.asarray([c for _, c, _, _ in block])
+    sizes = np.asarray([n for _, _, n, _ in block])
+    lengths = np.asarray([len(k) for *_, k in block])
+    every, starts = np.concatenate([k for *_, k in block]), np.cumsum(lengths) - lengths
     free = np.ones(len(block), bool)
     for _ in range(pivots):
         if not free.any():
             break
         p = int(np.argmax(free))
         free[p] = False
-        inside = np.isin(every, block[p][2])
+        inside = np.isin(every, block[p][3])
         hit = _enough(np.add.reduceat(inside.astype(np.int64), starts), sizes[p], sizes, percent)
-        hit[p] = False
-        for i in np.flatnonzero(hit).tolist():
-            if top(i) != top(p):
-                up[top(i)] = top(p)
-                links.append((block[p][0], block[i][0]))
-        free[hit] = False
+        for i in np.flatnonzero(hit & (comps != comps[p])).tolist():
+            x, y = top(int(comps[p])), top(int(comps[i]))
+            if x != y:
+                up[y] = x
+                links.append((int(comps[p]), int(comps[i])))
+        free &= ~hit & (comps != comps[p])
     return links
 
 
 def _star_rows(percent: int, pivots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _runs("meet", batches):
-            block: list[tuple[int, int, np.ndarray]] = []
+            block: list[tuple[int, int, int, np.ndarray]] = []
             links: list[tuple[int, int]] = []
             for part in parts:
-                for doc, n, keys in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "keys"))):
-                    block.append((doc, n, np.frombuffer(keys, "<u8")))
+                for doc, comp, n, keys in zip(*(part.column(c).to_pylist() for c in ("doc_id", "component", "n", "keys"))):
+                    block.append((doc, comp, n, np.frombuffer(keys, "<u8")))
                     if len(block) == BLOCK:
                         links += _stars(block, percent, pivots)
                         block = block[:1]
@@ -329,10 +334,31 @@ def walk(x: Node, y: Node, percent: int, emit: Callable[[Node, Node], None]) ->
             stack += [(x, b) for b in y.parts]
 
 
-def _pair_rows(percent: int):
-    """Candidate pairs under one shingle and tile (a pair of blocks of its sets)."""
+def _forest(pairs: list[tuple[Node, Node]], up: dict[int, int], turn: int) -> list[tuple[int, int]]:
+    """Of candidate pairs, in an order of the turn's own, those that join components which earlier ones
+    have not joined: fewer than one per component."""
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k in np.random.default_rng(turn).permutation(len(pairs)).tolist():
+        x, y = pairs[k]
+        a, b = top(x.component), top(y.component)
+        if a != b:
+            up[b] = a
+            out.append((min(x.id, y.id), max(x.id, y.id)))
+    return out
+
+
+def _pair_rows(percent: int, turn: int | None):
+    """Candidate pairs under one shingle and tile (a pair of blocks of its sets): with a ``turn`` a forest
+    of them between the components, else all."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
         for tile, parts in _runs("tile", batches):
             groups: dict[tuple, list[tuple[int, Node]]] = {}
             for part in parts:
@@ -341,10 +367,13 @@ def _pair_rows(percent: int):
                     leaf = Node(id=doc, component=comp, low=n, high=n, bits=np.frombuffer(bits, np.uint64), collided=collided)
                     groups.setdefault((token, i, j), []).append((blk, leaf))
             out: list[tuple[int, int]] = []
+            met: list[tuple[Node, Node]] = []
 
             def emit(x: Node, y: Node) -> None:
                 pair = (min(x.id, y.id), max(x.id, y.id))
-                if pair not in done:
+                if turn is not None:
+                    met.append((x, y))
+                elif pair not in done:
                     done.add(pair)
                     out.append(pair)
 
@@ -357,8 +386,12 @@ def _pair_rows(percent: int):
                         walk(tree, tree, percent, emit)
                 elif left and right:
                     walk(build_tree(left), build_tree(right), percent, emit)
+                out += _forest(met, up, turn or 0)
+                met.clear()
                 if len(done) > 1_000_000:  # only spares repeated output
                     done.clear()
+                if len(up) > 1_000_000:
+                    up.clear()
             for a in range(0, len(out), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a:a + 10_000])], names=["a", "b"])
     return run
@@ -385,14 +418,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.mapInArrow(_verified_rows(percent), "a long, b long")
 
 
-def _meeting_rows(hashes: int):
-    """Each set under its smallest mixed hash, for ``hashes`` mixes."""
+def _meeting_rows(hashes: int, first: int):
+    """Each set under its smallest mixed hash, for ``hashes`` mixes from number ``first`` on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "keys"))):
                 key = np.frombuffer(keys, "<u8").astype(U)
-                out += [(int(mix(key + U(h * 0x51ED27)).min().view(np.int64)), doc) for h in range(hashes)]
+                out += [(int(mix(key + U(h * 0x51ED27)).min().view(np.int64)), doc) for h in range(first, first + hashes)]
             cols = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["meet", "doc_id"])
     return run
@@ -445,41 +478,85 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
                    .select("mark", "doc_id", "n", "keys"), "distinct-sets")
     members = live.select("doc_id", "mark").join(sets.select("mark", F.col("doc_id").alias("stands")), "mark").select("doc_id", "stands")
 
-    # Contraction: a frequent meeting is cut into blocks by a hash of the id.
-    met = sets.mapInArrow(_meeting_rows(meetings), "meet long, doc_id long")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    crowd = met.groupBy("meet").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    places = (met.join(crowd, "meet").select("doc_id", F.xxhash64("meet", F.pmod(salt, F.ceil(F.col("crowd") / BLOCK))).alias("meet")))
-    spread = (sets.select("doc_id", "n", "keys").join(places, "doc_id").select("meet", "doc_id", "n", "keys")
-              .repartition("meet").sortWithinPartitions("meet", "doc_id"))
-    links = spread.mapInArrow(_star_rows(percent, pivots), "a long, b long").checkpoint()
-    labels = components(links)
-
-    def labelled(frame: DataFrame) -> DataFrame:
-        known = labels.withColumnRenamed("id", "doc_id")
-        return frame.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-
-    # Signature trees under the rare shingles that still lie in several components.
-    prefix = labelled(sets.mapInArrow(_prefix_rows(percent), "token long, doc_id long, n long")).checkpoint()
-    split = (prefix.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-             .where("c0 <> c1").select("token", "held"))
-    signed = sets.mapInArrow(_signature_rows, "doc_id long, bits binary, collided long")
-    blocks = F.ceil(F.col("held") / BLOCK)
-    leaves = (prefix.join(split, "token").withColumn("block", F.pmod(F.xxhash64("doc_id", "token"), blocks).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-              .withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4096)))
-              .join(signed, "doc_id").select("tile", "token", "i", "j", "block", "doc_id", "component", "n", "bits", "collided"))
-    pairs = (leaves.repartition("token", "i", "j").sortWithinPartitions("tile")
-             .mapInArrow(_pair_rows(percent), "a long, b long").distinct())
-    more = verify(pairs, sets, percent).checkpoint()
-
-    # The later links join components, not sets: one edge per pair of components.
-    of = lambda end: labelled(more.select(F.col(end).alias("doc_id"), "a", "b")).select("a", "b", F.col("component").alias(f"c{end}"))
-    between = of("a").join(of("b"), ["a", "b"]).select("ca", "cb").distinct().checkpoint()
-    outer = components(between, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("outer"))
-    final = (labelled(members.withColumnsRenamed({"doc_id": "member", "stands": "doc_id"})).join(outer, "component", "left")
-             .select(F.col("member").alias("doc_id"), F.coalesce("outer", "component").alias("component_id")))
+
+    def stars(some: DataFrame, turn: int) -> DataFrame:
+        """Links between components among ``some`` (doc_id, component); a frequent meeting is cut into
+        blocks by a hash of the id."""
+        met = (sets.join(some.select("doc_id"), "doc_id", "left_semi").mapInArrow(_meeting_rows(meetings, turn * meetings), "meet long, doc_id long")
+               .join(some, "doc_id"))
+        crowd = (met.groupBy("meet").agg(F.count(F.lit(1)).alias("crowd"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+                 .where("c0 <> c1").select("meet", "crowd"))
+        # Other blocks each turn: the salt is mixed with its number.
+        part = F.pmod(F.xxhash64(salt, F.lit(turn)), F.ceil(F.col("crowd") / BLOCK))
+        places = met.join(crowd, "meet").select("doc_id", "component", F.xxhash64("meet", part).alias("meet"))
+        spread = (sets.select("doc_id", "n", "keys").join(places, "doc_id").select("meet", "doc_id", "component", "n", "keys")
+                  .repartition("meet").sortWithinPartitions("meet", "doc_id"))
+        return spread.mapInArrow(_star_rows(percent, pivots), "a long, b long").distinct().checkpoint()
+
+    def joined(places: DataFrame, links: DataFrame) -> DataFrame:
+        """(doc_id, component) after the links between components."""
+        outer = components(links).select(F.col("id").alias("component"), F.col("component").alias("outer"))
+        return places.join(outer, "component", "left").select("doc_id", F.coalesce("outer", "component").alias("component"))
+
+    # The rare shingles of each set that other sets hold as rare ones too.
+    rare = sets.mapInArrow(_prefix_rows(percent), "token long, doc_id long, n long")
+    rare = written(rare, "rare-shingles")
+    rare = rare.join(rare.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "token").select("token", "doc_id", "n", "held").checkpoint()
+    def split_under(places: DataFrame) -> tuple[DataFrame, int]:
+        """(token, doc_id, n, held, component) of the rare shingles that lie in several components, and how
+        many sets hold one."""
+        prefix = rare.join(places, "doc_id").checkpoint()
+        split = prefix.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+        prefix = prefix.join(split, "token", "left_semi").checkpoint()
+        return prefix, prefix.select("doc_id").distinct().count()
+
+    places = sets.select("doc_id", F.col("doc_id").alias("component"))
+    turn, frontier = 0, places
+    while True:
+        links = stars(frontier, turn)
+        found = links.count()
+        if found:
+            places = joined(places, links).checkpoint()
+        turn += 1
+        prefix, left = split_under(places)
+        if not left or 4 * found < left or turn >= 8:
+            break
+        frontier = prefix.select("doc_id", "component").distinct()
+
+    # Signature trees under the shingles that are left: turns that verify a forest between the components
+    # while that joins any, then all pairs that remain.
+    signed = written(sets.join(prefix.select("doc_id").distinct(), "doc_id", "left_semi")
+                     .mapInArrow(_signature_rows, "doc_id long, bits binary, collided long"), "signatures")
+
+    def linked(prefix: DataFrame, turn: int | None) -> DataFrame:
+        """Verified links (a, b) between the components' sets."""
+        blocks = F.ceil(F.col("held") / BLOCK)
+        leaves = (prefix.withColumn("block", F.pmod(F.xxhash64("doc_id", "token"), blocks).cast("int"))
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+                  .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+                  .withColumn("tile", F.pmod(F.xxhash64("token", "i", "j"), F.lit(4096)))
+                  .join(signed, "doc_id").select("tile", "token", "i", "j", "block", "doc_id", "component", "n", "bits", "collided"))
+        pairs = (leaves.repartition("token", "i", "j").sortWithinPartitions("tile")
+                 .mapInArrow(_pair_rows(percent, turn), "a long, b long").distinct())
+        return verify(pairs, sets, percent).checkpoint()
+
+    def between(links: DataFrame) -> DataFrame:
+        """One edge per pair of components."""
+        of = lambda end: links.join(places.withColumnsRenamed({"doc_id": end, "component": f"c{end}"}), end)
+        return of("a").join(of("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct().checkpoint()
+
+    for k in range(FORESTS):
+        if not left:
+            break
+        links = linked(prefix, k)
+        if links.isEmpty():
+            break
+        places = joined(places, between(links)).checkpoint()
+        prefix, left = split_under(places)
+    if left:
+        places = joined(places, between(linked(prefix, None)))
+    final = members.join(places.withColumnRenamed("doc_id", "stands"), "stands").select("doc_id", F.col("component").alias("component_id"))
     return sized.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
