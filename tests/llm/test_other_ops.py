@@ -212,7 +212,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert names == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert names == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
