@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,15 +17,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    for scope in _SCOPES:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside when it ends.  What is still needed must be written
+    elsewhere by then (``written`` with a path of its own)."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder (or to ``path``) and read it back."""
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    path = path or scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -35,6 +58,14 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def spread(rows: int, least: int = 64) -> int:
+    """A number of parts for ``rows`` narrow rows: about a million in each, ``least`` parts at least."""
+    return max(least, -(-rows // ROWS_A_TASK))
+
+
 def group_positions(df: DataFrame, group: list[str], order: list[Column], name: str, chunks: int = 64) -> DataFrame:
     """Add a gapless 0-based position inside each group without holding a group in one task.
 
