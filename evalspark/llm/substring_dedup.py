@@ -62,6 +62,13 @@ def _known(batch: pa.RecordBatch, a: int, b: int) -> np.ndarray:
     return batch.column("doc_id").slice(a, b - a).is_valid().to_numpy(zero_copy_only=False)
 
 
+def _with_marks(batch: pa.RecordBatch, rows: np.ndarray, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """The batch of ``columns``, and with the texts' marks of ``rows`` if the input has marks."""
+    if "mark" in batch.schema.names:
+        columns, names = [*columns, batch.column("mark").take(pa.array(rows))], [*names, "mark"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +77,9 @@ def _anchor_rows(length: int):
                 if len(at):
                     keys = w.windows(w.hashes(1), length - PERIOD + 1)[at]
                     place = (at - w.first[:-1][w.doc[at]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(_ids(batch, a, b)[w.doc[at]]), pa.array(place)],
-                        names=["key", "doc_id", "place"])
+                    yield _with_marks(batch, a + w.doc[at],
+                                      [pa.array(keys.view(np.int64)), pa.array(_ids(batch, a, b)[w.doc[at]]), pa.array(place)],
+                                      ["key", "doc_id", "place"])
     return run
 
 
@@ -92,9 +99,9 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = pa.Codec("zstd", compression_level=3)
     for batch in batches:
         raw = [t.encode("utf8") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
-             pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], names=["doc_id", "size", "pressed"])
+        yield _with_marks(batch, np.arange(len(raw)),
+                          [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
+                           pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())], ["doc_id", "size", "pressed"])
 
 
 def _text_slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, Words]]:
@@ -175,19 +182,26 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     A word goes if a window of ``length`` words that covers it also starts earlier (in a document with
     a smaller id, or earlier in the same one).  Null and empty texts have no words.  Rows without an
     id have no place in the order: they neither lose words nor cause losses.  Rows that share an id
-    count as one place, so equal rows lose nothing to each other.  An empty table gives an empty
+    stand at one place: equal or not, they lose nothing to each other, but to smaller ids and to earlier
+    starts in the same text, and larger ids lose to each of them.  An empty table gives an empty
     result; other columns are ignored.
     """
     if length < PERIOD + 1:
         raise ValueError(f"windows need more than {PERIOD} words")
     rows = text_rows(docs, id_col, text_col)
+    # Where different texts share an id, what returns to a row needs the text's hash beside the id.
+    mark = F.xxhash64("text")
+    shared = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b")
+    row_key, more = ["doc_id"], ""
+    if not shared.isEmpty():
+        rows, row_key, more = rows.withColumn("mark", mark), ["doc_id", "mark"], ", mark long"
     known = rows.where(F.col("doc_id").isNotNull())
-    anchors = known.mapInArrow(_anchor_rows(length), "key long, doc_id long, place int")
-    # Of a key that occurs once, the smallest id and place are its own.
-    single = (anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
-              .where("n = 1").groupBy("doc_id").agg(F.collect_list("place").alias("single")))
-    pressed = rows.mapInArrow(_pressed, "doc_id long, size long, pressed binary")
-    base = pressed.join(single, "doc_id", "left")  # used twice in one plan: its exchanges are shared
+    anchors = known.mapInArrow(_anchor_rows(length), f"key long, doc_id long, place int{more}")
+    # Of a key that occurs once, the smallest id, hash and place are its own.
+    single = (anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in [*row_key, "place"]])
+              .where("n = 1").groupBy(*row_key).agg(F.collect_list("place").alias("single")))
+    pressed = rows.mapInArrow(_pressed, f"doc_id long, size long, pressed binary{more}")
+    base = pressed.join(single, row_key, "left")  # used twice in one plan: its exchanges are shared
     windows = base.mapInArrow(_window_rows(length), "key long, more int, doc_id long")
     first = (windows.groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"))
              .groupBy("doc_id").agg(F.collect_list("key").alias("first")))
