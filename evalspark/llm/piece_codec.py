@@ -4,13 +4,16 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the pi
 (then by position) and merges the best pair until none is left; symbols that are no piece become
 byte pieces.  Merges never cross from other characters to a space mark, nor touch a character that no
 piece of two or more characters holds, so a text is encoded segment by segment with a bounded cache
-per worker, and the agendas of all new segments of a block advance together in arrays.  Every segment that is encoded anew is checked against the sentencepiece library in the
-same Arrow batch; a text with a segment on which they differ takes the library's ids.
+per worker.  The agendas of all new short segments of a block advance together in arrays; a long
+segment's agenda is a heap over linked symbols.  Every segment that is encoded anew is checked against
+the sentencepiece library in the same Arrow batch; a text with a segment on which they differ takes the
+library's ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -21,6 +24,10 @@ from pyspark.sql import DataFrame
 from evalspark.llm.common import text_rows
 
 MARK = "▁"
+# Segments from this many characters on go through the heap: array rounds read all symbols for each merge.
+LONG = 256
+# The cache is emptied before the next block when its segments and ids have more characters.
+CACHE_CHARACTERS = 50_000_000
 
 
 class PieceCodec:
@@ -43,6 +50,8 @@ class PieceCodec:
         self.by_segment = (not any(MARK in p.lstrip(MARK) for p in self.ids) and not any("\n" in p for p in self.ids)
                            and len(self.byte_ids) == 256 and lib.normalize(" a  ﬁ\n①") == "▁▁a▁▁ﬁ\n①")
         self.cache: dict[str, tuple[str, int]] = {}
+        self.held = 0  # characters in the cache
+        self._pairs: dict[int, tuple[int, int]] | None = None
         self.names = [str(i) for i in range(size)]
         self._pair_table()
         self.wrong: set[str] = set()
@@ -99,18 +108,58 @@ class PieceCodec:
             todo, slot = todo[on], (slot[on] + 1) & self.mask
         return out
 
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """The pair table as a dictionary, made when a long segment first needs it."""
+        if self._pairs is None:
+            used = np.flatnonzero(self.key >= 0)
+            self._pairs = dict(zip(self.key[used].tolist(), zip(self.rank[used].tolist(), self.merged[used].tolist())))
+        return self._pairs
+
+    def _merge_long(self, segment: str) -> list[int]:
+        """Symbols of one marked segment once its agenda is empty, in n log n steps.
+
+        The agenda is a heap of (rank, place of the left symbol); symbols are linked, and an entry whose
+        symbols have changed since is skipped."""
+        sym = self.symbol_of[np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4")]
+        n = len(sym)
+        slot = self._lookup(sym[:-1] << 21 | sym[1:])
+        at = np.flatnonzero(slot >= 0)
+        agenda = list(zip(self.rank[slot[at]].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist(), self.merged[slot[at]].tolist()))
+        heapq.heapify(agenda)
+        pairs = self.pairs()
+        here, behind, before = sym.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+        while agenda:
+            _, i, a, b, made = heapq.heappop(agenda)
+            j = behind[i]
+            if j < 0 or here[i] != a or here[j] != b:
+                continue
+            here[i], here[j] = made, -1
+            k = behind[i] = behind[j]
+            if k >= 0:
+                before[k] = i
+                if (found := pairs.get(made << 21 | here[k])) is not None:
+                    heapq.heappush(agenda, (found[0], i, made, here[k], found[1]))
+            h = before[i]
+            if h >= 0 and (found := pairs.get(here[h] << 21 | made)) is not None:
+                heapq.heappush(agenda, (found[0], h, here[h], made, found[1]))
+        return [s for s in here if s >= 0]
+
     def agenda(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of marked segments, one after the other, and the number of ids of each.
 
         All segments advance together: each round takes, in every segment, the head of its agenda
         (the adjacent pair with the best score, the leftmost of equals) and merges it; segments
-        with an empty agenda leave.
+        with an empty agenda leave.  Segments of ``LONG`` characters and more go through a heap each.
         """
         never = np.int64(1) << 62
-        text = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")
-        seg = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        text = np.frombuffer("".join([s for s in segments if len(s) < LONG]).encode("utf-32-le", "surrogatepass"), "<u4")
+        seg = np.repeat(np.arange(len(segments)), [len(s) if len(s) < LONG else 0 for s in segments])
         sym = self.symbol_of[text]
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, s in enumerate(segments):
+            if len(s) >= LONG:
+                merged = np.array(self._merge_long(s), np.int64)
+                done.append((np.full(len(merged), k), merged))
         while len(sym):
             n = len(sym)
             keys = np.full(n, -1, np.int64)
@@ -158,6 +207,7 @@ class PieceCodec:
             if theirs[len(head):] != ours:
                 self.wrong.add(s)
             self.cache[s] = (" ".join([names[i] for i in ours]), n)
+            self.held += len(s) + len(self.cache[s][0])
 
     def encode_texts(self, texts: list[str], cache_entries: int = 300_000) -> Iterator[tuple[str, int]]:
         """Of each text: the ids in decimal, joined by one space, and their number; without an end id."""
@@ -178,8 +228,9 @@ class PieceCodec:
             return
         cache = self.cache
         missing = {s for segments in block for s in segments if s not in cache}
-        if len(cache) + len(missing) > cache_entries:
+        if len(cache) + len(missing) > cache_entries or self.held > CACHE_CHARACTERS:
             cache.clear()
+            self.held = 0
             missing = {s for segments in block for s in segments}
         if missing:
             self.learn(list(missing))
