@@ -39,6 +39,7 @@ ALPHABETS = {
 }
 
 
+BLOCK = 1024  # code points of a text's blocks in masking
 SEPARATORS = "-_="  # no data of the tightest encoding, nor evidence against words
 
 
@@ -58,26 +59,32 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _running(values: Column, add) -> Column:
+    """Running totals of a long array under ``add`` (a sum, a maximum), by doubling: n log n steps, as an
+    array that an aggregate appends to would be copied for every entry."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda s: s < F.size(values))
+
+    def once(acc: Column, s: Column) -> Column:
+        ahead = F.zip_with(F.slice(acc, s + 1, F.size(acc) - s), F.slice(acc, F.lit(1), F.size(acc) - s), add)
+        return F.concat(F.slice(acc, F.lit(1), s), ahead)
+
+    return F.aggregate(steps, values, once)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>>: the leftmost non-overlapping matches, in code points.
 
-    The texts between matches come from ``split``; adding up lengths gives the places.
+    The texts between matches come from ``split``; running sums of lengths give the places.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:long,end:long,match:string>>")
 
     def place(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            a = acc["at"] + F.length(pair["gap"])
-            b = a + F.length(pair["match"])
-            span = F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), pair["match"].alias("match"))
-            return F.struct(b.cast("long").alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-        return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        steps = F.zip_with(gaps, matches, lambda gap, match: (F.length(gap) + F.length(match)).cast("long"))
+        spans = _once(steps, lambda x: F.zip_with(_running(x, lambda a, b: a + b), matches, lambda end, match: F.struct(
+            (end - F.length(match)).alias("start"), end.alias("end"), match.alias("match"))))
+        return F.when(F.size(matches) > 0, spans).otherwise(empty)
 
     return _once(found, place)
 
@@ -211,18 +218,34 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, fdr: float = 0.01, id_col
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", alpha: float = 0.01, fdr: float = 0.01, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span in ``text_col`` replaced by ``mask``; other texts and rows unchanged."""
-    judged = judge(written(scan(docs, text_col), "secret-mask"), alpha, fdr)
-    text = F.col(text_col)
+    """``docs`` with every span in ``text_col`` replaced by ``mask`` (overlapping spans by one); other texts,
+    rows and columns, whatever their names, unchanged.  A null text stays null."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = judge(written(scan(packed, f"row.`{text_col}`"), "secret-mask"), alpha, fdr)
+    text = F.col(f"row.`{text_col}`")
     spans = F.array_sort(F.concat("_base", "_random"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # else it overlaps the span before: no second mask
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return judged.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).drop("_base", "_random")
+    # The text in blocks, so that a cut far inside a long text does not start from its beginning.
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def masked(z: Column) -> Column:
+        """``z``: spans in order, the largest end up to each, the text's blocks."""
+        before = F.concat(F.array(F.lit(0).cast("long")), z["ends"])  # the largest end ahead of each span
+        placed = F.zip_with(z["spans"], F.slice(before, F.lit(1), F.size(z["spans"])), lambda s, at: F.struct(
+            at.alias("at"), s["start"].alias("start")))
+        # A span that starts before the largest end overlaps one ahead of it: no second mask.
+        fresh = F.filter(placed, lambda s: s["start"] >= s["at"])
+
+        def cut(a: Column, b: Column) -> Column:
+            parts = F.transform(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK)), lambda i: F.substring(
+                F.element_at(z["blocks"], (i + 1).cast("int")), (F.greatest(a - i * BLOCK, F.lit(0)) + 1).cast("int"),
+                (F.least(b - i * BLOCK, F.lit(BLOCK)) - F.greatest(a - i * BLOCK, F.lit(0))).cast("int")))
+            return F.when(b > a, F.array_join(parts, "")).otherwise("")
+
+        last = F.element_at(z["ends"], -1)
+        heads = F.transform(fresh, lambda s: F.concat(cut(s["at"], s["start"]), F.lit(mask)))
+        return F.concat(F.array_join(heads, ""), cut(last, F.length(text).cast("long")))
+
+    ends = _once(F.transform(spans, lambda s: s["end"]), lambda x: _running(x, lambda a, b: F.greatest(a, b)))
+    state = F.struct(spans.alias("spans"), ends.alias("ends"), blocks.alias("blocks"))
+    result = F.when(F.size("_base") + F.size("_random") > 0, _once(state, masked)).otherwise(text)
+    return judged.select(*[(result if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
