@@ -52,6 +52,12 @@ def _better() -> Column:
                     F.col("file").alias("file"), F.col("row").alias("row"))
 
 
+def _keyed(norm: Column, key: Column) -> list[Column]:
+    """Columns of the landing table."""
+    return [F.col("doc_id"), F.length("text").cast("long").alias("points"), F.col("file"), key.cast("string").alias("digest"),
+            F.sha2(norm, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")]
+
+
 def _stream_groups(rows: DataFrame, folder: str, trigger_bytes: int) -> DataFrame:
     """(digest, n, best) of all rows of the table ``folder``, by a stream over its files."""
     spark = rows.sparkSession
@@ -89,8 +95,7 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.input_file_name().alias("file"))
     norm = normal(F.col("text"))
     key = digest(norm) if digest else F.sha2(norm, 256)
-    keyed = raw.select("doc_id", F.length("text").cast("long").alias("points"), "file", key.cast("string").alias("digest"),
-                       F.sha2(norm, 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
+    keyed = raw.select(*_keyed(norm, key))
     folder = scratch_dir(spark, "dedup-keys")
     keyed.write.parquet(folder)
     rows = spark.read.schema(keyed.schema).parquet(folder)
@@ -105,11 +110,11 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
 
     result = rows.join(groups, "digest")
     if not mixed.isEmpty():
-        # Digests of several texts: their rows are grouped by the text's own SHA-256 and bytes.
-        apart = rows.join(mixed, "digest", "left_semi")
-        by_text = apart.groupBy("digest", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min(_better()).alias("best"))
+        # Digests of several texts: their rows are read again with their texts and grouped by those, byte by byte.
+        apart = written(raw.select(*_keyed(norm, key), norm.alias("norm")).join(mixed, "digest", "left_semi"), "dedup-apart")
+        by_text = apart.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(_better()).alias("best"))
         result = (rows.join(mixed, "digest", "left_anti").join(groups, "digest")
-                  .unionByName(apart.join(by_text, ["digest", "text_sha256"])))
+                  .unionByName(apart.join(by_text, ["digest", "norm"]).drop("norm")))
     return result.select("doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
                          (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
 
@@ -118,7 +123,9 @@ def keep_one(docs: DataFrame, digest: Callable[[Column], Column] | None = None,
     """``docs`` without the rows that ``find_copies`` drops.  Rows with equal id and equal normalised text
     (null ids count as equal here) cannot be told apart and stay or go together."""
     kept = (find_copies(docs, digest, id_col=id_col, text_col=text_col).where("kept")
-            .select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha")).distinct())
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.sha2(normal(text), 256) == F.col("_sha"))
-    return docs.join(kept, same, "left_semi")
+            .select("doc_id", "text_sha256").distinct().alias("_stays"))
+    own = docs.alias("_own")  # qualified, so that no column of the caller's can clash
+    text = F.coalesce(F.col(f"_own.`{text_col}`").cast("string"), F.lit(""))
+    same = (F.col(f"_own.`{id_col}`").cast("long").eqNullSafe(F.col("_stays.doc_id"))
+            & (F.sha2(normal(text), 256) == F.col("_stays.text_sha256")))
+    return own.join(kept, same, "left_semi")

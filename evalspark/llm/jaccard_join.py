@@ -565,5 +565,5 @@ def keep_one(docs: DataFrame, percent: int = 75, shingle: int = 5, id_col: str =
     """``docs`` with one document of each group of near copies, that with the smallest id; documents
     without words are no group, and rows without an id stay."""
     gone = (near_copies(docs, percent, shingle, id_col=id_col, text_col=text_col)
-            .where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+            .where("component_id <> doc_id").select("doc_id").alias("_gone"))
+    return docs.alias("_own").join(gone, F.col(f"_own.`{id_col}`").cast("long") == F.col("_gone.doc_id"), "left_anti")
