@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import group_positions, text_rows, written
+from evalspark.llm.common import group_positions, spread, text_rows, written
 from evalspark.llm.pretokens import id_bytes
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -140,19 +140,20 @@ def slots(chosen: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end_id: int = 0, grain: int = 8, depth: int = 3,
-         id_col: str = "doc_id", text_col: str = "text", chunks: int = 64) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece with the end id only; a null id stays null; repeated rows are
     packed as often as they occur; an empty table gives an empty result; other columns are ignored.
     ``grain`` (a divisor of ``window``) bounds the histogram at ``window / grain`` lengths; ``chunks``
-    is the number of sub-groups a length class is numbered in.
+    is the number of sub-groups a length class is numbered in (by default, about a million pieces each).
     """
     spark = docs.sparkSession
     units = window // grain
     cut = written(pieces(docs, tokenizer_path, window, end_id, id_col, text_col), "pieces")
     cut = cut.withColumn("_class", F.ceil(F.col("length") / grain).cast("int"))
     histogram = {r["_class"]: r["n"] for r in cut.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chunks = chunks or spread(max(histogram.values(), default=0))
     table = slots(plan(histogram, units, depth))
     places = spark.createDataFrame(table, "_class int, _from long, _to long, _first long, _slot int")
     ranked = group_positions(cut, ["_class"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "_rank", chunks)

@@ -10,10 +10,12 @@ lost task repeats them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import group_positions, text_rows, written
+from evalspark.llm.common import ROWS_A_TASK, group_positions, spread, text_rows, written
 
 
 def _uniform(*key: Column) -> Column:
@@ -113,25 +115,29 @@ def communication_matrix(sizes: DataFrame, shards: int, fan: int, seed: int = 0)
     return inner.select((F.col("part") * fan + F.col("i")).cast("int").alias("block"), "counts")
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, fan: int = 16, chunks: int = 64, seed: int = 0,
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, fan: int | None = None, chunks: int | None = None, seed: int = 0,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size (UTF-8 bytes + 1), text_crc32, shard, slot.
 
     Law ``rows``: the shards' row counts differ by at most one.  Null texts are empty; null ids and
     repeated rows are rows like any other; an empty table gives an empty result; other columns are
     ignored.  ``fan * fan`` source blocks and ``chunks`` parts per shard set how finely the two
-    permutations are dealt out over tasks.
+    permutations are dealt out over tasks; by default a part has about a million rows.
     """
-    blocks = fan * fan
     rows = text_rows(docs, id_col, text_col).select(
         "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"))
     key = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    rows = written(rows.withColumn("block", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(blocks)).cast("int")), "shard-rows")
+    rows = written(rows, "shard-rows")
+    n_rows = rows.count()
+    fan = fan or max(16, math.isqrt(n_rows // ROWS_A_TASK) + 1)
+    chunks = chunks or spread(n_rows // shards)
+    blocks = fan * fan
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(blocks)).cast("int"))
     have = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    # At most one entry per block: bounded by fan * fan.
-    known = have.agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("n"))
-    sizes = known.select(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)),
-                                     lambda b: F.coalesce(F.element_at("n", b), F.lit(0).cast("long"))).alias("sizes"))
+    # One entry per block, in order: bounded by fan * fan.
+    every = docs.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block")).join(have, "block", "left")
+    sizes = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0).cast("long")).alias("n")))),
+                                  lambda x: x["n"]).alias("sizes"))
     matrix = communication_matrix(sizes, shards, fan, seed).select(
         "block", F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.aggregate(
             F.slice("counts", F.lit(1), s), F.lit(0).cast("long"), lambda a, x: a + x)).alias("ends"))

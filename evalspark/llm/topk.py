@@ -127,16 +127,19 @@ def _blocks(rows: DataFrame, keys: list[str], most: int, suffix: Column) -> Data
     return dealt.drop("_n")
 
 
-def search(table: DataFrame, is_query: Column, k: int = 5, lanes: int = 16, scale: float = 256.0, id_col: str = "vec_id",
+def search(table: DataFrame, is_query: Column, k: int = 5, lanes: int | None = None, scale: float = 256.0, id_col: str = "vec_id",
            vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products.
 
     ``is_query`` is a condition on ``vec_id``; candidates are all rows but those with the query's id.
     Ties go to the smaller vec_id.  Null, empty and non-finite vectors and null ids take no part;
     vectors of different dimensions are not compared; equal rows are candidates as often as they
-    occur; an empty table gives an empty result; other columns are ignored.
+    occur; an empty table gives an empty result; other columns are ignored.  Rows that share a query's id
+    are one query, whose answers are ranked together.  ``lanes`` is the number of tasks that a
+    dimension's blocks are dealt to (by default, one for 64 blocks and 16 at least).
     """
     rows = written(integer_vectors(table, scale, id_col, vec_col), "vectors")
+    lanes = lanes or max(16, -(-rows.count() // (64 * BLOCK)))
     rows = rows.withColumn("bucket", F.floor(F.log2(F.greatest(F.col("norm"), F.lit(1e-300))) * 4).cast("int"))
     packed = F.collect_list(F.struct("vec_id", "vec"))
     blocks = (_blocks(rows, ["dim", "bucket"], BLOCK, F.lit(7)).groupBy("dim", "bucket", "part")
