@@ -7,7 +7,6 @@ encoded.  No piece is ever shuffled.  The sample decides speed only, never a cou
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,19 +17,28 @@ from pyspark.sql import functions as F
 from evalspark.llm.common import text_rows
 from evalspark.llm.pretokens import coder, pieces_of
 
+PIECE_BYTES = 256
 _MISSES: dict[str, dict[str, int]] = {}
 
 
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, n) of each text; long pieces, which the table leaves out, are not worth a row."""
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            seen = Counter(p for p in pieces_of(text) if len(p) <= PIECE_BYTES and len(p.encode("utf8")) <= PIECE_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+
+
 def frequent_pieces(docs: DataFrame, tokenizer_path: str, sample_rows: int = 512, entries: int = 32_768) -> dict[str, int]:
-    """Token counts of the most frequent pieces of ``sample_rows`` texts under a megabyte (the rows
-    with the smallest hash of their id).  Bounded by ``entries``, however large the corpus is."""
-    rows = (text_rows(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") < 1_000_000))
-            .orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(sample_rows).select("text"))
-    seen: Counter[str] = Counter()
-    for row in rows.toLocalIterator():
-        seen.update(pieces_of(row.text))
-    top = heapq.nlargest(entries, seen.items(), key=lambda x: (x[1], x[0]))
-    words = [w for w, _ in top if not any(s in w for s in coder(tokenizer_path).special)]
+    """Token counts of the most frequent pieces of ``sample_rows`` whole texts: the rows with the smallest
+    hashes of id and text.  The hashes are chosen first, then only their texts are counted, in tasks of
+    their own; at most ``entries`` pieces of at most ``PIECE_BYTES`` bytes reach the driver."""
+    marked = text_rows(docs).withColumn("_hash", F.xxhash64("doc_id", "text", F.lit(8)))
+    chosen = [r["_hash"] for r in marked.select("_hash").orderBy("_hash").limit(sample_rows).collect()]
+    sample = marked.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in set(chosen)], "_hash long")), "_hash", "left_semi")
+    counts = sample.dropDuplicates(["_hash"]).select("text").mapInArrow(_piece_rows, "piece string, n long")
+    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("piece")).limit(entries).collect()
+    words = [r.piece for r in top if not any(s in r.piece for s in coder(tokenizer_path).special)]
     return dict(zip(words, map(len, coder(tokenizer_path).encode(words)))) if words else {}
 
 
