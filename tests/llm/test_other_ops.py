@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -72,6 +73,8 @@ def test_topk_ties_and_odd_vectors(spark):
             want = sorted(((int(i), int(x)) for i, x in zip(ids, s) if i != q), key=lambda p: (-p[1], p[0]))[:5]
             assert found[q] == want
     assert 5050 not in found
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.search(empty, F.col("vec_id") % 50 == 0).collect() == []
 
 
 def base_spans(text):
@@ -105,6 +108,33 @@ def test_mask(spark):
     assert got[3] == "token=secret: abcdefghij🙂 [SECRET]' [SECRET]"
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 tokens of hex in one text: spans and masks in time that grows with the text."""
+    rnd = random.Random(5)
+    text = " ".join("".join(rnd.choices("0123456789abcdef", k=32)) for _ in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, "é🙂 " + text[:5000] + " end")], DOC)
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(df).collect()}
+    assert time.monotonic() - start < 240
+    assert got[1].n_hex == 100_000 and got[1].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert masked[1] == " ".join(["[SECRET]"] * 100_000)
+    assert masked[2].startswith("é🙂 [SECRET] [SECRET]") and masked[2].endswith(" end")
+
+
+def test_mask_with_clashing_names(spark):
+    """Overlapping spans get one mask; a cut may cross the text's blocks; a caller's columns stay."""
+    gap = "plain words é🙂 " * 400
+    text = "token=" + "deadbeef" * 5 + " " + gap + "AKIA" + "Q" * 16 + " " + gap
+    df = spark.createDataFrame([(1, text), (2, None), (3, gap)], DOC)
+    df = df.select("*", *[F.lit(c).alias(c) for c in ("row", "_base", "_found", "_random", "_assign", "_access", "_hex")])
+    out = secret_scan.mask_secrets(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "[SECRET] " + gap + "[SECRET] " + gap
+    assert got[2].text is None and got[3].text == gap and got[1]._base == "_base" and got[1].row == "row"
+
+
 def test_battery_rejects_words_not_noise(spark):
     rnd = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

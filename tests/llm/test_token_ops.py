@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -60,6 +61,22 @@ def test_agenda_is_the_library(place):
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_long_segments_take_near_linear_time(place):
+    """A megabyte without a break, text without spaces, one character repeated: ids as the library's."""
+    path = place("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    codec = piece_codec.PieceCodec(path)
+    rnd = random.Random(3)
+    sample = ["".join(rnd.choices("ABCDEFabcdefghijklmnop0123456789+/", k=1_000_000)), "x" * 100_000,
+              "".join(rnd.choices("的一是不了人我在有他这中大来上国龘", k=50_000)), "".join(rnd.choices(["the", "ing", "a🙂", "\x00"], k=20_000))]
+    sample += ["".join(rnd.choices("etaoin", k=piece_codec.LONG + d)) for d in (-2, -1, 0, 1)]
+    start = time.monotonic()
+    got = list(codec.encode_texts(sample))
+    assert time.monotonic() - start < 60
+    assert [[*map(int, ids.split())] for ids, _ in got] == library.encode(sample)
+    assert not codec.wrong
+
+
 def test_encode_round_trip(spark, clash, place):
     path = place("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -92,6 +92,14 @@ def test_remove_repeats_edges(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_remove_repeats_texts_under_one_id(spark):
+    """Different texts under one id stand at one place; each counts for larger ids."""
+    p, q = (" ".join(f"{c}{i}" for i in range(40)) for c in "pq")
+    df = spark.createDataFrame([(5, p), (5, q), (9, q), (7, p + " " + q), (5, q), (6, "x " + q), (5, p + " " + p)], DOC)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(5, 40, 0), (5, 40, 0), (5, 40, 0), (5, 80, 40), (6, 41, 40), (7, 80, 80), (9, 40, 40)]
+
+
 def test_difference_cover():
     p, c = substring_dedup.PERIOD, substring_dedup.COVER
     assert {(a - b) % p for a in c for b in c} == set(range(p))
@@ -154,3 +162,20 @@ def test_find_copies(spark, clash, tmp_path):
             kept[r.text_sha256] = kept.get(r.text_sha256, 0) + r.kept
         assert set(kept.values()) == {1}
     assert exact_dedup.find_copies(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_find_copies_when_every_hash_collides(spark, monkeypatch):
+    """With one digest and one SHA-256 for all texts, their bytes still tell them apart."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+    rows = [(1, "a b"), (2, "ab "), (3, "b"), (4, "c"), (5, "b\n"), (None, "c")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.find_copies(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {(1, 1, 2, True), (2, 1, 2, False), (3, 5, 2, False), (5, 5, 2, True), (4, 4, 2, True), (None, 4, 2, False)}
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words"), (None, "x")]
+    df = spark.createDataFrame(rows, DOC).select("*", *[F.lit(1).alias(c) for c in ("_kept", "_sha", "_gone", "text_sha256", "_own")])
+    for keep in (exact_dedup.keep_one, jaccard_join.keep_one):
+        out = keep(df)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3]
