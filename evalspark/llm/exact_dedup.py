@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import scratch_dir, written
+from evalspark.llm.common import scratch_dir, scratch_scope, written
 
 SPACE = " \t\n\x0b\x0c\r"
 STATE_STORE = {
@@ -26,6 +26,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Stores of a stream that has ended give back their memory and disk soon.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
@@ -99,7 +101,9 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
     folder = scratch_dir(spark, "dedup-keys")
     keyed.write.parquet(folder)
     rows = spark.read.schema(keyed.schema).parquet(folder)
-    groups = written(_stream_groups(rows, folder, trigger_bytes), "dedup-state-out")
+    out = scratch_dir(spark, "dedup-state-out")
+    with scratch_scope(spark):  # the stream's state and batches are not read again
+        groups = written(_stream_groups(rows, folder, trigger_bytes), "", out)
 
     # Full bytes of every hit: rows of digests seen more than once, spread by id, combined in each task.
     hits = groups.where("n > 1").select("digest")
