@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import scratch_dir, scratch_scope, written
+from evalspark.llm.common import scratch_dir, scratch_scope, settled, written
 
 SPACE = " \t\n\x0b\x0c\r"
 STATE_STORE = {
@@ -126,8 +126,10 @@ def find_copies(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
 def keep_one(docs: DataFrame, digest: Callable[[Column], Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``find_copies`` drops.  Rows with equal id and equal normalised text
     (null ids count as equal here) cannot be told apart and stay or go together."""
-    kept = (find_copies(docs, digest, id_col=id_col, text_col=text_col).where("kept")
-            .select("doc_id", "text_sha256").distinct().alias("_stays"))
+    def stays() -> DataFrame:
+        return find_copies(docs, digest, id_col=id_col, text_col=text_col).where("kept").select("doc_id", "text_sha256").distinct()
+
+    kept = settled(docs.sparkSession, "dedup-stays", stays).alias("_stays")
     own = docs.alias("_own")  # qualified, so that no column of the caller's can clash
     text = F.coalesce(F.col(f"_own.`{text_col}`").cast("string"), F.lit(""))
     same = (F.col(f"_own.`{id_col}`").cast("long").eqNullSafe(F.col("_stays.doc_id"))

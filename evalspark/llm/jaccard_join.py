@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import text_rows, written
+from evalspark.llm.common import settled, text_rows, written
 from evalspark.llm.components import components
 from evalspark.llm.words import U, Words, mix, slices
 
@@ -462,8 +462,14 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
     100 * intersection >= percent * union; component_id is the smallest id reachable by links.  Null,
     empty and blank texts have an empty set and no link.  Rows without an id are left out; rows that
     share an id are one document.  An empty table gives an empty result; other columns are ignored.
+    The result is a written table; the larger ones made on the way are deleted.
     """
-    bits = bin_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return settled(docs.sparkSession, "near-copies", lambda: _near_copies(docs, percent, shingle, pivots, meetings, id_col, text_col))
+
+
+def _near_copies(docs: DataFrame, percent: int, shingle: int, pivots: int, meetings: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    bits = bin_bits(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = text_rows(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     chunks = rows.mapInArrow(_chunk_rows(shingle, bits), "bin int, ids binary, sizes binary, counts binary, keys binary")
     shared = (chunks.repartition(1 << bits, "bin").sortWithinPartitions("bin")
@@ -492,23 +498,32 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
         places = met.join(crowd, "meet").select("doc_id", "component", F.xxhash64("meet", part).alias("meet"))
         spread = (sets.select("doc_id", "n", "keys").join(places, "doc_id").select("meet", "doc_id", "component", "n", "keys")
                   .repartition("meet").sortWithinPartitions("meet", "doc_id"))
-        return spread.mapInArrow(_star_rows(percent, pivots), "a long, b long").distinct().checkpoint()
+        return written(spread.mapInArrow(_star_rows(percent, pivots), "a long, b long").distinct(), "stars")
 
-    def joined(places: DataFrame, links: DataFrame) -> DataFrame:
+    def joined(places: DataFrame, links: Callable[[], DataFrame]) -> DataFrame:
         """(doc_id, component) after the links between components."""
-        outer = components(links).select(F.col("id").alias("component"), F.col("component").alias("outer"))
-        return places.join(outer, "component", "left").select("doc_id", F.coalesce("outer", "component").alias("component"))
+        def make() -> DataFrame:
+            outer = components(links()).select(F.col("id").alias("component"), F.col("component").alias("outer"))
+            return places.join(outer, "component", "left").select("doc_id", F.coalesce("outer", "component").alias("component"))
+        return settled(spark, "places", make)
 
     # The rare shingles of each set that other sets hold as rare ones too.
-    rare = sets.mapInArrow(_prefix_rows(percent), "token long, doc_id long, n long")
-    rare = written(rare, "rare-shingles")
-    rare = rare.join(rare.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "token").select("token", "doc_id", "n", "held").checkpoint()
+    def rare_held() -> DataFrame:
+        every = written(sets.mapInArrow(_prefix_rows(percent), "token long, doc_id long, n long"), "rare-shingles")
+        held = every.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        return every.join(held, "token").select("token", "doc_id", "n", "held")
+
+    rare = settled(spark, "rare-held", rare_held)
+
     def split_under(places: DataFrame) -> tuple[DataFrame, int]:
         """(token, doc_id, n, held, component) of the rare shingles that lie in several components, and how
         many sets hold one."""
-        prefix = rare.join(places, "doc_id").checkpoint()
-        split = prefix.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-        prefix = prefix.join(split, "token", "left_semi").checkpoint()
+        def make() -> DataFrame:
+            placed = written(rare.join(places, "doc_id"), "rare-placed")
+            split = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+            return placed.join(split, "token", "left_semi")
+
+        prefix = settled(spark, "rare-split", make)
         return prefix, prefix.select("doc_id").distinct().count()
 
     places = sets.select("doc_id", F.col("doc_id").alias("component"))
@@ -517,7 +532,7 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
         links = stars(frontier, turn)
         found = links.count()
         if found:
-            places = joined(places, links).checkpoint()
+            places = joined(places, lambda: links)
         turn += 1
         prefix, left = split_under(places)
         if not left or 4 * found < left or turn >= 8:
@@ -539,12 +554,12 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
                   .join(signed, "doc_id").select("tile", "token", "i", "j", "block", "doc_id", "component", "n", "bits", "collided"))
         pairs = (leaves.repartition("token", "i", "j").sortWithinPartitions("tile")
                  .mapInArrow(_pair_rows(percent, turn), "a long, b long").distinct())
-        return verify(pairs, sets, percent).checkpoint()
+        return written(verify(pairs, sets, percent), "links")
 
     def between(links: DataFrame) -> DataFrame:
         """One edge per pair of components."""
         of = lambda end: links.join(places.withColumnsRenamed({"doc_id": end, "component": f"c{end}"}), end)
-        return of("a").join(of("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct().checkpoint()
+        return of("a").join(of("b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
     for k in range(FORESTS):
         if not left:
@@ -552,10 +567,10 @@ def near_copies(docs: DataFrame, percent: int = 75, shingle: int = 5, pivots: in
         links = linked(prefix, k)
         if links.isEmpty():
             break
-        places = joined(places, between(links)).checkpoint()
+        places = joined(places, lambda: between(links))
         prefix, left = split_under(places)
     if left:
-        places = joined(places, between(linked(prefix, None)))
+        places = joined(places, lambda: between(linked(prefix, None)))
     final = members.join(places.withColumnRenamed("doc_id", "stands"), "stands").select("doc_id", F.col("component").alias("component_id"))
     return sized.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -179,3 +179,17 @@ def test_keep_one_with_clashing_names(spark):
         out = keep(df)
         assert out.columns == df.columns
         assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3]
+
+
+def test_only_results_stay_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """near_copies, components and exact_dedup.keep_one leave one written table each; the tables on the way go."""
+    from evalspark.llm import common
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: str(tmp_path / name))
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 3, 40 + i % 3))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in jaccard_join.near_copies(docs).collect()} == {0}
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["near", "copies"]]
+    ends = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
+    assert {(r.id, r.component) for r in components(ends).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [0, 1, 2]
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["components", "dedup", "near"]
