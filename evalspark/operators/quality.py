@@ -158,22 +158,69 @@ def redact_record(df: DataFrame) -> DataFrame:
                        for f in df.schema])
 
 
-# ------------------------------------------------------------------ VP1 / VP4 / VP5 / VP7 single pass
+# ------------------------------------------------------------------ VP1 / VP4 / VP5 / VP6 single pass
+def table_profile(df: DataFrame, rows: bool = False) -> DataFrame:
+    """(i, column, type, null_count, unique_count, n_rows): one row per column, from one scan.
+
+    Every value goes as a narrow (column, 128-bit hash) cell through two levels of aggregation: equal
+    cells are combined in the map tasks, so a value that a third of all rows share is one row of the
+    shuffle, and texts never leave their task.  ``rows`` adds a line with column NULL for whole rows
+    (NULLs equal); its unique_count is the number of different rows."""
+    def cell(i: int, missing: Column, *values: Column) -> Column:
+        return F.struct(F.lit(i).alias("i"), missing.alias("missing"), F.xxhash64(F.lit(1), *values).alias("h1"), F.xxhash64(F.lit(2), *values).alias("h2"))
+
+    cells = [cell(i, F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for i, c in enumerate(df.columns)]
+    names = [F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema)]
+    if rows:  # a hash skips NULLs, so the flags tell (NULL, 1) from (1, NULL)
+        flagged = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+        cells.append(cell(-1, F.lit(False), *flagged))
+        names.append(F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("type")))
+    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "missing", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    stats = counted.groupBy("i").agg(F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("null_count"),
+                                     F.count_if(~F.col("missing")).alias("unique_count"), F.sum("n").alias("n_rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)  # noqa: E731  an empty table has no cells
+    every = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return every.join(F.broadcast(stats), "i", "left").select("i", "column", "type", zero("null_count"), zero("unique_count"), zero("n_rows"))
+
+
 def column_stats(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Per column: type, nullable, null count, distinct non-null count (long table; one scan)."""
-    n = F.count(F.lit(1)).alias("_n")
-    aggs = [n]
+    """VP1: per column its type, nullable, null count, distinct non-null count (long table; one scan)."""
+    if not approx_distinct:
+        return table_profile(df).select("column", "type", (F.col("null_count") > 0).alias("nullable"), "null_count", "unique_count", "n_rows")
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for c in df.columns:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"nulls__{c}"))
-        dist = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
-        aggs.append(dist.alias(f"distinct__{c}"))
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
-                     F.col(f"nulls__{c}").alias("null_count"), F.col(f"distinct__{c}").alias("unique_count"))
-            for c in df.columns]
-    return wide.select("_n", F.explode(F.array(*rows)).alias("s")).select(
-        "s.column", "s.type", (F.col("s.null_count") > 0).alias("nullable"), "s.null_count", "s.unique_count",
-        F.col("_n").alias("n_rows"))
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls__{c}"), F.approx_count_distinct(c).alias(f"distinct__{c}")]
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+                      F.col(f"nulls__{c}").alias("null_count"), F.col(f"distinct__{c}").alias("unique_count")) for c in df.columns]
+    return df.agg(*aggs).select("_n", F.inline(F.array(*cells))).select(
+        "column", "type", (F.col("null_count") > 0).alias("nullable"), "null_count", "unique_count", F.col("_n").alias("n_rows"))
+
+
+def _findings(profile: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """(rule, severity, column, message) of each profile line and each (rule, severity, condition,
+    message) whose condition holds there: all rules read one profile."""
+    held = F.filter(F.array(*[F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "column", text.alias("message")))
+                              for rule, severity, when, text in rules]), lambda x: x.isNotNull())
+    return profile.select(F.inline(held))
+
+
+def _quality_rules() -> list[tuple[str, str, Column, Column]]:
+    column, whole = F.col("column").isNotNull(), F.col("column").isNull()
+    rate, repeats = F.col("null_count") / F.nullif("n_rows", F.lit(0)), F.col("n_rows") - F.col("unique_count")
+    return [("empty_column", "warning", column & (F.col("null_count") == F.col("n_rows")), F.concat(F.lit("Column '"), "column", F.lit("' is completely empty"))),
+            ("high_missing_rate", "warning", column & (rate > 0.5),
+             F.concat(F.lit("Column '"), "column", F.lit("' has high missing value rate: "), F.format_number(rate * 100, 2), F.lit("%"))),
+            ("duplicates", "warning", whole & (repeats > 0), F.concat(F.lit("Found "), repeats.cast("string"), F.lit(" duplicate records")))]
+
+
+def _suggestion_rules(max_rows: int) -> list[tuple[str, str, Column, Column]]:
+    few = F.col("unique_count") / F.nullif("n_rows", F.lit(0)) < 0.1
+    return [("categorical", "suggestion", (F.col("type") == "string") & few, F.concat(F.lit("Consider converting '"), "column", F.lit("' to categorical type"))),
+            ("sample", "suggestion", F.col("column").isNull() & (F.col("n_rows") > max_rows), F.lit("Consider sampling the dataset for faster processing"))]
+
+
+def _null_message(column: str) -> Column:
+    return F.concat(F.lit("Column '"), F.col(column), F.lit("' contains null values but is marked as non-nullable"))
 
 
 def schema_compliance(df: DataFrame, expected: dict[str, dict]) -> DataFrame:
@@ -198,22 +245,13 @@ def schema_compliance(df: DataFrame, expected: dict[str, dict]) -> DataFrame:
     nulls = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in null_checks])).alias("s")) \
         .where(F.col("s.n") > 0).select(
             F.lit("null_in_non_nullable").alias("rule"), F.lit("error").alias("severity"), F.col("s.column").alias("column"),
-            F.concat(F.lit("Column '"), F.col("s.column"), F.lit("' contains null values but is marked as non-nullable")).alias("message"))
+            _null_message("s.column").alias("message"))
     return meta.unionByName(nulls)
 
 
 def data_quality(df: DataFrame) -> DataFrame:
-    """VP4: all-NULL columns, duplicate rows (N − distinct, NULLs equal) and missing rate > 0.5."""
-    stats = column_stats(df)
-    empty = stats.where(F.col("null_count") == F.col("n_rows")).select(
-        F.lit("empty_column").alias("rule"), F.lit("warning").alias("severity"), "column",
-        F.concat(F.lit("Column '"), F.col("column"), F.lit("' is completely empty")).alias("message"))
-    rate = F.col("null_count") / F.col("n_rows")
-    high = stats.where(rate > 0.5).select(
-        F.lit("high_missing_rate").alias("rule"), F.lit("warning").alias("severity"), "column",
-        F.concat(F.lit("Column '"), F.col("column"), F.lit("' has high missing value rate: "),
-                 F.format_number(rate * 100, 2), F.lit("%")).alias("message"))
-    return empty.unionByName(high).unionByName(duplicate_rule(df))
+    """VP4: all-NULL columns, duplicate rows (N − distinct, NULLs equal) and missing rate > 0.5; one scan."""
+    return _findings(table_profile(df, rows=True), _quality_rules())
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -221,37 +259,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
 
 
-def duplicate_rule(df: DataFrame) -> DataFrame:
-    return duplicate_rows(df).where(F.col("duplicates") > 0).select(
-        F.lit("duplicates").alias("rule"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("column"),
-        F.concat(F.lit("Found "), F.col("duplicates").cast("string"), F.lit(" duplicate records")).alias("message"))
-
-
 def suggestions(df: DataFrame, max_rows: int = 10000) -> DataFrame:
-    """VP5: text column with distinct/N < 0.1 ⇒ categorical; more than ``max_rows`` rows ⇒ sample."""
-    stats = column_stats(df).where(F.col("type") == "string")
-    cat = stats.where(F.col("unique_count") / F.col("n_rows") < 0.1).select(
-        F.lit("categorical").alias("rule"), F.lit("suggestion").alias("severity"), "column",
-        F.concat(F.lit("Consider converting '"), F.col("column"), F.lit("' to categorical type")).alias("message"))
-    big = df.agg(F.count("*").alias("n")).where(F.col("n") > max_rows).select(
-        F.lit("sample").alias("rule"), F.lit("suggestion").alias("severity"), F.lit(None).cast("string").alias("column"),
-        F.lit("Consider sampling the dataset for faster processing").alias("message"))
-    return cat.unionByName(big)
+    """VP5: text column with distinct/N < 0.1 ⇒ categorical; more than ``max_rows`` rows ⇒ sample; one scan."""
+    return _findings(table_profile(df, rows=True), _suggestion_rules(max_rows))
 
 
 def validate_dataset(df: DataFrame, expected: dict | None = None, max_rows: int = 10000) -> DataFrame:
-    """VP6: empty ⇒ one error; else VP2 + VP4 + VP5 and the row-limit warning."""
-    n = df.agg(F.count("*").alias("n"))
-    empty = n.where(F.col("n") == 0).select(F.lit("empty").alias("rule"), F.lit("error").alias("severity"),
-                                            F.lit(None).cast("string").alias("column"), F.lit("Dataset is empty").alias("message"))
-    parts = [empty]
-    if expected:
-        parts.append(schema_compliance(df, expected))
-    parts += [data_quality(df), suggestions(df, max_rows),
-              n.where(F.col("n") > max_rows).select(
-                  F.lit("row_limit").alias("rule"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("column"),
-                  F.concat(F.lit("Dataset has "), F.col("n").cast("string"), F.lit(" rows, more than recommended")).alias("message"))]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """VP6: empty ⇒ one error; else VP2 + VP4 + VP5 and the row-limit warning.  All rules read one
+    profile, made in one scan; what VP2 says of the schema alone needs none."""
+    whole = F.col("column").isNull()
+    rules = [("empty", "error", whole & (F.col("n_rows") == 0), F.lit("Dataset is empty")), *_quality_rules(), *_suggestion_rules(max_rows),
+             ("row_limit", "warning", whole & (F.col("n_rows") > max_rows),
+              F.concat(F.lit("Dataset has "), F.col("n_rows").cast("string"), F.lit(" rows, more than recommended")))]
+    strict = [c for c, spec in (expected or {}).items() if c in df.columns and not spec.get("nullable", True)]
+    rules.append(("null_in_non_nullable", "error", F.col("column").isin(strict) & (F.col("null_count") > 0), _null_message("column")))
+    found = _findings(table_profile(df, rows=True), rules)
+    lenient = {c: {**spec, "nullable": True} for c, spec in (expected or {}).items()}
+    return schema_compliance(df, lenient).unionByName(found) if expected else found
 
 
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -73,7 +73,10 @@ def prefix_len(n: Column, t: float) -> Column:
     return n - F.ceil(n * F.lit(t) - F.lit(1e-9)) + 1
 
 
-def similarity_join(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+JOIN_TILE = 2048  # holders of a prefix token that meet in one tile
+
+
+def similarity_join(sets: DataFrame, key: str, threshold: float, tile: int = JOIN_TILE) -> DataFrame:
     """Edges (a, b, jaccard) with a < b and token-set Jaccard > threshold, among the given sets
     (call on representatives: identical sets are collapsed beforehand).
 
@@ -81,7 +84,11 @@ def similarity_join(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     |x| − ⌈t·|x|⌉ + 1 rarest tokens of each set), length (t·|a| ≤ |b| ≤ |a|/t) and position
     (tokens are in one global order, so every common token lies at or after the first common
     prefix position in both sets: overlap ≤ min(|a| − pos_a, |b| − pos_b), which must reach
-    ⌈t/(1+t)·(|a|+|b|)⌉).  Survivors are verified with one ``array_intersect``."""
+    ⌈t/(1+t)·(|a|+|b|)⌉).  Survivors are verified with one ``array_intersect``.
+
+    The holders of a prefix token that more than ``tile`` prefixes hold are dealt into blocks by a hash
+    of their key, and each pair of blocks is a join key of its own: a hot token spreads over tasks, a
+    holder is copied once per block, and each pair still meets exactly once under the token."""
     ex = sets.select(key, "n", F.explode("toks").alias("tok"))
     df_tok = ex.groupBy("tok").agg(F.count("*").alias("df"))
     ranked = ex.join(df_tok, "tok")
@@ -91,9 +98,16 @@ def similarity_join(sets: DataFrame, key: str, threshold: float) -> DataFrame:
     # exploded into the candidate join.
     prefix = (ordered.select(key, "n", F.posexplode(F.slice("_o", 1, plen)).alias("pos", "_p"))
               .where(F.col("_p.df") > 1).select(key, "n", "pos", F.col("_p.tok").alias("tok")))
-    a = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "tok")
-    b = prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "tok")
-    pairs = (a.join(b, "tok").where((F.col("a") < F.col("b"))
+    hot = (prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > tile)
+           .select("tok", F.ceil(F.col("_c") / tile).cast("int").alias("_blocks")))
+    tiled = (prefix.join(hot, "tok", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+             .withColumn("blk", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+             .withColumn("i", F.least("blk", "_other")).withColumn("j", F.greatest("blk", "_other")))
+    a = tiled.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("blk").alias("ba"), "tok", "i", "j")
+    b = tiled.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("blk").alias("bb"), "tok", "i", "j")
+    # In a tile of two blocks, members of one block leave each other to that block's own tile.
+    pairs = (a.join(b, ["tok", "i", "j"]).where((F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("ba") != F.col("bb")))
                                     & (F.col("nb") >= F.col("na") * threshold) & (F.col("na") >= F.col("nb") * threshold))
              .groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb")))
     need = F.ceil(F.lit(threshold / (1.0 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))

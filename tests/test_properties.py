@@ -199,3 +199,30 @@ def test_render_template(spark):
     assert r == "Hi Ann, rate {{item}}"
     issues = {(x["variable"], x["severity"]) for x in C.template_variable_issues(df, "k", "t", "v").collect()}
     assert issues == {("item", "error"), ("extra", "warning")}
+
+
+def test_similarity_join_splits_hot_tokens(spark):
+    """Near copies of one text share all prefix tokens: any tile size gives the brute-force links, each once."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, sorted(set(words) - set(rng.sample(words, rng.randint(0, 5))) | {f"own{i % 40}"})) for i in range(90)]
+    rows = [r for i, r in enumerate(rows) if r[1] not in [x[1] for x in rows[:i]]]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) / len({*x} | {*y}) > 0.8}
+    sets = spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, toks array<string>, n int")
+    for tile in (4, 2048):
+        got = [(r.a, r.b) for r in SIM.similarity_join(sets, "doc_id", 0.8, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_table_profile_counts(spark):
+    """Null, distinct and repeated-row counts of one pass against counting in Python; empty tables too."""
+    from evalspark.operators import quality as Q
+    rows = [(1, None, "a"), (None, 1, "a"), (1, None, "a"), (2, 2, None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "x int, `y.z` int, s string")
+    got = {r["column"]: (r.null_count, r.unique_count, r.n_rows) for r in Q.table_profile(df, rows=True).collect()}
+    assert got == {"x": (3, 2, 6), "y.z": (4, 2, 6), "s": (3, 1, 6), None: (0, 4, 6)}
+    assert Q.data_quality(df).where("rule = 'duplicates'").first().message == "Found 2 duplicate records"
+    empty = {r["column"]: (r.null_count, r.unique_count, r.n_rows) for r in Q.table_profile(df.limit(0), rows=True).collect()}
+    assert set(empty.values()) == {(0, 0, 0)} and set(empty) == set(got)
+    assert "empty" in {r.rule for r in Q.validate_dataset(df.limit(0)).collect()}
+    assert Q.table_profile(df, rows=True)._jdf.queryExecution().executedPlan().toString().count("Scan ") <= 2  # the rows, the column list
