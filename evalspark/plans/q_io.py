@@ -17,7 +17,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 @query("io1_csv_roundtrip", sql="SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
 def io1(spark, d):
     p = IO.write_csv(table(spark, d, "documents"), IO.new_scratch(spark, "docs-csv"))
-    back = IO.load_csv(spark, p, DOC_SCHEMA)
+    back = IO.load_csv(spark, p, DOC_SCHEMA, multi_line=True)
     return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
 
 
@@ -70,7 +70,7 @@ def io5(spark, d):
                              ("parquet", ".parquet", IO.write_parquet), ("json", ".data", IO.write_json_array)):
         p = writer(docs, f"{base}/docs{ext}")
         # ".data" is not a known extension: it falls back to JSON
-        df = IO.load_dataset(spark, p, None if fmt != "jsonl" else None, DOC_SCHEMA if fmt != "parquet" else None)
+        df = IO.load_dataset(spark, p, None, DOC_SCHEMA if fmt != "parquet" else None, multi_line=True)
         c = df.agg(F.lit(fmt).alias("fmt"), F.count("*").alias("n"))
         out = c if out is None else out.unionByName(c)
     return out
@@ -81,7 +81,7 @@ SELECT id, level, message, metadata FROM logs ORDER BY "timestamp" DESC, id DESC
 def io6(spark, d):
     lg = B.logs(spark, d).orderBy(F.col("timestamp").desc(), F.col("id").desc()).select("id", "level", "message", "metadata")
     p = IO.write_csv(lg, IO.new_scratch(spark, "logs-csv"))
-    return IO.load_csv(spark, p, "id BIGINT, level STRING, message STRING, metadata STRING")
+    return IO.load_csv(spark, p, "id BIGINT, level STRING, message STRING, metadata STRING", multi_line=True)
 
 
 @query("io7_request_log_csv", uses=("prompt_logs",), sql="""
@@ -95,7 +95,7 @@ def io7(spark, d):
     pl = pl.withColumnRenamed("p3", "prompt")
     proj = IO.request_log_csv_projection(pl)
     p = IO.write_csv(proj, IO.new_scratch(spark, "reqlog-csv"))
-    return IO.load_csv(spark, p, "request_id BIGINT, prompt STRING, response STRING, tags STRING").select(
+    return IO.load_csv(spark, p, "request_id BIGINT, prompt STRING, response STRING, tags STRING", multi_line=True).select(
         "request_id", "prompt", "response", "tags")
 
 

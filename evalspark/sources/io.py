@@ -29,8 +29,10 @@ def new_scratch(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------------ IO1–IO5
-def load_csv(spark: SparkSession, path: str, schema=None, encoding: str = "utf-8", header: bool = True) -> DataFrame:
-    r = (spark.read.options(**TS_OPTS).option("header", header).option("encoding", encoding).option("multiLine", True)
+def load_csv(spark: SparkSession, path: str, schema=None, encoding: str = "utf-8", header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Files are split over tasks.  ``multi_line`` is for files whose quoted fields hold line breaks: those are
+    read by one task a file, and without it such records come out torn."""
+    r = (spark.read.options(**TS_OPTS).option("header", header).option("encoding", encoding).option("multiLine", multi_line)
          .option("escape", '"').option("quote", '"'))
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     return r.csv(path)
@@ -60,13 +62,14 @@ def detect_format(path: str) -> str:
     return EXTENSION_FORMATS.get(ext, "json")
 
 
-def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None) -> DataFrame:
-    """Dispatch on the format (given, or from the extension; unknown extensions read as JSON)."""
+def load_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None, multi_line: bool = False) -> DataFrame:
+    """Dispatch on the format (given, or from the extension; unknown extensions read as JSON).
+    ``multi_line`` goes to the CSV reader."""
     fmt = (fmt or detect_format(path)).lower()
     if fmt not in SUPPORTED:
         raise ValueError(f"Unsupported format: {fmt}")
     if fmt == "csv":
-        return load_csv(spark, path, schema)
+        return load_csv(spark, path, schema, multi_line=multi_line)
     if fmt == "json":
         return load_json(spark, path, schema)
     if fmt == "jsonl":
@@ -85,21 +88,26 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """One JSON document per partition whose root is the list of that partition's records (the
-    shape ``load_json`` reads).  Each document is assembled inside its own task; memory is bounded
-    by the partition, and nothing passes through the driver."""
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite", most_chars: int = 32 << 20) -> str:
+    """JSON documents whose root is a list of records (the shape ``load_json`` reads), a file each.  A task
+    closes a document once its records pass ``most_chars`` characters, so neither writing nor reading
+    holds a whole partition, and nothing passes through the driver."""
     lines = df.select(F.to_json(F.struct(*df.columns), TS_OPTS).alias("j"))
 
     def to_docs(batches):
         import pandas as pd
-        parts = []
+        parts, held = [], 0
         for b in batches:
-            parts.extend(b["j"].tolist())
+            for record in b["j"]:
+                parts.append(record)
+                held += len(record) + 1
+                if held > most_chars:
+                    yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
+                    parts, held = [], 0
         if parts:
             yield pd.DataFrame({"value": ["[" + ",".join(parts) + "]"]})
 
-    lines.mapInPandas(to_docs, "value string").write.mode(mode).text(path)
+    lines.mapInPandas(to_docs, "value string").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
     return path
 
 

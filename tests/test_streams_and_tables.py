@@ -198,3 +198,26 @@ def test_ngram_counts_equal_counters(spark, monkeypatch):
         for n in range(1, 6):
             a, b = (Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in (p, q))
             assert r[f"m{n}"] == sum((a & b).values())
+
+
+# ------------------------------------------------------------------ sources
+def test_json_documents_are_bounded_and_csv_is_split(spark, tmp_path):
+    """Every record comes back from documents of few characters; a CSV file is read by several tasks
+    unless its fields hold line breaks."""
+    from evalspark.sources import io as IO
+    rows = [(i, f"text {i}, \"quoted\"") for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(2)
+    path = IO.write_json_array(df, str(tmp_path / "docs"), most_chars=2_000)
+    files = list((tmp_path / "docs").glob("part-*"))
+    assert len(files) > 5 and max(f.stat().st_size for f in files) < 2_200
+    assert sorted((r.k, r.t) for r in IO.load_json(spark, path, "k long, t string").collect()) == rows
+    one = IO.write_csv(df.coalesce(1), str(tmp_path / "csv"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        split, whole = IO.load_csv(spark, one, "k long, t string"), IO.load_csv(spark, one, "k long, t string", multi_line=True)
+        assert split.rdd.getNumPartitions() > whole.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.k, r.t) for r in split.collect()) == rows
+    broken = IO.write_csv(spark.createDataFrame([(1, "two\nlines")], "k long, t string"), str(tmp_path / "broken"))
+    assert [(r.k, r.t) for r in IO.load_csv(spark, broken, "k long, t string", multi_line=True).collect()] == [(1, "two\nlines")]
