@@ -214,6 +214,22 @@ def test_similarity_join_splits_hot_tokens(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_similarity_join_tests_pairs_inside_the_join(spark):
+    """Position and signature are conditions of the join on prefix tokens, so pairs that fail them are never
+    shuffled; links stay those of brute force, with empty, null and one-token sets and unknown keys."""
+    rng = random.Random(5)
+    rows = [(i, sorted({f"t{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randint(1, 60))})) for i in range(150)]
+    rows += [(200 + i, sorted({*rows[i][1], f"more{i}"})) for i in range(40)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and _jac({*x}, {*y}) > 0.7}
+    odd = [(None, rows[0][1]), (400, []), (401, None)]
+    sets = spark.createDataFrame([(k, t, len(t or [])) for k, t in rows + odd], "doc_id long, toks array<string>, n int")
+    joined = SIM.similarity_join(sets, "doc_id", 0.7)
+    got = [(r.a, r.b) for r in joined.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join Inner" in x and "bit_count" in x and "least(" in x]
+
+
 def test_table_profile_counts(spark):
     """Null, distinct and repeated-row counts of one pass against counting in Python; empty tables too."""
     from evalspark.operators import quality as Q
