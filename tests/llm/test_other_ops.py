@@ -210,6 +210,16 @@ def test_toxicity_reads_obfuscation_of_any_length_and_shape(spark):
     assert got == {i: y for i, _, y in odd}
 
 
+def test_character_model_holds_every_trigram(spark):
+    """More trigrams than any table of the most frequent would hold, each with its count."""
+    rnd = random.Random(8)
+    words = ["".join(chr(rnd.randint(0x4E00, 0x9000)) for _ in range(60)) for _ in range(5500)]
+    grams = Counter(x[i:i + 3] for w in words for x in [f"^^{w}$"] for i in range(len(x) - 2))
+    model = toxicity.char_model(spark.createDataFrame([(k, " ".join(words[k::7])) for k in range(7)], DOC).repartition(3))
+    assert len(grams) > 320_000 and len(model.tri.packed) == len(grams)
+    assert all(model.tri.get(g) == n for g, n in list(grams.items())[::997]) and model.tri.get("zzz") == 0
+
+
 def test_cuts_of_spaced_letters():
     grams = Counter(x[i:i + 3] for w, n in (("the", 9), ("moron", 2), ("and", 7), ("a", 5), ("tooth", 1)) for x in [f"^^{w}$"] * n for i in range(len(x) - 2))
     model = toxicity.CharModel(grams)
