@@ -16,6 +16,7 @@ _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 U = np.uint64
+HASHED_BYTES = 500_000  # bytes of words hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,11 +69,20 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, U)
         size = self.ends - self.starts
-        total = int(size.sum())
-        rank = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        at = rank + np.repeat(self.starts, size)
-        value = _byte_values(salt, lower)[self.raw[at]] * _powers(int(size.max()), 0x9E3779B97F4A7C15 | 1)[rank]
-        return mix(np.add.reduceat(value, np.cumsum(size) - size) + size.astype(U) * U(0xD6E8FEB86659FD93))
+        values, powers = _byte_values(salt, lower), _powers(int(size.max()), 0x9E3779B97F4A7C15 | 1)
+        out = np.empty(len(size), U)
+        # Runs of words of about HASHED_BYTES, or of one longer word: the arrays over bytes stay small.
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HASHED_BYTES, "right")))
+            n = size[a:b]
+            first = np.cumsum(n) - n
+            rank = np.arange(int(n.sum())) - np.repeat(first, n)
+            value = values[self.raw[rank + np.repeat(self.starts[a:b], n)]] * powers[rank]
+            out[a:b] = np.add.reduceat(value, first)
+            a = b
+        return mix(out + size.astype(U) * U(0xD6E8FEB86659FD93))
 
     def windows(self, words: np.ndarray, k: int) -> np.ndarray:
         """Hash of the k words from each word on; meaningless where ``fits(k)`` is false."""

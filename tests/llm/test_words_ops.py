@@ -193,3 +193,21 @@ def test_only_results_stay_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert {(r.id, r.component) for r in components(ends).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
     assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [0, 1, 2]
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["components", "dedup", "near"]
+
+
+def test_words_are_hashed_in_bounded_runs():
+    """Hashing works on runs of words: its arrays do not follow the slice, and hashes do not follow the runs."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from evalspark.llm import words
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcÄx") for _ in range(rng.randint(1, 12))) for _ in range(40_000)) for _ in range(8)]
+    (_, _, all_at_once), = words.slices(pa.array(texts), 100_000_000)
+    tracemalloc.start()
+    got = all_at_once.hashes(3, lower=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = [h for t in texts for h in next(words.slices(pa.array([t])))[2].hashes(3, lower=True).tolist()]
+    assert got.tolist() == alone and peak < 16 * len(all_at_once.raw)
