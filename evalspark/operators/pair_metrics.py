@@ -213,10 +213,15 @@ def lcs_length(a, b) -> int:
     return len(a) - bin(v).count("1")
 
 
-@F.pandas_udf(T.LongType())
-def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x if x is not None else [], y if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int64")
+LCS_ROWS = 128  # pairs whose tokens are Python objects at once
+
+
+@F.arrow_udf(T.LongType())
+def lcs_udf(a: pa.Array, b: pa.Array) -> pa.Array:
+    out: list[int] = []
+    for i in range(0, len(a), LCS_ROWS):
+        out += [lcs_length(x or [], y or []) for x, y in zip(a.slice(i, LCS_ROWS).to_pylist(), b.slice(i, LCS_ROWS).to_pylist())]
+    return pa.array(out, pa.int64())
 
 
 def rouge_l(df: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:

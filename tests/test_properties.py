@@ -230,6 +230,24 @@ def test_similarity_join_tests_pairs_inside_the_join(spark):
     assert [x for x in plan.splitlines() if "Join Inner" in x and "bit_count" in x and "least(" in x]
 
 
+def test_lcs_makes_objects_of_few_pairs_at_once():
+    """A batch of many pairs: equal to pairs one by one, and only some of the tokens are Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from evalspark.operators import pair_metrics as PM
+    rng = random.Random(12)
+    rows = [[f"{rng.randrange(50)}-{'x' * 40}" for _ in range(300)] for _ in range(3000)]
+    a, b = pa.array([None, [], *rows]), pa.array([["x"], None, *rows[::-1]])
+    tracemalloc.start()
+    got = PM.lcs_udf.func(a, b).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:2] == [0, 0] and got[2:40] == [PM.lcs_length(x, y) for x, y in zip(rows[:38], rows[::-1])]
+    assert peak < 25e6
+
+
 def test_table_profile_counts(spark):
     """Null, distinct and repeated-row counts of one pass against counting in Python; empty tables too."""
     from evalspark.operators import quality as Q
