@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,32 +188,48 @@ def session_usage(pl: DataFrame, gap: str = "30 minutes", delay: str = "2 hours"
 
 
 # ------------------------------------------------------------------ ST5 limiter
+LIMIT_BUCKETS = 1024  # groups of clients; a stream keeps its number, as its state is kept by them
+NO_ID = -(1 << 63)  # stands for a null id inside the state
+
+
 def _limiter(limit: int, window_us: int):
     def fn(key, pdfs, state):
-        """State: waiting events (time, id) that the watermark has not passed, and the last admitted times."""
-        times, ids, kept = state.get if state.exists else ([], [], [])
-        times, ids, kept = list(times or []), list(ids or []), list(kept or [])
+        """State: waiting events (client, time, id) that the watermark has not passed, and the last admitted
+        times of each client.  Without a column of clients all events are the key's."""
+        clients, times, ids, held, kept = ([*(x or [])] for x in state.get) if state.exists else ([], [], [], [], [])
         if state.hasTimedOut:
             state.remove()
         else:
             for pdf in pdfs:
+                clients += pdf["_client"].tolist() if "_client" in pdf else [key[0]] * len(pdf)
                 times += pdf["_t"].tolist()
                 ids += pdf["event_id"].tolist()
         # Nothing at or before the watermark can still come in, so that part of the order is final.
         passed = state.getCurrentWatermarkMs() * 1000
-        waiting = sorted(zip(times, ids))
-        ready = [e for e in waiting if e[0] <= passed]
-        waiting = waiting[len(ready):]
-        ok, kept = admissions([t for t, _ in ready], limit, window_us, kept)
-        kept = [t for t in kept if t + window_us > passed]  # older admissions no longer count
-        if waiting or kept:
-            state.update(([t for t, _ in waiting], [i for _, i in waiting], kept))
-            due = waiting[0][0] if waiting else kept[-1] + window_us
+        c, t, i = (np.array(x, np.int64) for x in (clients, times, ids))
+        ready, waiting = np.flatnonzero(t <= passed), np.flatnonzero(t > passed)
+        ready = ready[np.lexsort((i[ready], t[ready], c[ready]))]
+        admitted: dict[int, list[int]] = {}
+        for who, at in zip(held, kept):
+            admitted.setdefault(who, []).append(at)
+        ok: list[bool] = []
+        edges = [0, *(np.flatnonzero(np.diff(c[ready])) + 1).tolist(), len(ready)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo < hi:
+                who = int(c[ready[lo]])
+                allowed, admitted[who] = admissions(t[ready[lo:hi]].tolist(), limit, window_us, admitted.get(who))
+                ok += allowed
+        # Older admissions no longer count.
+        still = [(who, at) for who, all_of in admitted.items() for at in all_of if at + window_us > passed]
+        if len(waiting) or still:
+            state.update((c[waiting].tolist(), t[waiting].tolist(), i[waiting].tolist(), [x for x, _ in still], [x for _, x in still]))
+            due = int(t[waiting].min()) if len(waiting) else max(x for _, x in still) + window_us
             state.setTimeoutTimestamp(max(due // 1000, passed // 1000 + 1))
         elif state.exists:
             state.remove()
-        if ready:
-            yield pd.DataFrame({"user_id": key[0], "event_id": [i for _, i in ready], "allowed": ok})
+        if len(ready):
+            who, what = (pd.Series(x[ready], dtype="Int64") for x in (c, i))
+            yield pd.DataFrame({"user_id": who.mask(pd.Series(key[0] < 0, who.index)), "event_id": what.mask(what == NO_ID), "allowed": ok})
     return fn
 
 
@@ -222,12 +239,17 @@ def rate_limit_stream(events: DataFrame, limit: int, window_s: float, delay: str
     Events wait in the state until the watermark passes them and are then decided in (time, id) order,
     so the decisions are those of the batch limiter however events are split over micro-batches, as long
     as they come in within ``delay``.  Timeouts decide the waiting events of clients that fall
-    silent; a client without waiting events leaves the state once its last admission is a window old."""
+    silent; admissions leave the state once they are a window old.  Clients share ``LIMIT_BUCKETS``
+    groups by a hash (those without an id have one of their own), so the number of calls and timeouts of a
+    micro-batch does not follow the number of clients."""
+    client = F.col("user_id")
+    bucket = F.when(client.isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(client), F.lit(LIMIT_BUCKETS)).cast("int"))
     src = (events.withColumn("_et", F.col("ts").cast("timestamp")).withWatermark("_et", delay)
-           .select("user_id", "event_id", "_et", F.unix_micros("_et").alias("_t")))  # integer microseconds
-    return src.groupBy("user_id").applyInPandasWithState(
+           .select(bucket.alias("_bucket"), F.coalesce(client, F.lit(0)).cast("long").alias("_client"),
+                   F.coalesce("event_id", F.lit(NO_ID)).alias("event_id"), "_et", F.unix_micros("_et").alias("_t")))  # integer microseconds
+    return src.groupBy("_bucket").applyInPandasWithState(
         _limiter(limit, int(round(window_s * 1e6))), "user_id long, event_id long, allowed boolean",
-        "times array<long>, ids array<long>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+        "clients array<long>, times array<long>, ids array<long>, held array<long>, kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ ST7 dedup

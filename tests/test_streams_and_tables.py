@@ -91,6 +91,37 @@ def test_limiter_state_is_released():
     assert list(fn((1,), [], st)) == [] and st.value is None
 
 
+def test_limiter_calls_follow_buckets_not_clients(spark, tmp_path):
+    """More clients than buckets, unknown clients and ids: decisions are the batch fold's, and the state has a row
+    per bucket at most."""
+    rng = random.Random(9)
+    n = J.LIMIT_BUCKETS * 2
+    events = [(k, T0 + dt.timedelta(seconds=rng.randrange(0, 4_000)), (1 << 60) + k % n) for k in range(3 * n)]
+    odd = [(None, T0 + dt.timedelta(seconds=9), 7), (-5, T0 + dt.timedelta(seconds=10), None)]
+    schema, path, sink, ck = "event_id long, ts timestamp_ntz, user_id long", *(str(tmp_path / x) for x in ("in", "out", "ck"))
+    seen = []
+
+    def writer():
+        s = J.rate_limit_stream(J.read_stream(spark, path, schema), 1, 1000.0, "5 hours")
+        return s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ck).queryName("buckets")
+
+    def run():
+        w = writer().trigger(availableNow=True).start()
+        assert w.awaitTermination(300) and w.exception() is None
+        seen.append(max(p["stateOperators"][0]["numRowsTotal"] for p in w.recentProgress if p["stateOperators"]))
+
+    for wave in (events + odd, [(None, T0 + dt.timedelta(days=2), None)], [(None, T0 + dt.timedelta(days=9), None)]):
+        land(spark, wave, schema, path)()
+        run()
+    got = {(r.user_id, r.event_id): r.allowed for r in spark.read.parquet(sink).collect()}
+    want = {}
+    for user in {u for *_, u in events}:
+        mine = sorted((t, k) for k, t, u in events if u == user)
+        want |= {(user, k): x for (_, k), x in zip(mine, admissions([int((t - T0).total_seconds() * 1e6) for t, _ in mine], 1, 1_000_000_000)[0])}
+    assert got.items() >= want.items() and not all(want.values()) and got[7, None] and got[None, -5]
+    assert 0 < seen[0] <= J.LIMIT_BUCKETS + 1
+
+
 # ------------------------------------------------------------------ day tables
 def rows_at(spark, hours):
     return spark.createDataFrame([(k, T0 + dt.timedelta(hours=h)) for k, h in enumerate(hours)], "id long, timestamp timestamp_ntz")
