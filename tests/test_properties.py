@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -248,6 +249,27 @@ def test_lcs_makes_objects_of_few_pairs_at_once():
     assert peak < 25e6
 
 
+def test_pair_tiles_leave_out_tokens_of_one_side():
+    """Sums equal brute force for rare and frequent tokens, empty sets and multiplicities; a large vocabulary of
+    tokens that no pair shares makes no matrix."""
+    import tracemalloc
+    rng = random.Random(21)
+    x, y = ([[*{f"f{rng.randrange(12)}" for _ in range(rng.randint(0, 9))} | {f"r{rng.randrange(300)}" for _ in range(rng.randint(0, 5))}]
+             for _ in range(n)] for n in (70, 90))
+    mx, my = (np.array([rng.randint(1, 4) for _ in s], float) for s in (x, y))
+    brute = lambda a, b: _jac(set(a), set(b)) if a or b else 0.5
+    want = sum(brute(a, b) * m * n for a, m in zip(x, mx) for b, n in zip(y, my))
+    assert abs(SIM._jaccard_sum(x, mx, y, my, 0.5, False) - want) < 1e-6
+    own = sum(brute(x[i], x[j]) * mx[i] * mx[j] for i in range(len(x)) for j in range(i + 1, len(x)))
+    assert abs(SIM._jaccard_sum(x, mx, x, mx, 0.5, True) - own) < 1e-6
+    wide = [[f"own{i}-{k}" for k in range(40)] + ["all"] for i in range(400)]
+    tracemalloc.start()
+    got = SIM._jaccard_sum(wide[:200], np.ones(200), wide[200:], np.ones(200), 0.0, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(got - 200 * 200 / 81) < 1e-6 and peak < 10e6
+
+
 def test_table_profile_counts(spark):
     """Null, distinct and repeated-row counts of one pass against counting in Python; empty tables too."""
     from evalspark.operators import quality as Q
