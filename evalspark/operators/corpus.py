@@ -174,7 +174,9 @@ ACTION_VERBS = ["please", "create", "generate", "write", "explain", "describe",
 
 def potential_issues(df: DataFrame, text: str, key: str) -> DataFrame:
     """Empty; > 10 000 chars; a word of > 3 chars above 10 % of the words; no action verb;
-    unmatched ( ) and [ ].  Word repetition is an explode + group by (key, word)."""
+    unmatched ( ) and [ ].  Word repetition is counted by (key, number of words, word): where every key has
+    one row, inside the row's sorted words (a repeated word stands again a tenth of the words further on), so
+    only repeated words become rows; where keys repeat, over all words."""
     t = F.col(text)
     low = F.lower(t)
     blank = F.size(split_ws(t)) == 0
@@ -193,8 +195,15 @@ def potential_issues(df: DataFrame, text: str, key: str) -> DataFrame:
                F.struct(F.lit("unmatched_brackets").alias("rule"), F.lit("low").alias("severity"), F.lit("Unmatched brackets").alias("message"))),
     ]
     base = df.select(key, F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("i")).select(key, "i.*")
-    w = df.select(key, tokens(t).alias("_tok")).select(key, F.size("_tok").alias("_n"), F.explode("_tok").alias("word"))
-    rep = (w.where(F.length("word") > 3).groupBy(key, "_n", "word").agg(F.count("*").alias("c"))
+    most = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).scalar()  # rows of a key
+    w = (df.select(key, tokens(t).alias("_tok"))
+         .select(key, F.size("_tok").alias("_n"), F.sort_array(F.filter("_tok", lambda x: F.length(x) > 3)).alias("_long"), most.alias("_rows")))
+    least = F.floor(F.col("_n") * 0.1).cast("int")  # a word found so many places further on occurs once more than that
+    again = F.array_distinct(F.filter("_long", lambda x, i: F.get(F.col("_long"), i + least) == x))
+    here = F.transform(again, lambda x: F.struct(x.alias("word"), F.size(F.filter("_long", lambda y: y == x)).cast("long").alias("c")))
+    every = F.transform("_long", lambda x: F.struct(x.alias("word"), F.lit(1).cast("long").alias("c")))
+    w = w.select(key, "_n", F.explode(F.when(F.col("_rows") == 1, here).otherwise(every)).alias("_w"))
+    rep = (w.groupBy(key, "_n", F.col("_w.word").alias("word")).agg(F.sum("_w.c").alias("c"))
             .where(F.col("c") > F.col("_n") * 0.1)
             .select(key, F.lit("repetition").alias("rule"), F.lit("medium").alias("severity"),
                     F.concat(F.lit("Excessive repetition of word: '"), F.col("word"), F.lit("'")).alias("message")))

@@ -270,6 +270,32 @@ def test_pair_tiles_leave_out_tokens_of_one_side():
     assert abs(got - 200 * 200 / 81) < 1e-6 and peak < 10e6
 
 
+def test_repeated_words_are_counted_in_the_row(spark):
+    """Unique keys, repeated keys and keys without value: the same words as counting; with unique keys only
+    repeated words are dealt out."""
+    from evalspark.operators import corpus as C
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(["word", "Other", "and", "third", *[f"rare{i}" for i in range(30)]]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += [None, "", "lone", "same " * 10, " ".join(["tenth"] + [f"more{i}" for i in range(9)]), " ".join(["twice"] * 2 + [f"more{i}" for i in range(18)])]
+
+    def brute(rows):
+        sums = Counter()
+        for k, t in rows:
+            words = (t or "").lower().split()
+            for x in words:
+                if len(x) > 3:
+                    sums[k, len(words), x] += 1
+        return sorted((str(k), x) for (k, n, x), c in sums.items() if c > n * 0.1)
+
+    for keys in (range(len(texts)), [i // 2 for i in range(len(texts))], [i if i % 9 else None for i in range(len(texts))]):
+        rows = list(zip(keys, texts))
+        issues = C.potential_issues(spark.createDataFrame(rows, "k long, t string"), "t", "k").where("rule = 'repetition'")
+        got = sorted((str(r.k), r.message.split("'")[1]) for r in issues.collect())
+        assert got == brute(rows) and got
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan
+
+
 def test_table_profile_counts(spark):
     """Null, distinct and repeated-row counts of one pass against counting in Python; empty tables too."""
     from evalspark.operators import quality as Q
