@@ -37,6 +37,32 @@ def test_difflib_takes_no_pair_of_few_places(monkeypatch):
     assert asked == []
 
 
+def _pick(rows, k, w):
+    """Brute force: (key, rank) of one group."""
+    sim = lambda x, y: difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    chosen = [max(rows, key=lambda r: (r[2], -r[0]))]
+    while len(chosen) < min(k, len(rows)):
+        rest = [r for r in rows if r not in chosen]
+        chosen.append(max(rest, key=lambda r: ((1 - w) * r[2] + w * (1 - min(sim(r[1], c[1]) for c in chosen)), -r[0])))
+    return {r[0]: n for n, r in enumerate(chosen)}
+
+
+def _documents(n):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "Gamma", "delta", "zeta", "query", "x"]
+    return [(i, " ".join(rng.choice(words, rng.integers(1, 60))), float(rng.integers(0, 20)) / 20) for i in range(n)]
+
+
+def test_diversity_pick_equals_brute_force_and_reads_each_text_once_a_round(spark, monkeypatch):
+    docs = _documents(40)
+    df = spark.createDataFrame([(("g", "h")[i % 2], i, t, q) for i, t, q in docs], "g string, k long, t string, q double")
+    for groups in (SIM.PICK_GROUPS, 0):  # picks broadcast, and joined
+        monkeypatch.setattr(SIM, "PICK_GROUPS", groups)
+        got = {(r.g, r.k): r["rank"] for r in SIM.diversity_pick(df, "g", "k", "t", "q", 5, 0.3).collect()}
+        want = {(g, key): n for p, g in enumerate("gh") for key, n in _pick([d for d in docs if d[0] % 2 == p], 5, 0.3).items()}
+        assert got == want
+
+
 def test_pairs_are_spread_before_costly_work(spark):
     one = spark.range(100).coalesce(1)
     assert SIM.spread_pairs(one).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
