@@ -69,7 +69,7 @@ ROWS = dict(zip(KINDS, (request_rows, step_rows, result_rows)))
 
 def dual_write(df: DataFrame, kind: str, root: str, batch_id: int) -> None:
     """Project records of a kind and write typed and generic form in one pass, as one batch."""
-    day_table.write_batch(ROWS[kind](df), f"{root}/{kind}", batch_id)
+    day_table.write_batch(df, f"{root}/{kind}", batch_id, rows=ROWS[kind])
 
 
 def read_typed(spark: SparkSession, root: str, kind: str) -> DataFrame:

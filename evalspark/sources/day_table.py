@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp") -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp", rows: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Append ``df`` as one batch, into the days of ``ts``.  Rows are rebalanced by day, so a day has few
-    files and a large day several tasks."""
-    (df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+    files and a large day several tasks.  ``rows`` makes the stored rows (it keeps ``ts``) after the shuffle,
+    which then carries the narrower input."""
+    dealt = df.withColumn("date", F.to_date(ts)).hint("rebalance", "date")
+    stored = dealt if rows is None else rows(dealt).withColumn("date", F.to_date(ts))
+    (stored.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path))
 
 

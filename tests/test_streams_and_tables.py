@@ -252,3 +252,18 @@ def test_json_documents_are_bounded_and_csv_is_split(spark, tmp_path):
     assert sorted((r.k, r.t) for r in split.collect()) == rows
     broken = IO.write_csv(spark.createDataFrame([(1, "two\nlines")], "k long, t string"), str(tmp_path / "broken"))
     assert [(r.k, r.t) for r in IO.load_csv(spark, broken, "k long, t string", multi_line=True).collect()] == [(1, "two\nlines")]
+
+
+def test_dual_write_shuffles_the_record_and_makes_both_forms_after(spark, tmp_path, monkeypatch):
+    seen = []
+    made = LT.request_rows
+    monkeypatch.setitem(LT.ROWS, "llm_requests", lambda df: seen.append(df._jdf.queryExecution().analyzed().toString()) or made(df))
+    rows = [(T0 + dt.timedelta(hours=7 * k), f"s{k}", "p" * k, "m", None if k == 2 else "r", {"tokens_used": str(k), "cost": "0.5"}, 1.0) for k in range(9)] + [(None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, session_id string, prompt string, model string, response string, metrics map<string,string>, duration_ms double")
+    for _ in range(2):
+        LT.dual_write(df, "llm_requests", str(tmp_path), 3)
+    assert all("RebalancePartitions" in plan for plan in seen) and len(seen) == 2
+    stored = spark.read.parquet(f"{tmp_path}/llm_requests")
+    want = made(df).select(F.to_json("typed").alias("t"), F.to_json("log").alias("l"))
+    assert sorted(map(str, stored.select(F.to_json("typed").alias("t"), F.to_json("log").alias("l")).collect())) == sorted(map(str, want.collect()))
+    assert {r.date for r in stored.select("date").distinct().collect()} == {None, *((T0 + dt.timedelta(hours=7 * k)).date() for k in range(9))}
