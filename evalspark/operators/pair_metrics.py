@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import clamp
 from ..functions.tokens import UNICODE_WS, set_jaccard, split_ws, tokens
+from ..session import stored
 
 
 def _c(c) -> Column:
@@ -468,16 +469,118 @@ __all__ = [n for n in dir() if not n.startswith("_")] + ["UNICODE_WS"]
 WORD2_RE = r"[\p{L}\p{N}_]{2,}"
 
 
+LISTED_TERMS = 1 << 20  # terms whose document frequencies go to every task
+
+
+def _term_counts(batches):
+    """(_k, h, tp, tr): of each pair its distinct terms and how often each side has them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            size, h = zip(*((c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), c.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                            for c in (some.column(1), some.column(2))))
+            row = np.concatenate([np.repeat(np.arange(some.num_rows), n) for n in size])
+            of_ref = np.repeat([0, 1], [len(x) for x in h])
+            h = np.concatenate(h)
+            order = np.lexsort((h, row))
+            row, h, of_ref = row[order], h[order], of_ref[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+            first = np.flatnonzero(new)
+            every = np.diff(np.append(first, len(h)))
+            refs = np.add.reduceat(of_ref, first) if len(first) else every
+            ends = pa.array(np.searchsorted(row[first], np.arange(some.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h[first], (every - refs).astype(np.int32), refs.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([some.column(0), *lists], names=["_k", "h", "tp", "tr"])
+
+
+def _flat_counts(batch: pa.RecordBatch, listed: np.ndarray):
+    """(row, term, count of each side, place among the listed terms, is it there) of a batch of ``_term_counts``."""
+    row = np.repeat(np.arange(batch.num_rows), batch.column("h").value_lengths().to_numpy(zero_copy_only=False))
+    h, tp, tr = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("h", "tp", "tr"))
+    at = np.minimum(np.searchsorted(listed, h), max(len(listed) - 1, 0))
+    return row, h, tp, tr, at, listed[at] == h if len(listed) else np.zeros(len(h), bool)
+
+
+def _listed_sums(shared):
+    """(_k, dot, pp, rr) of each pair over its listed terms."""
+    def run(batches):
+        listed, idf = shared.value
+        for batch in batches:
+            row, _, tp, tr, at, there = _flat_counts(batch, listed)
+            row, wp, wr = row[there], tp[there] * idf[at[there]], tr[there] * idf[at[there]]
+            sums = [pa.array(np.bincount(row, x, batch.num_rows)) for x in (wp * wr, wp * wp, wr * wr)]
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), *sums], names=["_k", "dot", "pp", "rr"])
+    return run
+
+
+def _unlisted_rows(shared):
+    """(_k, h, tp, tr) of each term of a pair that is not listed."""
+    def run(batches):
+        listed, _ = shared.value
+        for batch in batches:
+            row, h, tp, tr, _, there = _flat_counts(batch, listed)
+            rest = np.flatnonzero(~there)
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(pa.array(row[rest])), pa.array(h[rest]), pa.array(tp[rest]), pa.array(tr[rest])],
+                                             names=["_k", "h", "tp", "tr"])
+    return run
+
+
 def tfidf_cosine(df: DataFrame, key: str, pred: str = "pred", ref: str = "ref",
-                 stop_words: tuple[str, ...] | None = None) -> DataFrame:
+                 stop_words: tuple[str, ...] | None = None, listed_terms: int = LISTED_TERMS) -> DataFrame:
     """Per pair: cosine of TF-IDF vectors fitted on predictions ∪ references (smooth idf
     ln((1+n)/(1+df)) + 1, raw term counts, L2 norm, English stop words removed), clamped at 0.
 
-    Term counts come from one explode + ``groupBy``; document frequencies from a ``groupBy(term)``
-    joined back on the term (AQE splits a skewed term partition); dot products and norms are
-    regrouped by pair."""
+    Terms (as 64-bit hashes) are counted inside the row and the counts written once.  The
+    ``listed_terms`` most frequent terms at most go to every task with their frequencies, so that their part
+    of a pair's sums is made in the row; only rarer ones are joined on the term and regrouped by pair.
+    Where keys repeat, rows of a key are one pair (``_tfidf_by_key``)."""
     from ..functions.stopwords import english_stop_words
     stops = list(stop_words if stop_words is not None else english_stop_words())
+    if not df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+        return _tfidf_by_key(df, key, pred, ref, stops)
+    spark = df.sparkSession
+
+    def hashes(text: str) -> Column:
+        words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD2_RE), 0), lambda w: ~w.isin(stops))  # InSet: hash lookup
+        return F.transform(words, lambda w: F.xxhash64(w))
+
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("_k", kind), T.StructField("h", T.ArrayType(T.LongType())),
+                           *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("tp", "tr"))])
+    counts = stored(df.select(F.col(key).alias("_k"), hashes(pred).alias("p"), hashes(ref).alias("r")).mapInArrow(_term_counts, schema), "term-counts")
+    n_docs = 2 * counts.count()
+    sides = (F.col("t.tp") > 0).cast("int") + (F.col("t.tr") > 0).cast("int")
+    dfreq = stored(counts.select(F.explode(F.arrays_zip("h", "tp", "tr")).alias("t")).select(F.col("t.h").alias("h"), sides.alias("n"))
+                   .groupBy("h").agg(F.sum("n").alias("df")), "term-frequencies")
+    least, listed, total = 1, 0, 0  # terms of this frequency or more are listed
+    of_each = dfreq.groupBy("df").agg(F.count(F.lit(1)).alias("terms")).toArrow()
+    for d, terms in sorted(zip(*(of_each[c].to_pylist() for c in ("df", "terms"))), reverse=True):
+        total += terms
+        if total > listed_terms:
+            least = d + 1
+            break
+        listed = total
+    table = dfreq.where(F.col("df") >= least).orderBy("h").toArrow() if listed else dfreq.limit(0).toArrow()
+    idf = np.log((1 + n_docs) / (1 + table["df"].to_numpy())) + 1
+    shared = spark.sparkContext.broadcast((table["h"].to_numpy().astype(np.int64), idf))
+    sums = T.StructType([T.StructField("_k", kind), *(T.StructField(c, T.DoubleType()) for c in ("dot", "pp", "rr"))])
+    g = counts.mapInArrow(_listed_sums(shared), sums)
+    if least > 1:
+        flat = T.StructType([T.StructField("_k", kind), *(T.StructField(c, T.LongType()) for c in ("h", "tp", "tr"))])
+        weight = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
+        rest = (counts.mapInArrow(_unlisted_rows(shared), flat).join(dfreq.where(F.col("df") < least), "h")
+                .select("_k", (F.col("tp") * weight).alias("wp"), (F.col("tr") * weight).alias("wr"))
+                .select("_k", (F.col("wp") * F.col("wr")).alias("dot"), (F.col("wp") ** 2).alias("pp"), (F.col("wr") ** 2).alias("rr")))
+        g = g.unionByName(rest).groupBy("_k").agg(*[F.sum(c).alias(c) for c in ("dot", "pp", "rr")])
+    cos = F.when(F.col("_k").isNotNull() & (F.col("pp") > 0) & (F.col("rr") > 0), F.greatest(F.lit(0.0), F.col("dot") / (F.sqrt("pp") * F.sqrt("rr"))))
+    return g.select(F.col("_k").alias(key), F.coalesce(cos, F.lit(0.0)).alias("tfidf_similarity"))
+
+
+def _tfidf_by_key(df: DataFrame, key: str, pred: str, ref: str, stops: list[str]) -> DataFrame:
+    """Term counts come from one explode + ``groupBy``; document frequencies from a ``groupBy(term)``
+    joined back on the term (AQE splits a skewed term partition); dot products and norms are
+    regrouped by pair."""
     docs = (df.select(F.col(key).alias("_k"), F.explode(F.array(
         F.struct(F.lit("p").alias("side"), F.col(pred).alias("t")),
         F.struct(F.lit("r").alias("side"), F.col(ref).alias("t")))).alias("d"))
