@@ -509,7 +509,7 @@ def _listed_sums(shared):
         for batch in batches:
             row, _, tp, tr, at, there = _flat_counts(batch, listed)
             row, wp, wr = row[there], tp[there] * idf[at[there]], tr[there] * idf[at[there]]
-            sums = [pa.array(np.bincount(row, x, batch.num_rows)) for x in (wp * wr, wp * wp, wr * wr)]
+            sums = [pa.array(np.bincount(row, x, batch.num_rows).astype(float)) for x in (wp * wr, wp * wp, wr * wr)]
             yield pa.RecordBatch.from_arrays([batch.column("_k"), *sums], names=["_k", "dot", "pp", "rr"])
     return run
 
