@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,29 @@ def retain_days(spark: SparkSession, path: str, now: str, days: int) -> DataFram
 
 
 # ------------------------------------------------------------------ ST2 correlation
+JOIN_PARTITIONS = 24  # state partitions of a join, or two per core where there are more cores
+
+
+@contextmanager
+def join_state(spark: SparkSession):
+    """Settings under which a stream with a join is started; the session's own come back afterwards.
+
+    A partition of the join keeps four state stores, and every micro-batch opens and commits each of them with files
+    of its own, however few rows they hold.  So their number follows the cores, not the shuffle partitions of the
+    session, which grow with the input.  Only the last state stays in memory: the one before holds a whole wave."""
+    want = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                                    max(JOIN_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))),
+            "spark.sql.streaming.maxBatchesToRetainInMemory": "1"}
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def correlate_stream(requests: DataFrame, responses: DataFrame, delay: str = "1 hour", max_gap: str = "1 hour") -> DataFrame:
     """Stream-stream full outer join of requests with their responses.
 

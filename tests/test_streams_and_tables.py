@@ -14,6 +14,7 @@ from evalspark.operators import pair_metrics as pm
 from evalspark.operators import quality as Q
 from evalspark.operators import similarity as SIM
 from evalspark.operators.logs import admissions
+from evalspark.plans import q_streaming
 from evalspark.plans.registry import all_queries
 from evalspark.sources import day_table
 from evalspark.streaming import jobs as J
@@ -33,6 +34,36 @@ def test_every_response_is_in_one_output(spark):
     assert set(kinds) == {"matched", "unanswered", "orphan", "late"}
 
 
+@pytest.mark.parametrize("name,zone", [("st2_orphan_responses", "ck2w"), ("st2_correlate_stream", "ck2")])
+def test_join_state_follows_cores_not_shuffle_partitions(spark, tmp_path, monkeypatch, name, zone):
+    """Each state partition opens and commits four stores in every micro-batch, so there are no more of them than the
+    cores need, and the rows and the session's setting stay what they were."""
+    ts = {k: T0 + dt.timedelta(hours=3 * k, minutes=7) for k in range(0, 240)}
+    spark.createDataFrame([(k, t, 1, "view", 1.0, "{}") for k, t in ts.items()],
+                          "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    zones = {}
+    monkeypatch.setattr(q_streaming, "_zone", lambda spark, n: zones.setdefault(n, str(tmp_path / n)))
+    monkeypatch.setattr(J, "JOIN_PARTITIONS", 2, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = sorted(map(tuple, all_queries()[name](spark, str(tmp_path)).collect()))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [p for p in (tmp_path / zone / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == 2 * spark.sparkContext.defaultParallelism < 9
+    asked, replied = {k for k in ts if k % 10 != 3}, {k for k in ts if k % 7}
+    if name == "st2_correlate_stream":
+        want = [(k, k in replied and k % 9 != 0) for k in asked if ts[k] < ts[239] - dt.timedelta(hours=3)]
+    else:
+        late = {k for k in replied if k % 23 == 5 and ts[k].hour < 10}
+        matched = {k for k in (replied & asked) - late if k % 11 != 4}
+        kinds = [*((k, "late" if k in late else "matched" if k in matched else "orphan") for k in replied), *((k, "unanswered") for k in asked - matched)]
+        want = [x for x in kinds if ts[x[0]] < ts[239] - dt.timedelta(hours=6)]
+    assert got == sorted(want)
+
+
 def test_limiter_equals_the_batch_fold_and_forgets(spark, tmp_path):
     """Out-of-order rows over several micro-batches."""
     rng = random.Random(3)
