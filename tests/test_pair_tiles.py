@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import similarity as SIM
+from evalspark.plans import q_similarity as Q
 
 
 def test_a_row_goes_once_to_each_tile_of_its_pairs(spark):
@@ -49,3 +50,43 @@ def test_join_of_large_sets_without_rare_tokens(spark):
             if a < b and common / (2400 - common) > 0.5:
                 want[a, b] = common / (2400 - common)
     assert got == pytest.approx(want) and len(got) == 10
+
+
+def test_copies_are_pairs_too(spark, monkeypatch):
+    """Texts of one token set are pairs of Jaccard 1, and each copy has the pairs of its set; two texts are compared once."""
+    texts = {1: "the cat sat on a mat", 2: "THE cat sat on a mat", 3: "mat a on sat cat the", 4: "the cat sat on a rug", 5: "the cat sat on a rug",
+             6: "nothing like it", 7: "", 8: " ", 9: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(Q.B, "variants", lambda *_: df.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    rows = Q.si3(spark, "").collect()
+    sets = {k: set(t.lower().split()) for k, t in texts.items() if t is not None}
+
+    def alike(x, y):
+        return x == y or len(x & y) / max(1, len(x | y)) > 0.5
+
+    want = {(a, b): difflib.SequenceMatcher(None, texts[b].lower(), texts[a].lower()).ratio() for a in sets for b in sets if a < b and alike(sets[a], sets[b])}
+    assert len(rows) == len(want) == 11
+    assert {(r.a, r.b): r.char_ratio for r in rows} == pytest.approx(want, abs=1e-6)
+
+
+def test_equal_tokens_have_one_hash():
+    words = ["", "a", "b", "ab", "ba", "é", "x" * 200_000, "a" * 65_536, *(str(i) for i in range(50_000))]
+    flat = pa.array(["zz", *words, *words[::-1]])[1:]
+    for tokens in (flat, flat.cast(pa.large_string())):
+        h = SIM._hash_tokens(tokens).tolist()
+        assert h[:len(words)] == h[len(words):][::-1] and len(set(h)) == len(words)
+
+
+def test_few_pairs_meet_that_cannot_reach_the_overlap():
+    """A set's place of a token bounds the sizes it is compared with: here the rest of each set is too short for all."""
+    import numpy as np
+    n, held = np.arange(100, 300), np.zeros((200, SIM.COUNT_BUCKETS // 2), np.uint8)
+    tried = []
+    ceil = np.ceil
+    tok = np.zeros(200, np.int64)
+    try:
+        SIM.np.ceil = lambda x: tried.append(np.size(x)) or ceil(x)
+        SIM._met(n, held, np.arange(200), tok, (n // 2) * 4, 0.5)
+    finally:
+        SIM.np.ceil = ceil
+    assert sum(tried) == 0
