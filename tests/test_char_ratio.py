@@ -3,6 +3,7 @@
 import difflib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,27 @@ def test_diversity_pick_equals_brute_force_and_reads_each_text_once_a_round(spar
         assert got == want
 
 
+def test_diversity_pick_compares_texts_that_can_be_chosen(spark, monkeypatch):
+    """Low qualities are never compared, odd ones and repeated rows give one row each, and picks stay those of brute force."""
+    docs = [(i, t, round((i * 37 % 400) / 400, 4)) for i, t, _ in _documents(400)]
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        asked.add(len(a))
+        return pd.Series(C.char_ratios(a.tolist(), b.tolist()))
+
+    monkeypatch.setattr(SIM, "char_ratio_udf", counted)
+    df = spark.createDataFrame([("g", *d) for d in docs], "g string, k long, t string, q double")
+    got = {r.k: r["rank"] for r in SIM.diversity_pick(df, "g", "k", "t", "q", 5, 0.3).collect()}
+    assert got == _pick(docs, 5, 0.3)
+    assert asked.value < 900  # each text with each of four picks: 1,596
+    for w in (1.0, -0.5):
+        assert {r.k: r["rank"] for r in SIM.diversity_pick(df, "g", "k", "t", "q", 2, w).collect()} == _pick(docs, 2, w)
+    odd = spark.createDataFrame([("h", 1, "a b", None), ("h", 2, "c d", 0.5), ("h", 3, "e", None), ("h", 2, "c d", 0.5), (None, 4, "x", 1.0)], df.schema)
+    assert sorted((r.k, r["rank"]) for r in SIM.diversity_pick(odd, "g", "k", "t", "q", 3, 0.3).collect()) == [(1, 1), (2, 0), (2, 0), (3, 2)]
+
+
 def test_pairs_are_spread_before_costly_work(spark):
     one = spark.range(100).coalesce(1)
     assert SIM.spread_pairs(one).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
