@@ -90,3 +90,26 @@ def test_few_pairs_meet_that_cannot_reach_the_overlap():
     finally:
         SIM.np.ceil = ceil
     assert sum(tried) == 0
+
+
+def test_high_thresholds_shuffle_one_narrow_row_a_prefix_token(spark):
+    """No token array and no wide signature is shuffled: rows of a prefix token hold its key, place and 256 bits."""
+    sets = spark.createDataFrame([(k, [f"w{i}" for i in range(k, k + 40)], 40) for k in range(30)], "k long, toks array<string>, n int")
+    joined = SIM.similarity_join(sets, "k", 0.8)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
+    assert [x.count("bit_count") for x in plan.splitlines() if "Join Inner" in x and "bit_count" in x] == [4]
+    got = {(r.a, r.b): r.jaccard for r in joined.collect()}
+    want = {(a, b): (40 - b + a) / (40 + b - a) for a in range(30) for b in range(a + 1, 30) if (40 - b + a) / (40 + b - a) > 0.8}
+    assert got == pytest.approx(want)
+
+
+def test_collapsed_sets_shuffle_hashes_only(spark):
+    """Copies leave without a shuffle of token arrays; null texts and repeated keys stay as they were."""
+    rows = [(1, "a b"), (2, "b a"), (2, "b a"), (3, "c"), (4, None), (None, "c"), (5, "")]
+    sets = SIM.token_sets(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    reps, members = SIM.collapse_identical_sets(sets, "k")
+    plan = reps._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "toks" in x]
+    assert sorted((r.k, sorted(r.toks or [])) for r in reps.collect()) == [(1, ["a", "b"]), (3, ["c"]), (4, []), (5, [])]
+    assert sorted((r.k or 0, r.rep, r.copies) for r in members.collect()) == [(0, 3, 2), (1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 2), (5, 5, 1)]
